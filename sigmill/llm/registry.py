@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from sigmill.llm import decontaminate
+from sigmill.llm import decontaminate, quality, tokens
 
 
 def queries() -> dict:
-    return {"op1_decontaminate": decontaminate.op1_decontaminate}
+    return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op5_token_files": tokens.op5_token_files,
+        "op6_quality": quality.op6_quality,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
