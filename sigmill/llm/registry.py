@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmill.llm import decontaminate, quality, tokens
+from sigmill.llm import decontaminate, packing, quality, tokens
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op5_token_files": tokens.op5_token_files,
         "op6_quality": quality.op6_quality,
+        "op7_pack": packing.op7_pack,
     }
 
 
