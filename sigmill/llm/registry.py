@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmill.llm import decontaminate, packing, quality, tokens
+from sigmill.llm import decontaminate, packing, quality, tokens, urls
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_token_files": tokens.op5_token_files,
         "op6_quality": quality.op6_quality,
         "op7_pack": packing.op7_pack,
+        "op8_urls": urls.op8_urls,
     }
 
 
