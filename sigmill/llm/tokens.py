@@ -2,9 +2,10 @@
 
 Encoding a corpus word by word costs more than it must: most words come again. Texts are cut into chunks where no token
 can span the cut, each distinct chunk of a batch is encoded once with the tokenizers library, and its ids are put in
-every place where it stands. The cuts are before a run of ASCII white space that follows a byte other than white space.
-Both pre-tokenizers used here never take such a pair into one piece and don't look back, so the ids are those of the
-whole text; texts that other white space makes ambiguous are cut less. A worker remembers a bounded number of chunks.
+every place where it stands. The cuts are before a run of ASCII white space that follows something else, and between a
+Latin letter and a stop or comma. Both pre-tokenizers used here never take such a pair into one piece and don't look
+back, so the ids are those of the whole text; other white space, which could be ambiguous, isn't cut at. A worker
+remembers the ids of a bounded number of chunks.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,21 +27,24 @@ from sigmill.llm.workspace import Workspace, table
 TOKENIZERS = "/opt/tokenizers"
 END_ID = 2
 BATCH_BYTES = 8 << 20
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 
 _SPACE = np.isin(np.arange(256), list(tx.SPACES))
+_STOP = np.isin(np.arange(256), list(b".,;:!?"))
+_LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """One tokenizer file in one worker."""
+    """One tokenizer file in one worker, and the ids of the first chunks that it met."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.known = pa.array([], pa.string())
+        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -46,19 +52,28 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def chunks(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each chunk, as little-endian unsigned 32-bit integers."""
-        known = self.known
-        new = [x for x in distinct if x not in known]
-        got = {}
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            for x, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                got[x] = np.array(e.ids, "<u4").tobytes()
-        out = [known[x] if x in known else got[x] for x in distinct]
-        if len(known) < REMEMBERED:
-            known.update(list(got.items())[: REMEMBERED - len(known)])
-        return out
+    def fresh(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all their ids."""
+        ids, texts = [], chunks.to_pylist()
+        for k in range(0, len(texts), 10_000):
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
+
+    def chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many ids each distinct chunk has, where they start, and the ids."""
+        where = pc.index_in(distinct, self.known)
+        new = distinct.filter(pc.is_null(where))
+        size, ids = self.fresh(new)
+        slot = np.asarray(pc.fill_null(where, -1)).astype(np.int64)
+        slot[slot < 0] = len(self.known) + np.arange(len(new))
+        all_size, pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
+        room = REMEMBERED - len(self.known)
+        if room > 0 and len(new):
+            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
+            self.size = all_size[: len(self.known)]
+            self.pool = pool[: self.size.sum()]
+        return all_size[slot], (np.cumsum(all_size) - all_size)[slot], pool
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all rows, and where each row starts in them; end is added to every row."""
@@ -66,13 +81,12 @@ class Encoder:
         data, at = tx.data_of(column)
         cut = cuts(data, at)
         coded = tx.of_data(data, cut).dictionary_encode()
-        ids = self.chunks(coded.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        codes = np.asarray(coded.indices).astype(np.int64)
+        size, start, pool = self.chunks(coded.dictionary)
+        codes = np.asarray(coded.indices)
         n = size[codes]
-        flat = pool[np.repeat(start[codes], n) + tx.spread(n)]
-        row_at = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(cut, at)]
+        before = np.concatenate([[0], np.cumsum(n)])
+        row_at = before[np.searchsorted(cut, at)]
+        flat = pool[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], n)]
         if end is not None:
             flat = np.insert(flat, row_at[1:], end)
             row_at = row_at + np.arange(len(row_at))
@@ -80,21 +94,21 @@ class Encoder:
 
 
 def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Every row's start, and each place where white space follows a byte that surely isn't part of white space."""
-    space = _SPACE[data]
-    if len(data) < 2:
-        return np.unique(at)
-    cut = np.zeros(len(data), bool)
-    cut[1:] = space[1:] & ~space[:-1]
-    where = np.flatnonzero(cut)
-    # U+0085, U+00A0, U+1680, U+2000-203F, U+205F and U+3000 before ASCII white space: no cut; the few others of these are harmless
-    b1 = data[where - 1]
-    b2 = np.where(where >= 2, data[np.maximum(where - 2, 0)], 0)
-    b3 = np.where(where >= 3, data[np.maximum(where - 3, 0)], 0)
-    two = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
-    three = ((b3 == 0xE1) & (b2 == 0x9A)) | ((b3 == 0xE2) & ((b2 == 0x80) | (b2 == 0x81))) | ((b3 == 0xE3) & (b2 == 0x80))
-    control = (b1 >= 0x1C) & (b1 <= 0x1F)
-    return np.unique(np.concatenate([at, where[~(two | three | control)]]))
+    """Every row's start and the end, and the places inside rows where no token spans the cut: before white space that
+    follows what surely isn't white space, and between a Latin letter and a stop or comma."""
+    cut = np.zeros(len(data) + 1, bool)
+    if len(data) > 3:
+        space = _SPACE[data]
+        where = np.flatnonzero(space[3:] & ~space[2:-1]) + 3
+        b3, b2, b1 = data[where - 3], data[where - 2], data[where - 1]
+        # not after U+0085, U+00A0, U+1680, U+2000-207F, U+3000-303F or U+001C-001F, some of which are white space too
+        wide = ((b3 == 0xE1) & (b2 == 0x9A)) | ((b3 == 0xE2) & ((b2 == 0x80) | (b2 == 0x81))) | ((b3 == 0xE3) & (b2 == 0x80))
+        cut[where[~(wide | ((b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))) | ((b1 >= 0x1C) & (b1 <= 0x1F)))]] = True
+        where = np.flatnonzero(_STOP[data[2:]]) + 2
+        b2, b1 = data[where - 2], data[where - 1]
+        cut[where[_LETTER[b1] | ((b2 == 0xC3) & (b1 >= 0x80) & (b1 != 0x97) & (b1 != 0xB7))]] = True
+    cut[at] = True
+    return np.flatnonzero(cut)
 
 
 def crcs(flat: np.ndarray, at: np.ndarray) -> list[int]:
