@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmill.llm import decontaminate, jaccard, languages, lm, packing, quality, tokens, urls
+from sigmill.llm import decontaminate, jaccard, languages, licenses, lm, packing, quality, tokens, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op6_quality": quality.op6_quality,
         "op7_pack": packing.op7_pack,
         "op8_urls": urls.op8_urls,
+        "op9_licenses": licenses.op9_licenses,
         "op10_language": languages.op10_language,
     }
 
