@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sigmill.llm import decontaminate, jaccard, languages, licenses, lm, packing, quality, tokens, urls
+from sigmill.llm import decontaminate, html, jaccard, languages, licenses, lm, packing, quality, tokens, urls
 
 
 def queries() -> dict:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_lm": lm.op2_lm,
+        "op3_html": html.op3_html,
         "op4_jaccard": jaccard.op4_jaccard,
         "op5_token_files": tokens.op5_token_files,
         "op6_quality": quality.op6_quality,
