@@ -27,6 +27,11 @@ CHUNK_BYTES = 12 << 20
 Asker = Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]
 
 
+def nullable(kind: pa.DataType) -> pa.DataType:
+    """The type without "not null" in the fields of structs, as declared result types have them."""
+    return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
 def packed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
     """chunk, body: the documents' (doc_id, text) in compressed Arrow form. Chunk numbers hold for one evaluation, so
     the result has to be written before it is used twice."""
@@ -48,7 +53,7 @@ def packed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             if held and size + b.nbytes > CHUNK_BYTES:
                 yield row()
                 number, held, size = number + 1, [], 0
-            held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in b.columns], schema=b.schema))
+            held.append(pa.RecordBatch.from_arrays([pa.concat_arrays([c]).cast(nullable(c.type)) for c in b.columns], names=b.schema.names))
             size += b.nbytes
         if held:
             yield row()

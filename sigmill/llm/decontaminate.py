@@ -19,7 +19,6 @@ several items count for each of them; repeated rows are judged one by one; an em
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -202,22 +201,19 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs, with the columns they came with."""
-    marked = documents.withColumn("_row", F.struct(*documents.columns))
-    names = documents.columns
-    df = marked.select("_row", F.col("text").alias("_text"))
-    for b in blocks(benchmark, "item_id", "text", BLOCK_WINDOWS):
-        index = Index(*b, WIDTH)
+def clean(documents: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The documents in which no benchmark window occurs, with all their columns."""
+    df = documents
+    for block in blocks(benchmark, item, item_text, block_windows):
 
-        def keep(batches, index=index):
-            for x in tx.slices(batches, "_text", BATCH_BYTES):
-                w = tx.words(x.column("_text"), tx.ALNUM)
+        def keep(batches: Iterator[pa.RecordBatch], index: Index = Index(*block, width)) -> Iterator[pa.RecordBatch]:
+            for b in tx.slices(batches, text, BATCH_BYTES):
+                w = tx.words(b.column(text), tx.ALNUM)
                 hit, _ = index.scan(w)
-                yield x.filter(pa.array(tx.sums(hit.astype(np.int64), w.at) == 0))
+                yield b.filter(pa.array(tx.sums(hit.astype(np.int64), w.at) == 0))
 
-        df = df.mapInArrow(keep, df.schema)
-    return df.select(*(F.col("_row")[n].alias(n) for n in names))
+        df = df.mapInArrow(keep, documents.schema)
+    return df
 
 
 #: DuckDB. Windows are compared as space-joined words, which hold no space themselves.

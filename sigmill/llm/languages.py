@@ -160,16 +160,14 @@ def identify(documents: DataFrame, filters: Filters, doc_id: str = "doc_id", tex
 
 def keep(documents: DataFrame, filters: Filters, wanted: list[str] | None = None, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows whose language is found with some certainty (and is a wanted one), with all their columns."""
-    names = documents.columns
-    df = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.col(text).alias("_text"))
     shared = documents.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.slices(batches, "_text", BATCH_BYTES):
-            found, score = shared.value.predict(b.column("_text"))
+        for b in tx.slices(batches, text, BATCH_BYTES):
+            found, score = shared.value.predict(b.column(text))
             yield b.filter(pa.array([x != UND and s >= least and (wanted is None or x in wanted) for x, s in zip(found, score)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema).select(*(F.col("_row")[n].alias(n) for n in names))
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

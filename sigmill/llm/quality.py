@@ -109,14 +109,12 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", **l
 
 def keep(documents: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The rows whose text is kept, with all their columns."""
-    names = documents.columns
-    df = documents.select(F.struct(*(F.col(f"`{n}`") for n in names)).alias("_row"), F.col(text).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in tx.slices(batches, "_text", BATCH_BYTES):
-            yield b.filter(measure(b.column("_text"), **limits).column("kept"))
+        for b in tx.slices(batches, text, BATCH_BYTES):
+            yield b.filter(measure(b.column(text), **limits).column("kept"))
 
-    return df.mapInArrow(run, df.schema).select(*(F.col("_row")[n].alias(n) for n in names))
+    return documents.mapInArrow(run, documents.schema)
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
