@@ -28,3 +28,9 @@ def total(parts: list[Column]) -> Column:
 
 def safe_ratio(a: Column, b: Column, otherwise: float = 0.0) -> Column:
     return F.when(b == 0, F.lit(otherwise)).otherwise(a / b)
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson's r as an aggregate; null where a side doesn't vary."""
+    s = F.stddev_pop(a) * F.stddev_pop(b)
+    return F.when(s > 1e-12, F.covar_pop(a, b) / s)

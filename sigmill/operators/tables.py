@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import correlation
+
 
 def strip(df: DataFrame, keep: dict[str, list], columns: list[str] | None = None, invert: bool = False) -> DataFrame:
     """Rows whose columns hold one of the values (or, inverted, none of them), projected."""
@@ -126,7 +128,7 @@ def paired_statistics(df: DataFrame, parameter: str, related: list[str], metric:
     pairs = a.join(b, related).filter("a > b").withColumn("diff", F.col("va") - F.col("vb"))
     n = values.agg(F.count("*").alias("n_values"))
     out = pairs.groupBy("a", "b").agg(
-        F.count("*").alias("k"), F.avg("diff").alias("mean_diff"), F.stddev_samp("diff").alias("sd_diff"), F.corr("va", "vb").alias("correlation"), F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b")
+        F.count("*").alias("k"), F.avg("diff").alias("mean_diff"), F.stddev_samp("diff").alias("sd_diff"), correlation("va", "vb").alias("correlation"), F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b")
     )
     t = F.when(F.col("sd_diff") > 0, F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("k").cast("double"))))
     return out.crossJoin(F.broadcast(n)).select("a", "b", "k", "mean_diff", "sd_diff", t.alias("t"), (F.col("k") - 1).alias("df"), "correlation", "mean_a", "mean_b", (alpha / F.col("n_values")).alias("bonferroni"), (1 - F.pow(F.lit(1 - alpha), 1 / F.col("n_values"))).alias("sidak"))
