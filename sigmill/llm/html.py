@@ -38,7 +38,7 @@ LABELLED = [
     "<html><body><div class=cookie-notice><p>We use cookies.</p><button>Accept</button></div><div id=nav class=navigation><a href=a>One</a><a href=b>Two</a></div><div class=ad>Buy shoes now.</div><article>[[<h1>Bread at home</h1><p><b>Flour, water and time are all it takes.</b><br><p>Mix them in the evening.<p>Bake them in the morning.</p><ul><li>Flour</li><li>Water</li></ul>]]</article><section class=comments><h2>Comments</h2><div class=comment><p>Nice.</p></div><form><input name=a><textarea>x</textarea></form></section><footer>Contact</footer></body></html>",
     "<html><body><div class=page><div class=breadcrumb><a href=/>Top</a></div><div class=content>[[<h2>On walls</h2><p>A wall keeps out the wind.</p><div class=ad-banner>Wind stoppers</div><p>It also keeps in the warmth of the day.</p><table><tr><th>Kind</th><td>Stone</td></tr></table><pre>a = b</pre>]]</div><div class=share-buttons><a href=x>Share</a></div><div class=related-posts><ul><li><a href=y>Other</a></li></ul></div></div><div class=footer><span>2020</span><img src=i></div></body></html>",
     "<body><nav><a href=/>Home</a></nav><form class=search><input><label>Find</label></form><div class=newsletter><p>Subscribe to our letter.</p></div><section class=post>[[<h3>Birds</h3><p>Two <em>small</em> birds sat on <strong>the</strong> wire for an hour.</p><p>Then they left.</p><ol><li>One</li></ol><dl><dt>Wing</dt><dd>Flies</dd></dl>]]</section><div id=disqus_thread class=comments><p>First!</p><p>Second!</p></div><dialog><p>Sign in</p></dialog></body>",
-    "<body><header><a href=/>Site</a></header><article>[[<div class=lead><p>Rain fell on the hills all week.</p></div><section><h2>Monday</h2><div><p>It began before dawn and went on.</p></div></section><section><h2>Sunday</h2><p>It stopped as it had begun.</p><hr><div><img src=i><p>The hills were green.</p></div></section>]]</article><div class=promo>Book now</div><footer><section>About</section></footer></body>",
+    "<body><header><a href=/>Site</a></header><article>[[<div class=lead><p>Rain fell on the hills all week.</p></div><section><h2>Monday</h2><div><p>It began before dawn and went on.</p></div></section><aside>See also the map</aside><section><h2>Sunday</h2><div class=ad>Umbrellas</div><p>It stopped as it had begun.</p><hr><div><img src=i><p>The hills were green.</p></div></section>]]</article><div class=promo>Book now</div><footer><section>About</section></footer></body>",
 ]
 
 #: Words of a class, id or role, and names of elements, that labelled pages and common practice give to what isn't main text.
@@ -61,7 +61,8 @@ def outside(name: str, attributes: str) -> bool:
 
 
 def sequence(page: str) -> Iterator[tuple[str, str]]:
-    """("text", raw) for text of main kind, ("tag", name) for a tag, ("out", name) where an element without main text stands.
+    """("text", raw) for text of main kind, ("tag", name) for a tag, ("out", name) where an element without main text
+    stands, and ("in", name) where it stands inside an article or main element.
 
     Closing tags are given as "/name". Tags and text inside elements without main text don't appear.
     """
@@ -73,13 +74,16 @@ def sequence(page: str) -> Iterator[tuple[str, str]]:
         del open_[depth:]
         return n
 
+    def aside() -> str:
+        return "in" if any(x in ("article", "main") for x, _ in open_) else "out"
+
     for m in _TOKEN.finditer(page):
         name = m[3]
         if name is None:
             token = m[0]
             if m[1]:
                 if not out:
-                    yield "out", m[1].lower()
+                    yield aside(), m[1].lower()
             elif not token.startswith(("<!", "<?")) and not out:
                 yield "text", token
             continue
@@ -101,7 +105,7 @@ def sequence(page: str) -> Iterator[tuple[str, str]]:
                 break
         hidden = outside(name, m[4] or "")
         if not out:
-            yield ("out" if hidden else "tag"), name
+            yield (aside() if hidden else "tag"), name
         if name not in VOID and not (m[4] or "").endswith("/"):
             open_.append((name, hidden))
             out += hidden
@@ -112,7 +116,7 @@ STRENGTH = 8.0
 
 
 def learn(pages: list[str] = LABELLED) -> dict[str, float]:
-    """Scores by tag name, "out", and "word", from pages with [[ and ]] around their main text."""
+    """Scores by tag name, "out", "in" and "word", from pages with [[ and ]] around their main text."""
     inside, beyond = Counter(), Counter()
     for page in pages:
         within = False
@@ -124,7 +128,7 @@ def learn(pages: list[str] = LABELLED) -> dict[str, float]:
                     else:
                         (inside if within else beyond)["word"] += len(piece.split())
             else:
-                (inside if within else beyond)["out" if kind == "out" else what.lstrip("/")] += 1
+                (inside if within else beyond)[kind if kind != "tag" else what.lstrip("/")] += 1
     odds = lambda x: math.log((inside[x] + 0.5) / (beyond[x] + 0.5))
     word = max(odds("word"), 1.0)
     # a tag always costs something; one that bounds main text costs more than a few stray words give
@@ -142,7 +146,7 @@ def region(items: list[tuple[str, str]], weights: dict[str, float]) -> tuple[int
         if kind == "text":
             total += weights["word"] * len(what.split())
         else:
-            total += weights["out"] if kind == "out" else weights.get(what.lstrip("/"), UNSEEN)
+            total += weights[kind] if kind != "tag" else weights.get(what.lstrip("/"), UNSEEN)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
