@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from sigmill.llm import text as tx
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 4 << 20
+#: Parts of the key range for each shuffle partition.
+FINER = 4
 
 #: A chunk's documents to its sorted distinct keys and what each counts for, for each kind of key.
 Asker = Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]
@@ -70,10 +72,26 @@ def bounds(parts: int) -> np.ndarray:
     return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted distinct keys as the first and the steps from each to the next, each in as few bytes as the largest takes."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    first, steps = steps[:1], steps[1:]
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    return bytes([width]) + first.tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def expanded(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    steps = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    out = np.zeros((len(steps) + 1, 8), np.uint8)
+    out[0], out[1:, :width] = np.frombuffer(raw[1:9], np.uint8), steps
+    return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
+
+
 def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
     """chunk, kind, part, totals (int64, as bytes) for each question of a chunk; and a row without a chunk for each kind
     and part, with the number of keys that count for something (types) and their sum (total)."""
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = FINER * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,7 +104,7 @@ def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
                         [
                             pa.array([kind * parts + p for p in own], pa.int32()),
                             pa.array([chunk] * len(own), pa.int64()),
-                            pa.array([keys[cut[p] : cut[p + 1]].tobytes() for p in own], pa.binary()),
+                            pa.array([squeezed(keys[cut[p] : cut[p + 1]]) for p in own], pa.binary()),
                             pa.array([small[cut[p] : cut[p + 1]].tobytes() for p in own], pa.binary()),
                         ],
                         names=["part", "chunk", "keys", "counts"],
@@ -94,7 +112,7 @@ def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
 
     def totals(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
-        keys = [np.frombuffer(x.as_py(), np.uint64) for x in t["keys"]]
+        keys = [expanded(x.as_py()) for x in t["keys"]]
         counts = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(k) else np.int64) for x, k in zip(t["counts"].to_pylist(), keys)]
         every = np.concatenate(keys)
         order = np.argsort(every)

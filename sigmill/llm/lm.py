@@ -59,9 +59,15 @@ class Tokens:
         self.train = ~held_out(docs["doc_id"])
         self.training = np.repeat(self.train, np.diff(self.at))
         self.words, place = np.unique(vocab, return_inverse=True)
-        self.word, self.context = place[codes], place[before]
-        left = np.where(before == len(vocab) - 1, START, vocab[before])
-        self.pairs, self.pair = np.unique(tx.mix(left * _PAIR) + vocab[codes], return_inverse=True)
+        self.word, self.context = place.astype(np.int32)[codes], place.astype(np.int32)[before]
+        pairs = tx.mix(np.append(vocab[:-1], START) * _PAIR)[before] + vocab[codes]
+        del codes, before, w
+        order = np.argsort(pairs)
+        pairs = pairs[order]
+        first = np.concatenate([[True], pairs[1:] != pairs[:-1]]) if len(pairs) else np.zeros(0, bool)
+        self.pairs = pairs[first]
+        self.pair = np.empty(len(pairs), np.int32)
+        self.pair[order] = np.cumsum(first, dtype=np.int32) - 1
 
 
 def ask(docs: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
