@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.plans import choice_queries, metric_queries, signal_queries, table_queries  # noqa: F401  they register themselves
+from sigmill.plans import choice_queries, learn_queries, metric_queries, signal_queries, stream_queries, table_queries, windowed_queries  # noqa: F401  they register themselves
 from sigmill.plans.query import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["clip"](spark, sf_dir)
+    return QUERIES["flagship_chain"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
