@@ -31,35 +31,37 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-#: The labelled table that the default model learns from: 1 for sites to block.
+#: The labelled table that the default model learns from: sites to block, and sites to allow. Each stands with several
+#: subdomains and paths, the same for both kinds, so that these tell nothing.
 _BAD = """
-casino-royal.example.com/en/12 casino-jackpot.example.org/play win-casino.example.net/de/3 www.slots-casino.example.com/bonus
-free-bets.example.com/en/9 bets-online.example.net/odds sport-bets.example.org/fr/77 freebet-now.example.com/join
-cheap-pills.example.com/buy pills-online.example.org/en/4 order-pills.example.net/es/18 blue-pills.example.com/discount
-cheap-meds.example.org/de/66 viagra-cheap.example.com/en/5 pharma-cheap.example.net/sale
-adult-cams.example.com/en/31 adult-video.example.org/live xxx-adult.example.net/fr/2 adult-x.example.org/chat sex-adult.example.com/es/8
-spam-site.example.com/en/1 link-farm.example.net/de/44 spam-links.example.org/out content-farm.example.com/fr/6 spam-farm.example.net/en/91
-ads-click.example.com/track ad-track.example.net/en/52 ads-server.example.org/banner click-track.example.com/r track-ads.example.net/es/3
-win-prize.example.org/claim lucky-win.example.com/en/2 win-money.example.net/fr/10 fast-money.example.org/loan payday-loan.example.com/apply
-replica-watches.example.net/shop fake-watches.example.com/en/40 miracle-diet.example.org/de/21 warez-crack.example.net/download
+casino-royal.example.com casino-jackpot.example.org win-casino.example.net slots-casino.example.com casino-bonus.example.net
+free-bets.example.com bets-online.example.net sport-bets.example.org freebet-now.example.com live-bets.example.org
+cheap-pills.example.com pills-online.example.org order-pills.example.net blue-pills.example.com cheap-meds.example.org
+viagra-cheap.example.com pharma-cheap.example.net diet-pills.example.org
+adult-cams.example.com adult-video.example.org xxx-adult.example.net adult-x.example.org sex-adult.example.com adult-chat.example.net
+spam-site.example.com link-farm.example.net spam-links.example.org content-farm.example.com spam-farm.example.net
+ads-click.example.com ad-track.example.net ads-server.example.org click-track.example.com track-ads.example.net ads-track.example.org
+win-prize.example.org lucky-win.example.com win-money.example.net fast-money.example.org payday-loan.example.com
+replica-watches.example.net fake-watches.example.com miracle-diet.example.org warez-crack.example.net
 """
 _GOOD = """
-thrush.example.com/en/12 blog.heather.example.org/en/703 www.rational.example.net/de/3 m.thistle.example.com/fr/88
-stationer.example.com/en/9.html hinter.example.net/de/551 thorn.example.org/fr/77/ www.another.example.com/es/4
-thesis.example.org/en/4 blog.nation.example.net/es/18 weather.example.com/en/640 there.example.com/de/15.html
-erosion.example.org/de/66 enthrone.example.com/en/5 onset.example.net/fr/203/ tithe.example.net/en/31
-library.example.com/catalogue museum.example.org/en/2 university.example.net/courses www.gazette.example.com/fr/31
-recipes.example.org/en/1 garden.example.net/de/44 history.example.org/essay science.example.com/fr/6 blog.travel.example.net/en/91
-docs.example.com/manual wiki.example.net/en/52 forum.example.org/thread school.example.com/timetable m.radio.example.net/es/3
-theatre.example.org/programme orchestra.example.com/en/2 www.station.example.net/fr/10 blog.letters.example.org/es/7 council.example.com/apply
-archive.example.net/en/77 notes.example.com/en/40.html thermal.example.org/de/21/ blog.thinker.example.net/en/369 shentiont.example.net/en/801
-tionard.example.com/fr/9 blethe.example.org/en/17 ereng.example.com/de/130 handsome.example.net/es/14 whitish.example.org/en/222/
+thrush.example.com heather.example.org rational.example.net thistle.example.com stationer.example.com
+hinter.example.net thorn.example.org another.example.com thesis.example.org nation.example.net
+weather.example.com there.example.com erosion.example.org enthrone.example.com onset.example.net
+tithe.example.net library.example.com museum.example.org university.example.net gazette.example.com
+recipes.example.org garden.example.net history.example.org science.example.com travel.example.net docs.example.com
+wiki.example.net forum.example.org school.example.com radio.example.net theatre.example.org
+orchestra.example.com station.example.net letters.example.org council.example.com archive.example.net
+notes.example.com thermal.example.org thinker.example.net shentiont.example.net tionard.example.com
+blethe.example.org ereng.example.com handsome.example.net whitish.example.org
 """
+_FRONT = ["", "www.", "blog.", "m."]
+_BACK = ["/en/12", "/de/3.html", "/fr/88/", "/es/4", "/en/22089.html", "/en/703/", "/de/6151", "/", "/es/978.html"]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
     """url string, label double: the default labelled table."""
-    rows = [(f"https://{u}", label) for text, label in ((_BAD, 1.0), (_GOOD, 0.0)) for u in text.split()]
+    rows = [(f"https://{_FRONT[(k + j) % 4]}{host}{_BACK[(k + 2 * j) % 9]}", label) for text, label in ((_BAD, 1.0), (_GOOD, 0.0)) for k, host in enumerate(text.split()) for j in range(4)]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {label}D)" for u, label in rows) + " AS t(url, label)")
 
 
@@ -84,7 +86,7 @@ def slots(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(*(grams(t, k, n) for t, k in ((host, "h"), (path, "p")) for n in SIZES)))
 
 
-def fit(labelled: DataFrame, ridge: float = 0.01) -> tuple[list[float], float]:
+def fit(labelled: DataFrame, ridge: float = 0.003) -> tuple[list[float], float]:
     """Weights by slot, and the intercept, from (url, label) rows."""
     few = labelled.filter(F.col("url").isNotNull() & F.col("label").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(MAX_LABELLED)
     on = slots(host_of(F.col("url")), path_of(F.col("url")))
