@@ -12,9 +12,13 @@ def apply(df: DataFrame, feature: str, value: str, parameters: DataFrame) -> Dat
     return df.join(parameters, feature).withColumn(value, F.when(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")), 0.0).otherwise(y)).drop("shift", "factor")
 
 
-def outlier(train: DataFrame, feature: str, value: str, percent: float = 10.0) -> DataFrame:
-    """Maps the percentiles percent / 2 and 100 - percent / 2 to 0 and 1."""
-    low, high = F.percentile(value, percent / 200), F.percentile(value, 1 - percent / 200)
+def outlier(train: DataFrame, feature: str, value: str, percent: float = 10.0, exact: bool = True) -> DataFrame:
+    """Maps the percentiles percent / 2 and 100 - percent / 2 to 0 and 1.
+
+    Exact percentiles keep a count of each distinct value; with exact off they are approximate, in bounded memory.
+    """
+    of = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q, 10_000))
+    low, high = of(percent / 200), of(1 - percent / 200)
     return train.groupBy(feature).agg(low.alias("shift"), F.when(high == low, 1.0).otherwise(1 / (high - low)).alias("factor"))
 
 
@@ -25,10 +29,8 @@ def gaussian(train: DataFrame, feature: str, value: str) -> DataFrame:
 
 def histogram(train: DataFrame, feature: str, value: str, bins: int = 3) -> DataFrame:
     """Mean and deviation of the values in the fullest of the bins between min and max, edges included; the first of equals."""
-    w = Window.partitionBy(feature)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    step = (high - low) / bins
-    df = train.withColumns({"_low": low, "_step": step}).withColumn("_bin", F.when(F.col("_step") == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("_low")) / F.col("_step")), F.lit(bins - 1))).cast("int"))
+    limits = train.groupBy(feature).agg(F.min(value).alias("_low"), ((F.max(value) - F.min(value)) / bins).alias("_step"))
+    df = train.join(limits, feature).withColumn("_bin", F.when(F.col("_step") == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("_low")) / F.col("_step")), F.lit(bins - 1))).cast("int"))
     n = df.groupBy(feature, "_bin").agg(F.count("*").alias("_n"))
     best = n.groupBy(feature).agg(F.max(F.struct(F.col("_n"), (-F.col("_bin")).alias("b")))["b"].alias("_best")).withColumn("_best", -F.col("_best"))
     inside = df.join(best, feature).filter(F.col(value).between(F.col("_low") + F.col("_best") * F.col("_step"), F.col("_low") + (F.col("_best") + 1) * F.col("_step")))

@@ -1,9 +1,9 @@
 """Preprocessing of sampled signals in long form: one row for each sample of each channel.
 
 ``key`` names the columns that make one signal (a window and a channel, or a stream), ``order`` those that order its
-samples. A key is one signal, so a window function over it is as long as one recording; recordings are cut into windows
-before anything that needs a whole signal at once. Nothing here shuffles more than once for one (key, order), as
-Catalyst reuses the partitioning and sort of consecutive steps.
+samples. Operators on streams look a bounded number of samples back or ahead; they run on segments of the stream with a
+halo (see ``segments``), so a stream of any length is many tasks. What needs all samples of a key at once is for
+windows, whose length their definition bounds. Consecutive steps on one (key, order) share a shuffle and a sort.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import col, total
+from sigmill.operators.segments import LENGTH, in_segments
 
 
 def over(key: list[str], order: list[str]) -> WindowSpec:
@@ -35,25 +36,37 @@ def scale(df: DataFrame, value: str, factor: float) -> DataFrame:
     return df.withColumn(value, F.col(value) * factor)
 
 
-def diff2(df: DataFrame, value: str, key: list[str], order: list[str], keep: bool = False) -> DataFrame:
+def diff2(df: DataFrame, value: str, key: list[str], order: list[str], keep: bool = False, length: int = LENGTH) -> DataFrame:
     """x[t+1] - x[t]; the last sample is dropped, or 0 with keep."""
-    d = F.lead(value, 1).over(over(key, order)) - F.col(value)
-    out = df.withColumn(value, F.coalesce(d, F.lit(0.0)) if keep else d)
-    return out if keep else out.filter(F.col(value).isNotNull())
 
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        d = F.lead(value, 1).over(over(key, order)) - F.col(value)
+        out = df.withColumn(value, F.coalesce(d, F.lit(0.0)) if keep else d)
+        return out if keep else out.filter(F.col(value).isNotNull())
 
-def diff5(df: DataFrame, value: str, key: list[str], order: list[str], keep: bool = False) -> DataFrame:
+    return in_segments(df, key, order[0], run, 0, 1, length)
+
+
+def diff5(df: DataFrame, value: str, key: list[str], order: list[str], keep: bool = False, length: int = LENGTH) -> DataFrame:
     """x[t] - 2 x[t+1] + 2 x[t+3] - x[t+4]; the last four samples are dropped, or 0 with keep."""
-    at = lambda k: F.lead(value, k).over(over(key, order))
-    d = F.col(value) - 2 * at(1) + 2 * at(3) - at(4)
-    out = df.withColumn(value, F.coalesce(d, F.lit(0.0)) if keep else d)
-    return out if keep else out.filter(F.col(value).isNotNull())
 
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        at = lambda k: F.lead(value, k).over(over(key, order))
+        d = F.col(value) - 2 * at(1) + 2 * at(3) - at(4)
+        out = df.withColumn(value, F.coalesce(d, F.lit(0.0)) if keep else d)
+        return out if keep else out.filter(F.col(value).isNotNull())
+
+    return in_segments(df, key, order[0], run, 0, 4, length)
 
-def tkeo(df: DataFrame, value: str, key: list[str], order: list[str]) -> DataFrame:
+
+def tkeo(df: DataFrame, value: str, key: list[str], order: list[str], length: int = LENGTH) -> DataFrame:
     """Teager-Kaiser energy x[t-1]^2 - x[t-2] x[t], with zeros before the first sample."""
-    at = lambda k: F.lag(value, k, 0.0).over(over(key, order))
-    return df.withColumn(value, at(1) * at(1) - at(2) * F.col(value))
+
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        at = lambda k: F.lag(value, k, 0.0).over(over(key, order))
+        return df.withColumn(value, at(1) * at(1) - at(2) * F.col(value))
+
+    return in_segments(df, key, order[0], run, 2, 0, length)
 
 
 def moving_moments(value: str, key: list[str], order: list[str], width: int) -> tuple[Column, Column]:
@@ -63,23 +76,37 @@ def moving_moments(value: str, key: list[str], order: list[str], width: int) ->
     return s / width, F.greatest((width * q - s * s) / (width * width), F.lit(0.0))
 
 
-def moving_variance(df: DataFrame, value: str, key: list[str], order: list[str], width: int) -> DataFrame:
-    return df.withColumn(value, moving_moments(value, key, order, width)[1])
+def moving_variance(df: DataFrame, value: str, key: list[str], order: list[str], width: int, length: int = LENGTH) -> DataFrame:
 
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        return df.withColumn(value, moving_moments(value, key, order, width)[1])
 
-def moving_zscore(df: DataFrame, value: str, key: list[str], order: list[str], width: int) -> DataFrame:
-    mean, var = moving_moments(value, key, order, width)
-    return df.withColumn(value, F.when(var > 1e-12, (F.col(value) - mean) / F.sqrt(var)).otherwise(F.lit(0.0)))
+    return in_segments(df, key, order[0], run, width - 1, 0, length)
 
 
-def adaptive_threshold(df: DataFrame, value: str, key: list[str], order: list[str], width: int, factor: float, below: int) -> DataFrame:
-    """1 at a sample that reaches factor * sd + mean of the last width samples after more than below samples under it."""
-    mean, var = moving_moments(value, key, order, width)
-    w = over(key, order)
-    marked = df.withColumn("_hit", (F.col(value) >= factor * F.sqrt(var) + mean).cast("int")).withColumn("_at", F.row_number().over(w))
-    last = F.max(F.when(F.col("_hit") == 1, F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    onset = (F.col("_hit") == 1) & (F.col("_at") - 1 - F.coalesce(last, F.lit(0)) > below)
-    return marked.withColumn("onset", onset.cast("int")).drop("_hit", "_at")
+def moving_zscore(df: DataFrame, value: str, key: list[str], order: list[str], width: int, length: int = LENGTH) -> DataFrame:
+
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        mean, var = moving_moments(value, key, order, width)
+        return df.withColumn(value, F.when(var > 1e-12, (F.col(value) - mean) / F.sqrt(var)).otherwise(F.lit(0.0)))
+
+    return in_segments(df, key, order[0], run, width - 1, 0, length)
+
+
+def adaptive_threshold(df: DataFrame, value: str, key: list[str], order: list[str], width: int, factor: float, below: int, length: int = LENGTH) -> DataFrame:
+    """1 at a sample that reaches factor * sd + mean of the last width samples after more than below samples under it.
+
+    order[0] is the sample's position in its stream, which counts as under the threshold before it begins.
+    """
+
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        mean, var = moving_moments(value, key, order, width)
+        hit = (F.col(value) >= factor * F.sqrt(var) + mean).cast("int")
+        recent = F.coalesce(F.max("_hit").over(over(key, order).rowsBetween(-below - 1, -1)), F.lit(0))
+        onset = (F.col("_hit") == 1) & (recent == 0) & (F.col(order[0]) > below)
+        return df.withColumn("_hit", hit).withColumn("onset", onset.cast("int")).drop("_hit")
+
+    return in_segments(df, key, order[0], run, width + below, 0, length)
 
 
 def detrend(df: DataFrame, value: str, key: list[str]) -> DataFrame:
@@ -165,10 +192,14 @@ def fir_bandpass(taps: int, low: float, high: float, window: str = "hamming") ->
     return [a - b for a, b in zip(fir_lowpass(taps, high, window), fir_lowpass(taps, low, window))]
 
 
-def fir(df: DataFrame, value: str, key: list[str], order: list[str], kernel: list[float]) -> DataFrame:
+def fir(df: DataFrame, value: str, key: list[str], order: list[str], kernel: list[float], length: int = LENGTH) -> DataFrame:
     """Causal convolution with zero initial state, as a sum of lags: one sort, no join."""
-    w = over(key, order)
-    return df.withColumn(value, total([h * F.lag(value, k, 0.0).over(w) for k, h in enumerate(kernel)]))
+
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        w = over(key, order)
+        return df.withColumn(value, total([h * F.lag(value, k, 0.0).over(w) for k, h in enumerate(kernel)]))
+
+    return in_segments(df, key, order[0], run, len(kernel) - 1, 0, length)
 
 
 def nan_to_number(df: DataFrame, columns: list[str]) -> DataFrame:

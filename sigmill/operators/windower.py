@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators.segments import LENGTH, in_segments, last_where
+
 
 @dataclass(frozen=True)
 class Near:
@@ -43,8 +45,14 @@ def _near(df_order: Window, near: Near, t: str, marker: str, no_overlap: bool) -
     return F.sum(own).over(frame) - own  # the marker itself doesn't count
 
 
-def marker_windows(markers: DataFrame, defs: list[WindowDef], stream: list[str], t: str = "t", marker: str = "marker") -> DataFrame:
+def marker_windows(markers: DataFrame, defs: list[WindowDef], stream: list[str], t: str = "t", marker: str = "marker", length: int = LENGTH) -> DataFrame:
     """stream, m (position), window, label, first and last position of each window whose conditions hold."""
+    near = [n for d in defs for n in (*d.exclude, *d.include)]
+    before, after = max([0, *(n.before for n in near)]), max([0, *(n.after for n in near)])
+    return in_segments(markers, stream, t, lambda df, key: _marker_windows(df, defs, key, t, marker), before, after, length).drop(t)
+
+
+def _marker_windows(markers: DataFrame, defs: list[WindowDef], stream: list[str], t: str, marker: str) -> DataFrame:
     order = Window.partitionBy(*stream).orderBy(t)
     found = None
     for d in defs:
@@ -53,7 +61,7 @@ def marker_windows(markers: DataFrame, defs: list[WindowDef], stream: list[str],
         df = markers.withColumns(conditions) if conditions else markers
         for c in conditions:
             ok &= F.coalesce(F.col(c), F.lit(0)) == 0 if c.startswith("_x") else F.coalesce(F.col(c), F.lit(0)) >= 1
-        one = df.filter(ok).select(*stream, F.col(t).alias("m"), F.lit(d.name).alias("window"), F.lit(d.label).alias("label"), (F.col(t) + d.start).alias("first"), (F.col(t) + d.end - (1 if d.no_overlap else 0)).alias("last"))
+        one = df.filter(ok).select(*stream, t, F.col(t).alias("m"), F.lit(d.name).alias("window"), F.lit(d.label).alias("label"), (F.col(t) + d.start).alias("first"), (F.col(t) + d.end - (1 if d.no_overlap else 0)).alias("last"))
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -81,19 +89,14 @@ def sliding(samples: DataFrame, t: str, size: int, stride: int) -> DataFrame:
 
 
 def trials(samples: DataFrame, stream: list[str], t: str, marker: str, start: str, end: str) -> DataFrame:
-    """Samples between a start marker and the next end marker, with the number of their trial."""
-    w = Window.partitionBy(*stream).orderBy(t)
-    n = F.sum((F.col(marker) == start).cast("int")).over(w)
-    last = lambda m: F.max(F.when(F.col(marker) == m, F.col(t))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    began, ended = F.max(F.when(F.col(marker) == start, F.col(t))).over(w), last(end)
-    return samples.withColumn("trial", n.cast("long")).withColumn("_in", began.isNotNull() & (ended.isNull() | (ended < began))).filter("_in").drop("_in")
+    """Samples from a start marker to the next end marker (included), with the position of the trial's start."""
+    out = last_where(samples, stream, t, {"_s": F.col(marker) == start, "_e": F.col(marker) == end})
+    began = F.when(F.col(marker) == start, F.col(t)).otherwise(F.col("_s"))
+    return out.withColumn("began", began).filter(F.col("began").isNotNull() & (F.col("_e").isNull() | (F.col("_e") < F.col("began")))).drop("_s", "_e")
 
 
 def pair_with_trigger(events: DataFrame, stream: list[str], t: str, marker: str, event: str, trigger: str) -> DataFrame:
     """For each trigger, the last event before it and since the trigger before: position and waiting time, or null."""
-    w = Window.partitionBy(*stream).orderBy(t)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col(marker) == event, F.col(t))).over(before)
-    other = F.max(F.when(F.col(marker) == trigger, F.col(t))).over(before)
-    paired = F.when(other.isNull() | (last > other), last)
-    return events.withColumn("event_t", paired).filter(F.col(marker) == trigger).select(*stream, F.col(t).alias("trigger_t"), "event_t", (F.col(t) - F.col("event_t")).alias("waited"))
+    out = last_where(events, stream, t, {"_event": F.col(marker) == event, "_other": F.col(marker) == trigger})
+    paired = F.when(F.col("_other").isNull() | (F.col("_event") > F.col("_other")), F.col("_event"))
+    return out.filter(F.col(marker) == trigger).select(*stream, F.col(t).alias("trigger_t"), paired.alias("event_t"), (F.col(t) - paired).alias("waited"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators.segments import numbered
+
 WINDOW = 16
 
 
@@ -14,8 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One stream for each user: user_id, t (index), event_id, marker, value."""
-    t = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return table(spark, sf_dir, "events").select("user_id", t.cast("long").alias("t"), "event_id", F.col("event_type").alias("marker"), "value")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("marker"), "value")
+    return numbered(events, ["user_id"], F.date_trunc("day", "ts"), ["ts", "event_id"]).drop("ts")
 
 
 SAMPLES = "samples AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS t, event_id, event_type AS marker, value FROM events)"

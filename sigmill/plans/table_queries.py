@@ -66,12 +66,11 @@ def sliding_window(spark, d):
 
 @query(
     "trial_sessions",
-    f"""WITH {SAMPLES}, x AS (SELECT *, sum(CASE WHEN marker = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS trial,
-      max(CASE WHEN marker = 'signup' THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS began, max(CASE WHEN marker = 'error' THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM samples)
-    SELECT user_id, CAST(trial AS BIGINT) AS trial, t, marker FROM x WHERE began IS NOT NULL AND (ended IS NULL OR ended < began)""",
+    f"""WITH {SAMPLES}, x AS (SELECT *, max(CASE WHEN marker = 'signup' THEN t END) OVER (PARTITION BY user_id ORDER BY t) AS began, max(CASE WHEN marker = 'error' THEN t END) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM samples)
+    SELECT user_id, began, t, marker FROM x WHERE began IS NOT NULL AND (ended IS NULL OR ended < began)""",
 )
 def trial_sessions(spark, d):
-    return W.trials(samples(spark, d), ["user_id"], "t", "marker", "signup", "error").select("user_id", "trial", "t", "marker")
+    return W.trials(samples(spark, d), ["user_id"], "t", "marker", "signup", "error").select("user_id", "began", "t", "marker")
 
 
 @query(

@@ -210,3 +210,28 @@ def test_streaming(spark, tmp_path):
     r = stream.select("u", (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("r_time"), (F.col("x") > 1).alias("truth"))
     matched = _run(spark, live.online_confusion(p, r, "u", "2 MINUTES"), tmp_path, "conf", "append")
     assert matched.count() == 80
+
+
+def test_segments_change_nothing(spark):
+    """Short segments with halos give what one window over the whole stream gives."""
+    rng = np.random.default_rng(6)
+    s = spark.createDataFrame([(u, t, rng.choice(["a", "b", "c"]), float(rng.normal())) for u, n in ((1, 57), (2, 1), (3, 16)) for t in range(n)], "u long, t long, marker string, value double")
+    key, order = ["u"], ["t"]
+    for f in (
+        lambda n: signal.diff2(s, "value", key, order, length=n), lambda n: signal.diff5(s, "value", key, order, length=n), lambda n: signal.diff5(s, "value", key, order, True, length=n),
+        lambda n: signal.tkeo(s, "value", key, order, length=n), lambda n: signal.moving_variance(s, "value", key, order, 9, length=n), lambda n: signal.fir(s, "value", key, order, [0.5, 0.3, 0.2], length=n),
+        lambda n: signal.adaptive_threshold(s, "value", key, order, 5, 0.5, 3, length=n),
+        lambda n: windower.marker_windows(s, [windower.WindowDef("w", "x", "a", -1, 2, exclude=(windower.Near("b", 3, 1),), include=(windower.Near("c", 6, 0),))], key, length=n),
+    ):
+        whole, cut = ([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(f(n).collect())] for n in (1 << 15, 4))
+        assert whole == cut and whole
+    from sigmill.operators import segments
+
+    last = segments.last_where(s, key, "t", {"a": F.col("marker") == "a"}, 4).orderBy("u", "t").collect()
+    seen: dict = {}
+    for r in last:
+        assert r.a == seen.get(r.u)
+        if r.marker == "a":
+            seen[r.u] = r.t
+    n = segments.numbered(s.drop("t").withColumn("k", F.col("value")), key, F.floor("k"), ["k"], "p").groupBy("u").agg(F.count_distinct("p").alias("n"), F.max("p").alias("m")).collect()
+    assert {(r.u, r.n, r.m) for r in n} == {(1, 57, 56), (2, 1, 0), (3, 16, 15)}
