@@ -221,7 +221,7 @@ def test_segments_change_nothing(spark):
         lambda n: signal.diff2(s, "value", key, order, length=n), lambda n: signal.diff5(s, "value", key, order, length=n), lambda n: signal.diff5(s, "value", key, order, True, length=n),
         lambda n: signal.tkeo(s, "value", key, order, length=n), lambda n: signal.moving_variance(s, "value", key, order, 9, length=n), lambda n: signal.fir(s, "value", key, order, [0.5, 0.3, 0.2], length=n),
         lambda n: signal.adaptive_threshold(s, "value", key, order, 5, 0.5, 3, length=n),
-        lambda n: windower.marker_windows(s, [windower.WindowDef("w", "x", "a", -1, 2, exclude=(windower.Near("b", 3, 1),), include=(windower.Near("c", 6, 0),))], key, length=n),
+        lambda n: windower.marker_windows(s, [windower.WindowDef("w", "x", "a", -1, 2, exclude=(windower.Near("b", 1, 0),), include=(windower.Near("c", 6, 0),))], key, length=n),
     ):
         whole, cut = ([tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in sorted(f(n).collect())] for n in (1 << 15, 4))
         assert whole == cut and whole
