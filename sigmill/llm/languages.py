@@ -33,7 +33,7 @@ MAX_GRAMS = 60_000
 FLOOR, SHARE = 2e-6, 0.3
 BITS, HASHES = 19, 2
 FOLDS, HELD_OUT = 4, 2
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 UND = "und"
 
 _CLASS = np.array([chr(c).isalpha() for c in range(0x3000)])  # all code points beyond count as letters

@@ -28,7 +28,7 @@ COVERAGE = {5: 0.45, 6: 0.43, 8: 0.40, 10: 0.38, 13: 0.36}
 LINE_COVERAGE = 0.40
 MAX_SYMBOLS = 0.1
 BASE_LENGTH, BASE_WORDS, BASE_SHARE = 8, 20, 30
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>")).astype(np.int64)
 _WORD = (~np.isin(np.arange(256), list(tx.SPACES))).astype(np.int64)

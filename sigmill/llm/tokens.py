@@ -26,7 +26,7 @@ from sigmill.llm.workspace import Workspace, table
 
 TOKENIZERS = "/opt/tokenizers"
 END_ID = 2
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 3 << 20
 REMEMBERED = 1_000_000
 
 _SPACE = np.isin(np.arange(256), list(tx.SPACES))
