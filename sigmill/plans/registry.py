@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.plans import choice_queries, learn_queries, metric_queries, signal_queries, stream_queries, table_queries, windowed_queries  # noqa: F401  they register themselves
+from sigmill.plans import choice_queries, learn_queries, metric_queries, search_queries, signal_queries, stream_queries, table_queries, windowed_queries  # noqa: F401  they register themselves
 from sigmill.plans.query import QUERIES, SQL
 
 
