@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -15,8 +17,14 @@ from sigmill.streaming import live as V
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); a folder of this machine only where it is unset."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='sigmill-')}").rstrip("/")
+    """The shared folder of the session (spark.checkpoint.dir); only where it is unset a folder of this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = tempfile.mkdtemp(prefix="sigmill-")
+        atexit.register(shutil.rmtree, own, True)
+        folder = f"file://{own}"
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
