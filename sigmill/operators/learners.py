@@ -192,3 +192,36 @@ def svm(df: DataFrame, label: str, vector: str, positive: str, complexity: float
         if abs(step).max() < 1e-8:
             break
     return Linear(w[:-1], float(w[-1]))
+
+
+def ica(df: DataFrame, vector: str, k: int, rounds: int = 40, seed: int = 0) -> np.ndarray:
+    """Independent components (columns are filters) by the symmetric fixed-point rule with tanh.
+
+    Whitening comes from one pass of moments; each round is one pass in which every task adds up k x k numbers.
+    """
+    rows = df.select(F.lit("all").alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    m = moments(rows, "label", "x")
+    n, mean = m.n["all"], m.mean("all")
+    value, base = np.linalg.eigh(m.scatter("all") / n)
+    order = np.argsort(-value)[:k]
+    white = base[:, order] / np.sqrt(np.maximum(value[order], 1e-12))
+    w = np.linalg.qr(np.random.default_rng(seed).normal(size=(k, k)))[0]
+    for _ in range(rounds):
+
+        def add(batches, w=w):
+            s, d = np.zeros((k, k)), np.zeros(k)
+            for b in batches:
+                z = (np.array(b["x"].tolist(), float).reshape(len(b), -1) - mean) @ white
+                g = np.tanh(z @ w)
+                s += z.T @ g
+                d += (1 - g * g).sum(0)
+            yield pd.DataFrame({"row": np.arange(k + 1), "v": list(np.vstack([s, d]))})
+
+        sums = rows.mapInPandas(add, "row long, v array<double>").select("row", F.posexplode("v").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas()
+        t = sums.pivot(index="row", columns="col", values="v").to_numpy() / n
+        u, _, v = np.linalg.svd(t[:k] - w * t[k])
+        moved = np.max(1 - abs(np.sum((u @ v) * w, 0)))
+        w = u @ v
+        if moved < 1e-7:
+            break
+    return _signed(white @ w)

@@ -96,3 +96,14 @@ def random_projection(df: DataFrame, row: str, feature: str, value: str, k: int,
     unit = lambda salt, j: (F.pmod(F.xxhash64(F.col(feature), F.lit(j), F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     weight = lambda j: F.sqrt(-2 * F.log(unit(0, j))) * F.cos(2 * np.pi * unit(1, j))
     return df.groupBy(row).agg(*(F.sum(F.col(value) * weight(j)).alias(f"p{j}") for j in range(k)))
+
+
+def ssnr(windows: DataFrame, label: str, target: str, index: str, channels: list[str], filters: np.ndarray | None = None) -> float:
+    """Signal to signal-plus-noise ratio: power of the targets' evoked response over all power, under the filters if given."""
+    evoked = windows.filter(F.col(label) == target).groupBy(index).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in channels)).toPandas()
+    r = windows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(channels) for j, b in enumerate(channels) if j >= i)).first()
+    power = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(channels))] for i in range(len(channels))], float)
+    a = evoked[channels].to_numpy()
+    signal = a.T @ (a * evoked["n"].to_numpy()[:, None])
+    v = np.eye(len(channels)) if filters is None else filters
+    return float(np.trace(v.T @ signal @ v) / np.trace(v.T @ power @ v))

@@ -99,3 +99,9 @@ def chain(spark: SparkSession, sf_dir: str, folds: int = 3) -> DataFrame:
 def flagship_chain(spark, d):
     out = chain(spark, d)
     return out.select("fold", "TP", "TN", "FP", "FN", r6("Balanced_accuracy").alias("Balanced_accuracy"), r6("F_measure").alias("F_measure"))
+
+
+@query("ica")
+def ica(spark, d):
+    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 6))
+    return L.project(v, "x", L.ica(v, "x", 3, rounds=10)).select("id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))

@@ -57,3 +57,22 @@ def test_random_projection_is_fixed_and_close_to_gaussian(spark):
     w = np.array([[r.p0, r.p1] for r in search.random_projection(df, "row", "f", "x", 2).orderBy("row").collect()])
     assert abs(w.mean()) < 0.1 and w.std() == pytest.approx(1, abs=0.05) and abs(np.corrcoef(w.T)[0, 1]) < 0.1
     assert np.allclose(w, [[r.p0, r.p1] for r in search.random_projection(df.repartition(7), "row", "f", "x", 2).orderBy("row").collect()])
+
+
+def test_ica_unmixes(spark):
+    rng = np.random.default_rng(8)
+    s = np.stack([rng.uniform(-1, 1, 3000), np.sign(rng.normal(size=3000)) * rng.exponential(1, 3000)], 1)
+    mix = np.array([[1.0, 0.6], [-0.4, 1.0]])
+    df = spark.createDataFrame([([float(v) for v in r],) for r in s @ mix.T], "x array<double>").repartition(3)
+    f = learners.ica(df, "x", 2)
+    got = (s @ mix.T - (s @ mix.T).mean(0)) @ f
+    c = abs(np.corrcoef(got.T, s.T)[:2, 2:])
+    assert np.allclose(np.sort(c.max(1)), 1, atol=0.02) and np.allclose(got.T @ got / 3000, np.eye(2), atol=1e-6)
+
+
+def test_ssnr_rises_under_its_filter(spark):
+    rng = np.random.default_rng(9)
+    rows = [(w, k, "t", *(float(v) for v in (np.sin(k) + rng.normal(0, 1), rng.normal(0, 2)))) for w in range(40) for k in range(6)]
+    df = spark.createDataFrame(rows, "win long, t long, label string, a double, b double")
+    f = search.xdawn(df, "label", "t", "t", ["a", "b"], 1)
+    assert 0 < search.ssnr(df, "label", "t", "t", ["a", "b"]) < search.ssnr(df, "label", "t", "t", ["a", "b"], f) <= 1
