@@ -172,7 +172,8 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     blocked = nodes.join(first.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("label", "first")
     second = components(stars(blocked, ["first"], "b"), ws, "block-b")
     size = second.groupBy("label").agg(F.count("*").alias("size"))
-    blocked = ws.write(nodes.join(second.select(F.col("node").alias("sig"), F.col("label").alias("block")), "sig").join(size.withColumnRenamed("label", "block"), "block"), "blocked")
+    of = second.join(size, "label").select(F.col("node").alias("sig"), F.col("label").alias("block"), "size")
+    blocked = ws.write(nodes.join(of, "sig"), "blocked")
 
     at = F.pmod(F.xxhash64("sig"), F.lit(1 << 40))
     piece = F.when(F.col("size") <= tile, F.lit(0)).otherwise(F.pmod(at, F.ceil(F.col("size") / tile).cast("long")))
@@ -226,3 +227,20 @@ def keep_one(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text:
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"), Workspace(spark, "op4"))
+
+
+#: DuckDB: all pairs that share a shingle, and the transitive closure of their links.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[k:k + least(5, len(w)) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+links AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach(id, to_id) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.id, links.b FROM reach JOIN links ON reach.to_id = links.a)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN (SELECT id, min(to_id) AS component_id FROM reach GROUP BY id) m ON m.id = w.doc_id
+"""

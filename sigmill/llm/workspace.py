@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+ROWS_PER_TASK = 100_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -14,7 +17,9 @@ def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; only where it is unset (local runs, tests) a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='sigmill-')}"
+        own = tempfile.mkdtemp(prefix="sigmill-")
+        atexit.register(shutil.rmtree, own, True)
+        folder = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
@@ -26,9 +31,15 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str, **options: str) -> DataFrame:
-        """Writes df, lets go of the shuffle files behind it, and reads the table."""
+    def write(self, df: DataFrame, name: str, rows: int | None = None, **options: str) -> DataFrame:
+        """Writes df, lets go of the shuffle files behind it, and reads the table.
+
+        rows: as many as df has at most, if known; few rows are then written by fewer tasks than the session's shuffles
+        have, so that a chain of small tables isn't one of many tiny files.
+        """
         path = f"{self.root}/{name}"
+        if rows is not None and (tasks := -(-max(rows, 1) // ROWS_PER_TASK)) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
