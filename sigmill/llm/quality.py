@@ -121,3 +121,35 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sigmill.llm.workspace import table
 
     return report(table(spark, sf_dir, "documents")).drop("coverage", "line_coverage")
+
+
+#: DuckDB. Words hold no white space, so n-grams are compared as space-joined words.
+ORACLE_SQL = (
+    r"""
+WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT rn, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+grams AS (
+  SELECT rn, m, k, array_to_string(w[k:k + m - 1], ' ') AS g
+  FROM (SELECT rn, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (VALUES LENGTHS) l(m) WHERE len(w) >= m)),
+twice AS (SELECT rn, m, k FROM grams QUALIFY count(*) OVER (PARTITION BY rn, m, g) > 1),
+inside AS (SELECT DISTINCT rn, m, unnest(range(k, k + m)) AS i FROM twice),
+cover AS (SELECT rn, m, count(*) AS n, sum(length(word)) AS chars FROM inside JOIN words USING (rn, i) GROUP BY rn, m),
+lines AS (SELECT rn, line, pos, length(regexp_replace(line, '[\x20\x09-\x0D]', '', 'g')) AS chars FROM (SELECT rn, unnest(l) AS line, generate_subscripts(l, 1) AS pos FROM (SELECT rn, string_split(text, chr(10)) AS l FROM d))),
+marked AS (SELECT rn, chars, row_number() OVER (PARTITION BY rn, line ORDER BY pos) AS nth, count(*) OVER (PARTITION BY rn, line) AS times FROM lines WHERE chars > 0),
+by_line AS (SELECT rn, count(*) FILTER (nth > 1) AS dup, coalesce(sum(chars) FILTER (times > 1), 0) AS chars FROM marked GROUP BY rn),
+base AS (
+  SELECT d.rn, doc_id, len(w) AS n_words, coalesce((SELECT sum(length(word)) FROM words WHERE words.rn = d.rn), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup, 0) AS n_dup_lines, coalesce(by_line.chars, 0) AS line_chars, coalesce(c8.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN by_line ON by_line.rn = d.rn LEFT JOIN cover c8 ON c8.rn = d.rn AND c8.m = 8),
+judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS failed,
+    EXISTS (SELECT 1 FROM cover JOIN (VALUES LIMITS) t(m, most) ON t.m = cover.m WHERE cover.rn = base.rn AND CAST(cover.chars AS DOUBLE) / greatest(base.word_chars, 1) > most) AS covered
+  FROM base)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT covered AND CAST(line_chars AS DOUBLE) / greatest(word_chars, 1) <= LINES AND n_symbols <= SYMBOLS * n_words AS kept
+FROM judged
+""".replace("LENGTHS", ", ".join(f"({n})" for n in COVERAGE))
+    .replace("LIMITS", ", ".join(f"({n}, CAST({x} AS DOUBLE))" for n, x in COVERAGE.items()))
+    .replace("LINES", f"CAST({LINE_COVERAGE} AS DOUBLE)")
+    .replace("SYMBOLS", f"CAST({MAX_SYMBOLS} AS DOUBLE)")
+)

@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_jaccard": jaccard.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL}
