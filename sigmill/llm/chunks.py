@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from sigmill.llm import text as tx
 
 CHUNK_BYTES = 4 << 20
-#: Parts of the key range for each shuffle partition.
-FINER = 4
+#: A part's keys are added up in so many pieces, for the memory that sorting takes.
+PIECES = 4
 
 #: A chunk's documents to its sorted distinct keys and what each counts for, for each kind of key.
 Asker = Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]
@@ -91,7 +91,7 @@ def expanded(raw: bytes) -> np.ndarray:
 def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
     """chunk, kind, part, totals (int64, as bytes) for each question of a chunk; and a row without a chunk for each kind
     and part, with the number of keys that count for something (types) and their sum (total)."""
-    parts = FINER * int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,16 +114,27 @@ def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
         t = t.sort_by("chunk")
         keys = [expanded(x.as_py()) for x in t["keys"]]
         counts = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(k) else np.int64) for x, k in zip(t["counts"].to_pylist(), keys)]
-        every = np.concatenate(keys)
-        order = np.argsort(every)
-        first = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
-        group = np.cumsum(first) - 1
-        sums = np.add.reduceat(np.concatenate([c.astype(np.int64) for c in counts])[order], np.flatnonzero(first))
-        back = np.empty(len(every), np.int64)
-        back[order] = sums[group]
-        at = np.cumsum([0, *map(len, keys)])
         part = t["part"][0].as_py()
-        out = [back[a:b].tobytes() for a, b in zip(at, at[1:])]
+        low, high = ((part % parts) << 64) // parts, ((part % parts + 1) << 64) // parts
+        inner = np.array([low + (high - low) * k // PIECES for k in range(1, PIECES)], np.uint64)
+        cuts = [[0, *np.searchsorted(k, inner), len(k)] for k in keys]
+        back = [np.empty(len(k), np.int64) for k in keys]
+        types = total = 0
+        for piece in range(PIECES):
+            every = np.concatenate([k[c[piece] : c[piece + 1]] for k, c in zip(keys, cuts)])
+            if not len(every):
+                continue
+            order = np.argsort(every)
+            first = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
+            sums = np.add.reduceat(np.concatenate([n[c[piece] : c[piece + 1]].astype(np.int64) for n, c in zip(counts, cuts)])[order], np.flatnonzero(first))
+            own = np.empty(len(every), np.int64)
+            own[order] = sums[np.cumsum(first) - 1]
+            at = 0
+            for x, c in zip(back, cuts):
+                x[c[piece] : c[piece + 1]] = own[at : at + c[piece + 1] - c[piece]]
+                at += c[piece + 1] - c[piece]
+            types, total = types + int((sums > 0).sum()), total + int(sums.sum())
+        out = [x.tobytes() for x in back]
         n = len(out)
         return pa.table(
             {
@@ -131,8 +142,8 @@ def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
                 "kind": pa.array([part // parts] * (n + 1), pa.int32()),
                 "part": pa.array([part % parts] * (n + 1), pa.int32()),
                 "totals": pa.array([*out, None], pa.binary()),
-                "types": pa.array([None] * n + [int((sums > 0).sum())], pa.int64()),
-                "total": pa.array([None] * n + [int(sums.sum())], pa.int64()),
+                "types": pa.array([None] * n + [types], pa.int64()),
+                "total": pa.array([None] * n + [total], pa.int64()),
             }
         )
 
