@@ -141,11 +141,11 @@ def metric_average(spark, d):
 @query(
     "stat_features",
     f"""WITH {WINDOWS}, c AS (SELECT *, value - avg(value) OVER (PARTITION BY user_id, win) AS c FROM windows)
-    SELECT user_id, win, round(avg(value), 6) AS raw_1, round(sum(value * value), 4) AS raw_2, round(avg(value ** 3), 2) AS raw_3, round(avg(c * c), 4) + 0.0 AS central_2, round(avg(c ** 3), 2) + 0.0 AS central_3, round(stddev_pop(value), 6) + 0.0 AS std, round(sqrt(sum(value * value)), 6) AS quadratic_mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max FROM c GROUP BY user_id, win""",
+    SELECT user_id, win, round(avg(value), 6) AS raw_1, round(sum(value * value), 4) AS raw_2, round(avg(value ** 3), 2) AS raw_3, round(avg(c * c), 2) + 0.0 AS central_2, round(avg(c ** 3), 2) + 0.0 AS central_3, round(stddev_pop(value), 6) + 0.0 AS std, round(sqrt(sum(value * value)), 6) AS quadratic_mean, round(quantile_cont(value, 0.5), 6) AS median, min(value) AS min, max(value) AS max FROM c GROUP BY user_id, win""",
 )
 def stat_features(spark, d):
     s = X.statistics(windows(spark, d), ["user_id", "win"], "value", 3)
-    digits = {"raw_1": 6, "raw_2": 4, "raw_3": 2, "central_2": 4, "central_3": 2, "std": 6, "quadratic_mean": 6, "median": 6}
+    digits = {"raw_1": 6, "raw_2": 4, "raw_3": 2, "central_2": 2, "central_3": 2, "std": 6, "quadratic_mean": 6, "median": 6}
     return s.select("user_id", "win", *((F.round(c, n) + F.lit(0.0)).alias(c) for c, n in digits.items()), "min", "max")
 
 
