@@ -34,13 +34,13 @@ RULES = [
 #: The labelled table that the default model learns from: sites to block, and sites to allow. Each stands with several
 #: subdomains and paths, the same for both kinds, so that these tell nothing.
 _BAD = """
-casino-royal.example.com casino-jackpot.example.org win-casino.example.net slots-casino.example.com casino-bonus.example.net
-free-bets.example.com bets-online.example.net sport-bets.example.org freebet-now.example.com live-bets.example.org
-cheap-pills.example.com pills-online.example.org order-pills.example.net blue-pills.example.com cheap-meds.example.org
+casino-royal.example.com casino-jackpot.example.org grand-casino.example.net slots-casino.example.com casino-bonus.example.net
+best-bets.example.com bets-online.example.net sport-bets.example.org freebet-now.example.com live-bets.example.org
+discount-pills.example.com pills-online.example.org order-pills.example.net blue-pills.example.com cheap-meds.example.org
 viagra-cheap.example.com pharma-cheap.example.net diet-pills.example.org
-adult-cams.example.com adult-video.example.org xxx-adult.example.net adult-x.example.org sex-adult.example.com adult-chat.example.net
-spam-site.example.com link-farm.example.net spam-links.example.org content-farm.example.com spam-farm.example.net
-ads-click.example.com ad-track.example.net ads-server.example.org click-track.example.com track-ads.example.net ads-track.example.org
+adult-cams.example.com adult-video.example.org xxx-adult.example.net adult-zone.example.org sex-adult.example.com adult-chat.example.net
+spam-site.example.com link-farm.example.net spam-links.example.org content-farm.example.com spam-mill.example.net
+ads-click.example.com ad-track.example.net ads-server.example.org click-track.example.com track-ads.example.net banner-ads.example.org
 win-prize.example.org lucky-win.example.com win-money.example.net fast-money.example.org payday-loan.example.com
 replica-watches.example.net fake-watches.example.com miracle-diet.example.org warez-crack.example.net
 """
@@ -52,8 +52,8 @@ tithe.example.net library.example.com museum.example.org university.example.net
 recipes.example.org garden.example.net history.example.org science.example.com travel.example.net docs.example.com
 wiki.example.net forum.example.org school.example.com radio.example.net theatre.example.org
 orchestra.example.com station.example.net letters.example.org council.example.com archive.example.net
-notes.example.com thermal.example.org thinker.example.net shentiont.example.net tionard.example.com
-blethe.example.org ereng.example.com handsome.example.net whitish.example.org
+notes.example.com thermal.example.org thinker.example.net attention.example.net motion.example.com
+lather.example.org engrave.example.com handsome.example.net whitish.example.org
 """
 _FRONT = ["", "www.", "blog.", "m."]
 _BACK = ["/en/12", "/de/3.html", "/fr/88/", "/es/4", "/en/22089.html", "/en/703/", "/de/6151", "/", "/es/978.html"]
