@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from sigmill.llm.workspace import Workspace
 
 
-def components(links: DataFrame, ws: Workspace, name: str, rounds: int = 60) -> DataFrame:
-    """node, label for every node of links(u, v): label is the smallest node of its component.
+def components(links: DataFrame, ws: Workspace, name: str, rows: int | None = None, rounds: int = 60) -> DataFrame:
+    """node, label for every node of links(u, v): label is the smallest node of its component. rows: about as many links.
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014), each one aggregation and one join, until
     every node points at its label. Each round is written as a table and the one before it is dropped.
     """
     pairs = lambda df: df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
-    at = ws.write(pairs(links), f"{name}-0")
+    at = ws.write(pairs(links), f"{name}-0", rows)
     size = at.count()
     for k in range(1, rounds + 1):
         # the smallest neighbours are written first: a join of two plain shuffles is one whose hot nodes Spark can split

@@ -37,6 +37,8 @@ WIDTH = 5
 PERCENT = 80
 TILE = 512
 LEADERS = 24
+#: What a node with its set weighs in a table, in plain rows.
+NODE_ROWS = 10
 _SALT_B = np.uint64(0xA0761D6478BD642F)
 
 
@@ -167,13 +169,15 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     sets = ws.write(ck.answered(packed, replies, user(width, percent), f"doc_id {kind}, {SCHEMA}"), "sets")
     ws.drop("chunks", "totals")
 
-    nodes = ws.write(sets.filter(F.col("a").isNotNull()).select("sig", "a", "b", "body").dropDuplicates(["sig"]), "nodes")
-    first = components(stars(nodes, [], "a"), ws, "block-a")
+    total, some = sets.count(), sets.filter(F.col("a").isNotNull())
+    found = some.count()
+    nodes = ws.write(some.select("sig", "a", "b", "body").dropDuplicates(["sig"]), "nodes", NODE_ROWS * found)
+    first = components(stars(nodes, [], "a"), ws, "block-a", 4 * found)
     blocked = nodes.join(first.withColumnRenamed("node", "sig"), "sig").withColumnRenamed("label", "first")
-    second = components(stars(blocked, ["first"], "b"), ws, "block-b")
+    second = components(stars(blocked, ["first"], "b"), ws, "block-b", 4 * found)
     size = second.groupBy("label").agg(F.count("*").alias("size"))
     of = second.join(size, "label").select(F.col("node").alias("sig"), F.col("label").alias("block"), "size")
-    blocked = ws.write(nodes.join(of, "sig"), "blocked")
+    blocked = ws.write(nodes.join(of, "sig"), "blocked", NODE_ROWS * found)
 
     at = F.pmod(F.xxhash64("sig"), F.lit(1 << 40))
     piece = F.when(F.col("size") <= tile, F.lit(0)).otherwise(F.pmod(at, F.ceil(F.col("size") / tile).cast("long")))
@@ -186,8 +190,8 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
 
     big = cut.filter(F.col("size") > tile)
     if not big.limit(1).isEmpty():
-        found = components(links, ws, "part")
-        named = ws.write(big.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "named")
+        part = components(links, ws, "part", links.count())
+        named = ws.write(big.join(part.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig")), "named", NODE_ROWS * found)
         main = named.groupBy("block", "label").count().groupBy("block").agg(F.max(F.struct("count", "label"))["label"].alias("main"))
         rest = named.join(main, "block").filter("label <> main").drop("main")
         left = rest.groupBy("block").agg(F.ceil(F.count("*") / tile).cast("long").alias("lefts"))
@@ -199,7 +203,7 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
         )
         more = ws.write(tiles.groupBy("block", "left", "piece").applyInArrow(joiner(percent), "u string, v string"), "links-2")
         links = links.unionByName(more)
-    label = components(links, ws, "final")
+    label = components(links, ws, "final", links.count())
 
     by_set = sets.select("doc_id", "n_shingles", "sig")
     own = by_set.groupBy("sig").agg(F.min("doc_id").alias("_id"))  # of all copies, before they meet their component
@@ -207,7 +211,7 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     ids = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     of = named.select("sig", "label").join(ids, "label").select("sig", "component_id")
     out = by_set.join(of, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = ws.write(out, "result")
+    out = ws.write(out, "result", total)
     ws.drop("sets", "nodes", "blocked", "named", "links-1", "links-2", "block-a", "block-b", "part", "final")
     return out
 

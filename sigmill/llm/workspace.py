@@ -6,10 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
-ROWS_PER_TASK = 100_000
+ROWS_PER_TASK = 20_000
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -40,13 +41,20 @@ class Workspace:
         path = f"{self.root}/{name}"
         if rows is not None and (tasks := -(-max(rows, 1) // ROWS_PER_TASK)) < int(self.spark.conf.get("spark.sql.shuffle.partitions")):
             df = df.coalesce(tasks)
+        self._run(lambda: df.write.options(**{"compression": "zstd"} | options).parquet(path))
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def collect(self, df: DataFrame) -> list[Row]:
+        """The rows of a table of bounded size, without the shuffle files behind it."""
+        return self._run(df.collect)
+
+    def _run(self, action: Callable):
         before = self.spark.conf.get(_CLEANUP, None)
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.options(**{"compression": "zstd"} | options).parquet(path)
+            return action()
         finally:
             self.spark.conf.set(_CLEANUP, before) if before is not None else self.spark.conf.unset(_CLEANUP)
-        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark._jvm
