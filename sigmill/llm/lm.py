@@ -161,9 +161,10 @@ def score(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     sums = {r["kind"]: r for r in replies.filter("chunk IS NULL").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
     model = Model(sums[0]["total"], sums[0]["types"], np.zeros((BUCKETS, 3))) if 0 in sums else Model(0, 0, np.zeros((BUCKETS, 3)))
     cells = ck.answered(packed, replies, deleted(model), "key bigint, n bigint", 2).groupBy("key").agg(F.sum("n").alias("n"))
-    model.weights = learn(ws.collect(cells), model)  # as many rows as the grid has cells at most
+    cells = ws.write(cells, "cells", BUCKETS * 1000)  # as many rows as the grid has cells at most; writing lets go of the shuffle files
+    model.weights = learn(cells.collect(), model)
     out = ws.write(ck.answered(packed, replies, scorer(model), f"doc_id {kind}, {SCHEMA}", 2), "scores")
-    ws.drop("chunks", "totals")
+    ws.drop("chunks", "totals", "cells")
     return out
 
 
