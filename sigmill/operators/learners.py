@@ -95,9 +95,11 @@ class Quadratic:
     bias: float
 
     def score(self, vector: str) -> Column:
-        """x'Ax + w'x + bias, by rows of A."""
-        rows = F.array(*(dot(vector, r) for r in self.a))
-        quad = F.aggregate(F.zip_with(F.col(vector).cast("array<double>"), rows, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        """x'Ax + w'x + bias, by rows of A, which is one literal: the plan doesn't grow with the number of features."""
+        rows = F.expr("array(" + ",".join("array(" + ",".join(f"{float(x)!r}D" for x in r) + ")" for r in self.a) + ")")
+        v = F.col(vector).cast("array<double>")
+        total = lambda products: F.aggregate(products, F.lit(0.0), lambda s, x: s + x)
+        quad = total(F.zip_with(v, rows, lambda x, r: x * total(F.zip_with(v, r, lambda a, b: a * b))))
         return quad + dot(vector, self.w, self.bias)
 
 

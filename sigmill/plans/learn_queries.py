@@ -32,7 +32,7 @@ def lda(spark, d):
 
 @query("qda")
 def qda(spark, d):
-    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 12))
+    v = _vectors(spark, d)
     return _scored(v, L.qda(L.moments(v.filter("id % 2 = 0"), "label", "x"), "even", "odd"), "even", "odd")
 
 
@@ -44,8 +44,8 @@ def ridge_classifier(spark, d):
 
 @query("linear_svm")
 def linear_svm(spark, d):
-    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 16))
-    return _scored(v, L.svm(v.filter("id % 2 = 0"), "label", "x", "even", rounds=8), "even", "odd")
+    v = _vectors(spark, d)
+    return _scored(v, L.svm(v.filter("id % 2 = 0"), "label", "x", "even"), "even", "odd")
 
 
 @query("pca")
@@ -104,5 +104,5 @@ def flagship_chain(spark, d):
 
 @query("ica")
 def ica(spark, d):
-    v = _vectors(spark, d).withColumn("x", F.slice("x", 1, 6))
-    return L.project(v, "x", L.ica(v, "x", 3, rounds=10)).select("id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
+    v = _vectors(spark, d)
+    return L.project(v, "x", L.ica(v, "x", 3)).select("id", F.transform("projected", lambda x: F.round(x, 4)).alias("projected"))
