@@ -6,6 +6,8 @@ levels (counts of hash ranges, then a rank inside each range), so no class is so
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -83,17 +85,10 @@ def name_filter(df: DataFrame, feature: str, exclude: list[str] = (), include: l
     return df.filter(keep)
 
 
-def relief(vectors: DataFrame, row_id: str, label: str, features: str, queries: Column, k: int = 3, most: int = 5_000) -> DataFrame:
-    """RELIEF weights: for stated query rows, mean over them of (|x - miss| - |x - hit|) / k by feature.
-
-    The query rows (at most ``most``, else an error) go to every task; each task finds its nearest k of each kind for each
-    query, and the nearest of these are kept by query: tasks x queries x 2 k rows move, however large the table is.
-    """
-    asked = vectors.filter(queries).select(row_id, label, features).limit(most + 1).toPandas()
-    if len(asked) > most:
-        raise ValueError(f"more than {most} query rows; state fewer")
-    q = np.array(asked[features].tolist(), float).reshape(len(asked), -1)
-    ids, labels = asked[row_id].to_numpy(), asked[label].to_numpy()
+def _relief_sums(vectors: DataFrame, row_id: str, label: str, features: str, asked: list, k: int) -> dict[int, float]:
+    """Sums by feature over one block of query rows, of the mean |x - miss| less the mean |x - hit|."""
+    ids, labels = np.array([r[0] for r in asked]), np.array([r[1] for r in asked])
+    q = np.array([r[2] for r in asked], float)
 
     def near(batches):
         best: dict = {}
@@ -103,20 +98,41 @@ def relief(vectors: DataFrame, row_id: str, label: str, features: str, queries:
                 continue
             own, lab = b[row_id].to_numpy(), b[label].to_numpy()
             for s in range(0, len(ids), 256):
-                d2 = ((q[s : s + 256, None, :] - x[None, :, :]) ** 2).sum(2)
-                for i in range(d2.shape[0]):
+                d2 = np.zeros((len(ids[s : s + 256]), len(x)))
+                for f in range(x.shape[1]):
+                    d2 += (q[s : s + 256, f, None] - x[None, :, f]) ** 2
+                for i in range(len(d2)):
                     for hit in (True, False):
                         c = np.flatnonzero((lab == labels[s + i]) == hit)
                         c = c[own[c] != ids[s + i]]
+                        if len(c) > k:
+                            c = c[d2[i, c] <= np.partition(d2[i, c], k - 1)[k - 1]]
                         c = c[np.lexsort((own[c], d2[i, c]))[:k]]
-                        best.setdefault((s + i, hit), []).extend((float(d2[i, j]), int(own[j]), np.abs(x[j] - q[s + i])) for j in c)
+                        found = best.get((s + i, hit), []) + [(float(d2[i, j]), int(own[j]), np.abs(x[j] - q[s + i])) for j in c]
+                        best[s + i, hit] = sorted(found, key=lambda t: t[:2])[:k]
         for (i, hit), found in best.items():
-            found.sort(key=lambda t: t[:2])
-            for d2, j, diff in found[:k]:
-                yield pd.DataFrame({"q": [ids[i]], "hit": [hit], "d2": [d2], "n": [j], "diff": [diff]})
+            if found:
+                yield pd.DataFrame({"q": ids[i], "hit": hit, "d2": [t[0] for t in found], "n": [t[1] for t in found], "diff": [t[2] for t in found]})
 
     found = vectors.select(row_id, label, features).mapInPandas(near, "q long, hit boolean, d2 double, n long, diff array<double>")
     rank = F.row_number().over(Window.partitionBy("q", "hit").orderBy("d2", "n"))
     kept = found.withColumn("_r", rank).filter(F.col("_r") <= k).withColumn("_k", F.count("*").over(Window.partitionBy("q", "hit")))
-    each = kept.select("q", "hit", "_k", F.posexplode("diff").alias("f", "x"))
-    return each.groupBy(F.col("f").cast("long").alias("f")).agg((F.sum(F.when(F.col("hit"), -F.col("x")).otherwise(F.col("x")) / F.col("_k")) / len(ids)).alias("weight"))
+    each = kept.select("hit", "_k", F.posexplode("diff").alias("f", "x"))
+    sums = each.groupBy("f").agg(F.sum(F.when(F.col("hit"), -F.col("x")).otherwise(F.col("x")) / F.col("_k")).alias("s"))
+    return {r["f"]: r["s"] for r in sums.collect()}  # a row for each feature
+
+
+def relief(vectors: DataFrame, row_id: str, label: str, features: str, queries: Column, k: int = 3, most: int = 5_000) -> DataFrame:
+    """RELIEF weights: for stated query rows, mean over them of (|x - miss| - |x - hit|) / k by feature.
+
+    The query rows are taken in blocks of at most ``most``, one pass over the vectors for each, so any number of them is
+    answered and one block at a time is on the driver and in the tasks. Each task finds its nearest k of each kind for each
+    query, and the nearest of these are kept by query: tasks x block x 2 k rows move in a pass, however large the table is.
+    The weights are sums over the blocks; they are computed when the function is called.
+    """
+    rows, n, total = vectors.filter(queries).select(row_id, label, features).toLocalIterator(), 0, {}
+    while asked := list(islice(rows, most)):
+        n += len(asked)
+        for f, s in _relief_sums(vectors, row_id, label, features, asked, k).items():
+            total[f] = total.get(f, 0.0) + s
+    return vectors.sparkSession.createDataFrame([(int(f), s / n) for f, s in sorted(total.items())], "f long, weight double")

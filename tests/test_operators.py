@@ -74,6 +74,20 @@ def test_spatial_filters(vectors):
     assert learners.project(df, "x", p).select(F.size("projected")).distinct().collect() == [(2,)]
 
 
+@pytest.mark.parametrize("most", [5_000, 7, 1])
+def test_relief_takes_any_number_of_query_rows(vectors, most):
+    df, x, y = vectors
+    asked = [i for i in range(len(x)) if i % 9 == 0]
+    want = np.zeros(4)
+    for i in asked:
+        near = [j for j in np.argsort(((x - x[i]) ** 2).sum(1), kind="stable") if j != i]
+        for sign, same in ((-1, True), (1, False)):
+            want += sign * np.mean([abs(x[j] - x[i]) for j in near if (y[j] == y[i]) == same][:3], 0) / len(asked)
+    got = selection.relief(df, "id", "label", "x", F.col("id") % 9 == 0, most=most).orderBy("f").collect()
+    assert [r.f for r in got] == [0, 1, 2, 3] and np.allclose([r.weight for r in got], want)
+    assert selection.relief(df, "id", "label", "x", F.lit(False), most=most).count() == 0
+
+
 def test_platt_and_ridge(spark):
     rng = np.random.default_rng(3)
     s = rng.normal(0, 2, 400)
