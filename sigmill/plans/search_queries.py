@@ -33,7 +33,7 @@ def bayesian_lda(spark, d):
 
 @query("xdawn")
 def xdawn(spark, d):
-    r = records(spark, d).filter("t <= 4")
+    r = records(spark, d)
     f = H.xdawn(r, "label", "A", "t", CHANNELS, 2)
     x = F.array(*(F.col(c) for c in CHANNELS))
     return r.select("win", "t", *(F.round(L.dot(x, f[:, k]), 5).alias(f"c{k}") for k in range(2)))

@@ -57,3 +57,20 @@ def test_ica_reads_whole_vectors(spark, embeddings):
     step = white.T @ g / len(x) - np.diag((1 - g * g).mean(0))
     u, _, v = np.linalg.svd(step)
     assert np.allclose(abs(np.diag(u @ v)), 1, atol=1e-4)  # another round doesn't move them
+
+
+def test_xdawn_covers_all_rows(spark):
+    lines = pd.read_parquet(f"{DATA}/lineitem.parquet")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+    lines = lines.sort_values(order).assign(t=lambda x: x.groupby("l_orderkey").cumcount() + 1)
+    x = lines[["l_quantity", "l_extendedprice", "l_discount", "l_tax"]].to_numpy(float)
+    got = QUERIES["xdawn"](spark, DATA).toPandas().sort_values(["win", "t"])
+    assert got[["win", "t"]].to_numpy().tolist() == lines[["l_orderkey", "t"]].to_numpy().tolist()
+    evoked = lines.assign(**{f"x{k}": x[:, k] for k in range(4)})[lines.l_returnflag == "A"].groupby("t")[[f"x{k}" for k in range(4)]].agg("mean").to_numpy()
+    n = lines[lines.l_returnflag == "A"].groupby("t").size().to_numpy()
+    value, base = np.linalg.eigh(x.T @ x)
+    white = base / np.sqrt(np.maximum(value, 1e-12 * value.max()))  # the operator's own floor, for channels of very different size
+    order, rotate = np.linalg.eigh(white.T @ (evoked.T @ (evoked * n[:, None])) @ white)
+    want = x @ white @ rotate[:, np.argsort(-order)[:2]]
+    c = got[["c0", "c1"]].to_numpy()
+    assert np.allclose(c * np.sign((c * want).sum(0)), want, atol=2e-4)
