@@ -14,7 +14,9 @@ positions. The tables are sent to executors in blocks of at most ``block_windows
 more passes over the documents, not more memory. Documents are never shuffled.
 
 Defined results: null or empty text has no words and no hits; an item without words matches nothing; equal windows of
-several items count for each of them; repeated rows are judged one by one; an empty benchmark hits nothing.
+several items count for each of them; repeated rows are judged one by one; an empty benchmark hits nothing. Benchmark
+rows with a null id have windows like all others, so they count in n_hit and contaminated; all of them together are one
+item in n_items, and items_sha256, which is over the ids, leaves them out.
 """
 
 from __future__ import annotations
@@ -91,7 +93,7 @@ class PatternSet:
 class Index:
     """The pattern sets of one block of benchmark items, with their own word numbers."""
 
-    def __init__(self, items: list[str], texts: list[str | None], width: int):
+    def __init__(self, items: list[str | None], texts: list[str], width: int):
         self.items = items
         w = tx.words(pa.array(texts, pa.string()), tx.ALNUM)
         self.vocab = w.vocab
@@ -139,7 +141,7 @@ def _scanner(index: Index):
             for starts, which, s in found:
                 for r, p in set(zip((np.searchsorted(w.at, starts, "right") - 1).tolist(), which.tolist())):
                     items[r].extend(index.items[i] for i in s.owners[p])
-            items = [sorted(set(x)) for x in items]
+            items = [sorted(set(x), key=lambda i: (i is not None, i)) for x in items]
             n = pa.array(w.n, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [b.column("_text"), b.column("_doc_id"), n, pa.array(spans, b.schema.field("_spans").type), pa.array(items, b.schema.field("_items").type)],
@@ -149,10 +151,10 @@ def _scanner(index: Index):
     return scan
 
 
-def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[tuple[list[str], list[str | None]]]:
-    """The items, in blocks of about ``most`` words; only one block at a time is on the driver."""
+def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[tuple[list[str | None], list[str]]]:
+    """The items that have a text, null ids too, in blocks of about ``most`` words; only one block at a time is on the driver."""
     items, texts, size = [], [], 0
-    for row in benchmark.select(F.col(item).cast("string"), text).filter(F.col(item).isNotNull() & F.col(text).isNotNull()).toLocalIterator():
+    for row in benchmark.select(F.col(item).cast("string"), text).filter(F.col(text).isNotNull()).toLocalIterator():
         items.append(row[0])
         texts.append(row[1])
         size += len(row[1]) // 2 + 1  # no more words than that
@@ -164,7 +166,7 @@ def blocks(benchmark: DataFrame, item: str, text: str, most: int) -> Iterator[tu
 
 
 def find(documents: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", width: int = WIDTH, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """Per document row: its id, n_words, the spans of hit words [a, b) and the items that occur, as strings, sorted."""
+    """Per document row: its id, n_words, the spans of hit words [a, b) and the items that occur, as strings, sorted, a null id first."""
     df = documents.select(F.col(text).alias("_text"), F.col(doc_id).alias("_doc_id"), F.lit(0).cast("long").alias("_n_words"), F.expr(f"cast(array() as {_SPANS})").alias("_spans"), F.expr("cast(array() as array<string>)").alias("_items"))
     passes = [_scanner(Index(*b, width)) for b in blocks(benchmark, item, item_text, block_windows)]
     for scan in passes or [_scanner(Index([], [], width))]:

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -108,6 +109,24 @@ def test_decontamination(spark, docs, empty, block):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40])
+def test_decontamination_by_items_without_id(spark, docs, block):
+    """Their windows count; together they are one item that has no part in the hash. The SQL says the same."""
+    items = [(None, ROWS[3][1]), (1, ROWS[61][1]), (None, ROWS[70][1]), (2, ROWS[3][1]), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    report = decontaminate.report(docs, bench, block_windows=block)
+    got = by_id(report)
+    only = by_id(decontaminate.report(docs, spark.createDataFrame([(None, ROWS[70][1])], "item_id long, text string"), block_windows=block))
+    assert only[ROWS[70][0]].contaminated and only[ROWS[70][0]].n_items == 1 and only[ROWS[70][0]].items_sha256 == hashlib.sha256(b"").hexdigest()
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    con.register("benchmark", bench.toPandas().astype({"item_id": "Int64"}))
+    want = con.execute(decontaminate.ORACLE_SQL).fetchall()
+    assert sorted(map(tuple, report.collect())) == sorted(want)
+    kept = decontaminate.clean(docs, bench, block_windows=block)
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
+
+
 def test_wu_manber_with_small_alphabet():
     rng = np.random.default_rng(3)
     for m in (1, 2, 3, 7):
