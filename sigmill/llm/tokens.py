@@ -6,6 +6,10 @@ every place where it stands. The cuts are before a run of ASCII white space that
 Latin letter and a stop or comma. Both pre-tokenizers used here never take such a pair into one piece and don't look
 back, so the ids are those of the whole text; other white space, which could be ambiguous, isn't cut at. A worker
 remembers the ids of a bounded number of chunks.
+
+Defined results: null text is empty and has its end id alone; repeated rows are encoded and written each by itself, rows
+of one id ordered by a hash of the text; rows with a null id come first; texts of any length are encoded whole; an empty
+table gives an empty token table; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from pyspark.sql import functions as F
 from sigmill.llm import text as tx
 from sigmill.llm.workspace import Workspace, table
 
-TOKENIZERS = "/opt/tokenizers"
 END_ID = 2
 BATCH_BYTES = 3 << 20
 REMEMBERED = 1_000_000
@@ -35,6 +38,15 @@ _LETTER = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 _encoders: dict[str, Encoder] = {}
 
 
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """The array, or one of at least twice its size that begins with it, if it has no room for size entries."""
+    if size <= len(array):
+        return array
+    out = np.empty(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class Encoder:
     """One tokenizer file in one worker, and the ids of the first chunks that it met."""
 
@@ -43,8 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = pa.array([], pa.string())
-        self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.number: dict[str, int] = {}  # of a remembered chunk
+        self.start, self.pool = np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.uint32)  # chunk k has pool[start[k]:start[k + 1]]
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -52,28 +64,29 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def fresh(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def fresh(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each chunk has, and all their ids."""
-        ids, texts = [], chunks.to_pylist()
+        ids = []
         for k in range(0, len(texts), 10_000):
             ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + 10_000], add_special_tokens=False)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return size, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))
 
-    def chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many ids each distinct chunk has, where they start, and the ids."""
-        where = pc.index_in(distinct, self.known)
-        new = distinct.filter(pc.is_null(where))
-        size, ids = self.fresh(new)
-        slot = np.asarray(pc.fill_null(where, -1)).astype(np.int64)
-        slot[slot < 0] = len(self.known) + np.arange(len(new))
-        all_size, pool = np.concatenate([self.size, size]), np.concatenate([self.pool, ids])
-        room = REMEMBERED - len(self.known)
-        if room > 0 and len(new):
-            self.known = pa.concat_arrays([self.known, new.slice(0, room)])
-            self.size = all_size[: len(self.known)]
-            self.pool = pool[: self.size.sum()]
-        return all_size[slot], (np.cumsum(all_size) - all_size)[slot], pool
+    def chunks(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each distinct chunk has, and where they start in the pool (until the next call)."""
+        texts, known = distinct.to_pylist(), len(self.number)
+        number = np.fromiter((self.number.get(t, -1) for t in texts), np.int64, len(texts))
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            number[new] = known + np.arange(len(new))
+            size, ids = self.fresh([texts[k] for k in new])
+            at = int(self.start[known])
+            self.start, self.pool = grown(self.start, known + len(new) + 1), grown(self.pool, at + len(ids))
+            self.start[known + 1 : known + len(new) + 1] = at + np.cumsum(size)
+            self.pool[at : at + len(ids)] = ids
+            for k in new[: max(0, REMEMBERED - known)]:  # what doesn't fit is written over by the next batch
+                self.number[texts[k]] = int(number[k])
+        return self.start[number + 1] - self.start[number], self.start[number]
 
     def encode(self, column: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all rows, and where each row starts in them; end is added to every row."""
@@ -81,12 +94,12 @@ class Encoder:
         data, at = tx.data_of(column)
         cut = cuts(data, at)
         coded = tx.of_data(data, cut).dictionary_encode()
-        size, start, pool = self.chunks(coded.dictionary)
+        size, start = self.chunks(coded.dictionary)
         codes = np.asarray(coded.indices)
         n = size[codes]
         before = np.concatenate([[0], np.cumsum(n)])
         row_at = before[np.searchsorted(cut, at)]
-        flat = pool[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], n)]
+        flat = self.pool[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], n)]
         if end is not None:
             flat = np.insert(flat, row_at[1:], end)
             row_at = row_at + np.arange(len(row_at))
@@ -116,8 +129,13 @@ def crcs(flat: np.ndarray, at: np.ndarray) -> list[int]:
     return [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
 
 
-def path_of(name: str, folder: str = TOKENIZERS) -> str:
-    return f"{folder}/{name}"
+def path_of(name: str, folder: str | None = None) -> str:
+    """A tokenizer file's place: in the folder, or where the installed vocabulary files are."""
+    if folder is not None:
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 # ---- token files ----
