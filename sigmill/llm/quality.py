@@ -2,10 +2,13 @@
 
 For several n-gram lengths a rolling hash over the words of each text finds n-grams that occur more than once in it; the
 share of the text's word characters that lie inside such n-grams is its coverage at that length. The same is measured
-for lines that repeat an earlier line. A text whose coverage passes a limit at any length is rejected, and so is one
-whose words carry more symbols than ``max_symbols`` each.
+for lines that repeat an earlier line. A text whose coverage passes a limit at any length is rejected; nothing else is.
 
-The limits leave room for one repeated line or heading in a short text; text that is mostly its own repetition fails.
+The hash rolls: prefix hashes are made once for a batch and every length takes one difference of them for each word.
+
+The limits are parameters. Their defaults leave room for one passage that stands twice in a text (up to 0.4 of it, so a
+quoted or repeated fifth) and tighten with the length, since long repeats are never chance; text that is mostly its own
+repetition fails.
 
 Defined results: null or empty text has no words, fails the base rule and isn't kept; ties and repeated rows are judged
 each by itself; other columns pass through ``keep`` untouched. All counts are over whole texts.
@@ -26,7 +29,6 @@ from sigmill.llm import text as tx
 #: n-gram length: largest share of word characters inside n-grams of that length found twice or more.
 COVERAGE = {5: 0.45, 6: 0.43, 8: 0.40, 10: 0.38, 13: 0.36}
 LINE_COVERAGE = 0.40
-MAX_SYMBOLS = 0.1
 BASE_LENGTH, BASE_WORDS, BASE_SHARE = 8, 20, 30
 BATCH_BYTES = 2 << 20
 
@@ -49,29 +51,29 @@ def repeated(keys: np.ndarray, rows: np.ndarray, first_too: bool = True) -> np.n
     return out
 
 
-def covered(w: tx.Words, hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+def covered(rolling: tx.Rolling, rows: np.ndarray, n: int) -> np.ndarray:
     """Which words lie inside an n-gram that its text holds twice or more."""
-    edge = np.zeros(len(hashes) + 1, np.int64)
-    if len(hashes) >= n:
+    edge = np.zeros(len(rows) + 1, np.int64)
+    if len(rows) >= n:
         at = np.flatnonzero(rows[: len(rows) - n + 1] == rows[n - 1 :])
-        starts = at[repeated(tx.windows(hashes, n)[at], rows[at])]
+        starts = at[repeated(rolling.windows(n)[at], rows[at])]
         edge[starts] += 1
         edge[starts + n] -= 1  # starts are distinct, and so are their ends
     return np.cumsum(edge[:-1]) > 0
 
 
-def measure(column: pa.Array | pa.ChunkedArray, coverage: dict[int, float] = COVERAGE, line_coverage: float = LINE_COVERAGE, max_symbols: float = MAX_SYMBOLS) -> pa.RecordBatch:
+def measure(column: pa.Array | pa.ChunkedArray, coverage: dict[int, float] = COVERAGE, line_coverage: float = LINE_COVERAGE) -> pa.RecordBatch:
     """A row of SCHEMA for each text."""
     column = tx.plain(column)
     data, at = tx.data_of(column)
     w = tx.split(column)
-    hashes, rows, n = w.hashes()[w.codes], w.rows(), w.n
+    rolling, rows, n = tx.Rolling(w.hashes()[w.codes]), w.rows(), w.n
     size = np.asarray(pc.utf8_length(w.vocab)).astype(np.int64)[w.codes]
     chars = tx.sums(size, w.at)
     symbols = tx.sums(_SYMBOL[data], at)
-    repeat_words = tx.sums(covered(w, hashes, rows, BASE_LENGTH).astype(np.int64), w.at)
-    share = lambda hit: tx.sums(size * hit, w.at) / np.maximum(chars, 1)
-    shares = np.stack([share(covered(w, hashes, rows, k)) for k in coverage], 1) if coverage else np.zeros((len(n), 0))
+    inside = {k: covered(rolling, rows, k) for k in {*coverage, BASE_LENGTH}}
+    repeat_words = tx.sums(inside[BASE_LENGTH].astype(np.int64), w.at)
+    shares = np.stack([tx.sums(size * inside[k], w.at) / np.maximum(chars, 1) for k in coverage], 1) if coverage else np.zeros((len(n), 0))
 
     lists = pc.split_pattern(column, "\n")
     line_at = np.asarray(lists.offsets).astype(np.int64)
@@ -87,7 +89,7 @@ def measure(column: pa.Array | pa.ChunkedArray, coverage: dict[int, float] = COV
     in_lines = tx.sums(line_chars[codes] * twice, line_at) / np.maximum(chars, 1)
 
     failed = (n < BASE_WORDS) | (100 * repeat_words > BASE_SHARE * n)
-    kept = ~failed & (in_lines <= line_coverage) & (symbols <= max_symbols * n)
+    kept = ~failed & (in_lines <= line_coverage)
     for k, most in enumerate(coverage.values()):
         kept &= shares[:, k] <= most
     out = [*(pa.array(x, pa.int64()) for x in (n, chars, symbols, dup_lines, repeat_words)), pa.array(failed), pa.array(kept)]
@@ -146,10 +148,9 @@ judged AS (
     EXISTS (SELECT 1 FROM cover JOIN (VALUES LIMITS) t(m, most) ON t.m = cover.m WHERE cover.rn = base.rn AND CAST(cover.chars AS DOUBLE) / greatest(base.word_chars, 1) > most) AS covered
   FROM base)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, failed AS base_failed,
-  NOT failed AND NOT covered AND CAST(line_chars AS DOUBLE) / greatest(word_chars, 1) <= LINES AND n_symbols <= SYMBOLS * n_words AS kept
+  NOT failed AND NOT covered AND CAST(line_chars AS DOUBLE) / greatest(word_chars, 1) <= LINES AS kept
 FROM judged
 """.replace("LENGTHS", ", ".join(f"({n})" for n in COVERAGE))
     .replace("LIMITS", ", ".join(f"({n}, CAST({x} AS DOUBLE))" for n, x in COVERAGE.items()))
     .replace("LINES", f"CAST({LINE_COVERAGE} AS DOUBLE)")
-    .replace("SYMBOLS", f"CAST({MAX_SYMBOLS} AS DOUBLE)")
 )

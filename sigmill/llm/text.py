@@ -123,6 +123,28 @@ def windows(values: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+class Rolling:
+    """A rolling hash mod 2**64 as prefix hashes: that of any run of values is one difference, shifted back to its start."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+
+        def powers(base: int) -> np.ndarray:
+            out = np.full(n + 1, base, np.uint64)
+            out[0] = 1
+            return np.cumprod(out, dtype=np.uint64)
+
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * powers(self.BASE)[:n], dtype=np.uint64)])
+        self.back = powers(pow(self.BASE, -1, 1 << 64))
+
+    def windows(self, width: int) -> np.ndarray:
+        """The hash of each run of ``width`` consecutive values, whatever row they are in."""
+        n = max(0, len(self.prefix) - width)
+        return mix((self.prefix[width:] - self.prefix[:n]) * self.back[:n])
+
+
 def spread(counts: np.ndarray) -> np.ndarray:
     """0, 1, .. counts[0]-1, 0, 1, .. counts[1]-1, ..."""
     ends = np.cumsum(counts)
