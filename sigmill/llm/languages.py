@@ -4,9 +4,10 @@ Slot i of the filter holds one bit for each language; an n-gram's languages are
 gives all languages that contain it. A text's n-grams are counted by language, each count is corrected for the
 language's rate of false positives, and the largest wins.
 
-An n-gram belongs to a language if its rate there reaches a floor and a share of its highest rate in any language; so
-foreign passages in a language's texts don't fill its filter. Filters are fitted on about ``TRAIN_DOCS`` labelled
-documents of each language, chosen by hash, and hold at most ``MAX_GRAMS`` n-grams of each, the most frequent; the
+An n-gram belongs to a language if its rate there reaches ``FLOOR`` and a share of its highest rate in any language; so
+foreign passages in a language's texts don't fill its filter. Every such n-gram is in the filter; since rates add up to 1,
+a language has at most 1 / FLOOR of them, and the number of slots follows from how many there are. Filters are fitted on
+about ``TRAIN_DOCS`` labelled documents of each language, chosen by hash, which is the bound of what they learn from; the
 prediction reads whole texts and nothing but them.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0; a text without a known n-gram gets the
@@ -16,8 +17,10 @@ language by name; repeated rows are judged each by itself; an empty table gives
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,18 @@ from sigmill.llm import text as tx
 
 SIZES = (3, 4)
 TRAIN_DOCS = 4_000
-MAX_GRAMS = 60_000
 FLOOR, SHARE = 2e-6, 0.3
-BITS, HASHES = 19, 2
+HASHES, SLOTS_PER_GRAM = 2, 8
 FOLDS, HELD_OUT = 4, 2
 BATCH_BYTES = 1 << 20
 UND = "und"
 
-_CLASS = np.array([chr(c).isalpha() for c in range(0x3000)])  # all code points beyond count as letters
+
+
+@cache
+def letters() -> np.ndarray:
+    """Which code points are letters."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
 def codes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +53,7 @@ def codes(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     padded = pc.binary_join_element_wise(" ", column, " ", "")
     data, _ = tx.data_of(tx.plain(padded))
     points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    letter = _CLASS[np.minimum(points, len(_CLASS) - 1)] | (points >= len(_CLASS))
-    return np.where(letter, points, 0x20).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
+    return np.where(letters()[points], points, 0x20).astype(np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def grams(points: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,19 +79,22 @@ class Filters:
     false: np.ndarray
     usual: str
 
-    @staticmethod
-    def slots(keys: np.ndarray) -> list[np.ndarray]:
-        return [((keys >> np.uint64(k * (64 // HASHES))) & np.uint64((1 << BITS) - 1)).astype(np.int64) for k in range(HASHES)]
+    bits: int = 10
+
+    def slots(self, keys: np.ndarray) -> list[np.ndarray]:
+        return [((keys >> np.uint64(k * (64 // HASHES))) & np.uint64((1 << self.bits) - 1)).astype(np.int64) for k in range(HASHES)]
 
     @staticmethod
     def of(members: dict[str, np.ndarray], usual: str) -> Filters:
         names = sorted(members)
-        words = [np.zeros(1 << BITS, np.uint64) for _ in range(-(-len(names) // 64))]
+        out = Filters(names, [], np.zeros(0), usual, max(10, (SLOTS_PER_GRAM * max(map(len, members.values()), default=0)).bit_length()))
+        out.words = words = [np.zeros(1 << out.bits, np.uint64) for _ in range(-(-len(names) // 64))]
         for k, name in enumerate(names):
-            for slot in Filters.slots(members[name]):
+            for slot in out.slots(members[name]):
                 words[k // 64][slot] |= np.uint64(1) << np.uint64(k % 64)
         filled = [((words[k // 64] >> np.uint64(k % 64)) & np.uint64(1)).mean() for k in range(len(names))]
-        return Filters(names, words, np.array(filled) ** HASHES, usual)
+        out.false = np.array(filled) ** HASHES
+        return out
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         column = tx.plain(column)
@@ -118,10 +127,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
     seen = {r["lang"]: r["count"] for r in df.groupBy("lang").count().collect()}
     if not seen:
         return Filters([], [], np.zeros(0), UND)
-    rate = F.lit(0.0)
-    for name, n in seen.items():
-        rate = F.when(F.col("lang") == name, min(1.0, TRAIN_DOCS / n)).otherwise(rate)
-    some = df.filter(F.pmod("_key", F.lit(1 << 30)) < rate * float(1 << 30)).select("lang", "_text")
+    rates = F.from_json(F.lit(json.dumps({name: min(1.0, TRAIN_DOCS / n) for name, n in seen.items()})), "map<string,double>")
+    some = df.filter(F.pmod("_key", F.lit(1 << 30)) < rates[F.col("lang")] * float(1 << 30)).select("lang", "_text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in tx.slices(batches, "_text", BATCH_BYTES):
@@ -132,11 +139,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str
 
     counts = some.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total")).filter((F.col("rate") >= FLOOR) & (F.col("n") > 1))
+    rates = counts.join(total, "lang").withColumn("rate", F.col("n") / F.col("total")).filter((F.col("rate") >= FLOOR) & (F.col("n") > 1))
     own = rates.withColumn("top", F.max("rate").over(Window.partitionBy("gram"))).filter(F.col("rate") >= SHARE * F.col("top"))
-    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("rate"), "gram"))).filter(F.col("rank") <= MAX_GRAMS)
     members = {name: [] for name in seen}
-    for r in ranked.select("lang", "gram").toLocalIterator():
+    for r in own.select("lang", "gram").toLocalIterator():  # 1 / FLOOR for each language at most
         members[r["lang"]].append(r["gram"])
     return Filters.of({k: np.array(v, np.int64).view(np.uint64) for k, v in members.items()}, min(seen, key=lambda k: (-seen[k], k)))
 

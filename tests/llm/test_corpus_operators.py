@@ -528,7 +528,7 @@ def test_filters_hold_more_than_64_languages():
     members = {f"l{k:03}": np.array([text.mix(np.array([k + 1], np.uint64))[0]], np.uint64) for k in range(130)}
     f = languages.Filters.of(members, "l000")
     for k, name in enumerate(f.languages):
-        slots = languages.Filters.slots(members[name])
+        slots = f.slots(members[name])
         assert all((f.words[k // 64][s] >> np.uint64(k % 64)) & np.uint64(1) for s in slots)
 
 
