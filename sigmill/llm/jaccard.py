@@ -218,15 +218,18 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
 
 def keep_one(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each component, that with the smallest id (and text hash, if an id stands twice), with all its columns."""
-    marked = documents.withColumn("_id", F.struct(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h")))
-    found = link(marked, ws, "_id", text, **options)
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    twice = ws.write(found.filter("doc_id <=> component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_id")), "twice")
-    kept = marked.join(gone, marked["_id"].eqNullSafe(gone["_id"]), "left_anti")
-    if not twice.limit(1).isEmpty():  # rows that repeat an id with its text
-        once = kept.join(twice, kept["_id"].eqNullSafe(twice["_id"]), "left_semi").dropDuplicates(["_id"])
-        kept = kept.join(twice, kept["_id"].eqNullSafe(twice["_id"]), "left_anti").unionByName(once)
-    return kept.drop("_id")
+    key = "_key"
+    while key in documents.columns:
+        key += "_"
+    marked = documents.withColumn(key, F.struct(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h")))
+    found = link(marked, ws, key, text, **options)
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct()
+    twice = ws.write(found.filter("doc_id <=> component_id").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(key)), "twice")
+    kept = marked.join(gone, marked[key].eqNullSafe(gone[key]), "left_anti")
+    if not twice.isEmpty():  # rows that repeat an id with its text
+        once = kept.join(twice, kept[key].eqNullSafe(twice[key]), "left_semi").dropDuplicates([key])
+        kept = kept.join(twice, kept[key].eqNullSafe(twice[key]), "left_anti").unionByName(once)
+    return kept.drop(key)
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
