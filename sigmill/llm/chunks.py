@@ -5,14 +5,17 @@ shuffle and sort. Here documents are packed into chunks of a bounded size (one r
 for its distinct 64-bit keys in one sorted array for each part of the key range; each part sums what all chunks ask for
 and answers each with totals in the order of its question. A chunk and its answers then meet by the chunk's number.
 
-Nothing is collected: a chunk is bounded by ``CHUNK_BYTES`` of text (a longer text is a chunk of its own), a part holds
-its share of the key range, whose size follows from spark.sql.shuffle.partitions, and a key that every document holds
-is one entry for each chunk.
+Nothing is collected: a chunk is bounded by ``CHUNK_BYTES`` of text (a longer text is a chunk of its own); the key range
+is cut into as many parts as ``PART_BYTES`` of questions each need, from the size of the packed text, so a part doesn't
+grow with the corpus; a key that every document holds is one entry for each chunk. Tasks are as many as parts, and as
+groups of ``CHUNKS_PER_TASK`` chunks. The questions are chunks times parts rows at most: some thousand bytes each up to
+some hundred GB of text, beyond which CHUNK_BYTES and PART_BYTES have to grow with the executors' memory.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sigmill.llm import text as tx
+from sigmill.llm.workspace import Workspace
 
 CHUNK_BYTES = 4 << 20
-#: A part's keys are added up in so many pieces, for the memory that sorting takes.
-PIECES = 4
+#: Of packed questions in a part. A byte of text asks for about ASKED bytes of packed keys of one kind.
+PART_BYTES, ASKED = 16 << 20, 1.2
+CHUNKS_PER_TASK = 4
 
 #: A chunk's documents to its sorted distinct keys and what each counts for, for each kind of key.
 Asker = Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]
@@ -34,9 +39,25 @@ def nullable(kind: pa.DataType) -> pa.DataType:
     return pa.struct([pa.field(f.name, nullable(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
 
 
+@dataclass
+class Chunks:
+    """The written table of chunks (chunk, size, body), and the number of tasks that its chunks and its questions need."""
+
+    table: DataFrame
+    tasks: int
+    parts: int
+
+    @staticmethod
+    def of(documents: DataFrame, ws: Workspace, doc_id: str, text: str) -> Chunks:
+        table = ws.write(packed(documents, doc_id, text), "chunks", compression="none")
+        n, size = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        usual = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return Chunks(table, max(1, min(usual, n), -(-n // CHUNKS_PER_TASK)), max(1, int(size * ASKED / PART_BYTES) + 1))
+
+
 def packed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """chunk, body: the documents' (doc_id, text) in compressed Arrow form. Chunk numbers hold for one evaluation, so
-    the result has to be written before it is used twice."""
+    """chunk, size, body: the documents' (doc_id, text) in compressed Arrow form, and their size before. Chunk numbers hold
+    for one evaluation, so the result has to be written before it is used twice."""
     df = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,7 +70,7 @@ def packed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
             with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                 for x in held:
                     out.write_batch(x)
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "body"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "size", "body"])
 
         for b in tx.slices(batches, "text", CHUNK_BYTES // 4):
             if held and size + b.nbytes > CHUNK_BYTES:
@@ -60,7 +81,7 @@ def packed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
         if held:
             yield row()
 
-    return df.mapInArrow(run, "chunk bigint, body binary")
+    return df.mapInArrow(run, "chunk bigint, size bigint, body binary")
 
 
 def unpacked(body: bytes) -> pa.Table:
@@ -88,10 +109,10 @@ def expanded(raw: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
+def answers(chunks: Chunks, ask: Asker, kinds: int = 1) -> DataFrame:
     """chunk, kind, part, totals (int64, as bytes) for each question of a chunk; and a row without a chunk for each kind
     and part, with the number of keys that count for something (types) and their sum (total)."""
-    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = chunks.parts
 
     def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,27 +135,16 @@ def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
         t = t.sort_by("chunk")
         keys = [expanded(x.as_py()) for x in t["keys"]]
         counts = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(k) else np.int64) for x, k in zip(t["counts"].to_pylist(), keys)]
-        part = t["part"][0].as_py()
-        low, high = ((part % parts) << 64) // parts, ((part % parts + 1) << 64) // parts
-        inner = np.array([low + (high - low) * k // PIECES for k in range(1, PIECES)], np.uint64)
-        cuts = [[0, *np.searchsorted(k, inner), len(k)] for k in keys]
-        back = [np.empty(len(k), np.int64) for k in keys]
-        types = total = 0
-        for piece in range(PIECES):
-            every = np.concatenate([k[c[piece] : c[piece + 1]] for k, c in zip(keys, cuts)])
-            if not len(every):
-                continue
-            order = np.argsort(every)
-            first = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
-            sums = np.add.reduceat(np.concatenate([n[c[piece] : c[piece + 1]].astype(np.int64) for n, c in zip(counts, cuts)])[order], np.flatnonzero(first))
-            own = np.empty(len(every), np.int64)
-            own[order] = sums[np.cumsum(first) - 1]
-            at = 0
-            for x, c in zip(back, cuts):
-                x[c[piece] : c[piece + 1]] = own[at : at + c[piece + 1] - c[piece]]
-                at += c[piece + 1] - c[piece]
-            types, total = types + int((sums > 0).sum()), total + int(sums.sum())
-        out = [x.tobytes() for x in back]
+        part, ends = t["part"][0].as_py(), np.cumsum([len(k) for k in keys])
+        every = np.concatenate(keys)
+        order = np.argsort(every)
+        every = every[order]
+        first = np.concatenate([[True], every[1:] != every[:-1]])
+        sums = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], np.flatnonzero(first))
+        back = np.empty(len(every), np.int64)
+        back[order] = sums[np.cumsum(first) - 1]
+        types, total = int((sums > 0).sum()), int(sums.sum())
+        out = [x.tobytes() for x in np.split(back, ends[:-1])]
         n = len(out)
         return pa.table(
             {
@@ -147,11 +157,11 @@ def answers(chunks: DataFrame, ask: Asker) -> DataFrame:
             }
         )
 
-    asked = chunks.mapInArrow(questions, "part int, chunk bigint, keys binary, counts binary")
-    return asked.groupBy("part").applyInArrow(totals, "chunk bigint, kind int, part int, totals binary, types bigint, total bigint")
+    asked = chunks.table.mapInArrow(questions, "part int, chunk bigint, keys binary, counts binary")
+    return asked.repartition(kinds * parts, "part").groupBy("part").applyInArrow(totals, "chunk bigint, kind int, part int, totals binary, types bigint, total bigint")
 
 
-def answered(chunks: DataFrame, replies: DataFrame, use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int = 1) -> DataFrame:
+def answered(chunks: Chunks, replies: DataFrame, use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int = 1) -> DataFrame:
     """use(documents, totals for each kind in the order of the keys) for each chunk."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -161,5 +171,6 @@ def answered(chunks: DataFrame, replies: DataFrame, use: Callable[[pa.Table, lis
         totals = [np.frombuffer(b"".join(x for x, k in zip(raw, kind) if k == want), np.int64) for want in range(kinds)]
         return pa.concat_tables(use(unpacked(body.as_py()), totals) for body in left["body"])
 
-    empty = replies.filter(F.col("chunk").isNotNull()).select("chunk", "kind", "part", "totals")
-    return chunks.groupBy("chunk").cogroup(empty.groupBy("chunk")).applyInArrow(run, schema)
+    own = replies.filter(F.col("chunk").isNotNull()).select("chunk", "kind", "part", "totals").repartition(chunks.tasks, "chunk")
+    bodies = chunks.table.select("chunk", "body").repartition(chunks.tasks, "chunk")
+    return bodies.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, schema)

@@ -156,8 +156,8 @@ def scorer(model: Model):
 def score(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and SCHEMA for each document row."""
     kind = documents.schema[doc_id].dataType.simpleString()
-    packed = ws.write(ck.packed(documents, doc_id, text), "chunks", compression="none")
-    replies = ws.write(ck.answers(packed, ask), "totals")
+    packed = ck.Chunks.of(documents, ws, doc_id, text)
+    replies = ws.write(ck.answers(packed, ask, 2), "totals")
     sums = {r["kind"]: r for r in replies.filter("chunk IS NULL").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
     model = Model(sums[0]["total"], sums[0]["types"], np.zeros((BUCKETS, 3))) if 0 in sums else Model(0, 0, np.zeros((BUCKETS, 3)))
     cells = ck.answered(packed, replies, deleted(model), "key bigint, n bigint", 2).groupBy("key").agg(F.sum("n").alias("n"))
