@@ -2,11 +2,12 @@
 
 Tokens are the distinct shingles of a text. Under any one order of all tokens, two sets with Jaccard similarity of t or
 more share a token among the first n - ceil(t n) + 1 of each (its prefix). Two orders are used here: by document
-frequency with ties by one hash, and by the frequency's power of two with ties by another hash. Pairs must pass both
-filters before they are verified. A token that only one distinct text holds links nothing and is left out; most texts
-then have no candidates at all, and only the rest go on.
+frequency with ties by a hash, and by a hash into ``CLASSES`` classes first and by frequency only within a class, so that
+the second prefix takes the rarer ones of another choice of tokens. Pairs must pass both filters before they are
+verified. Shingles are compared by 64-bit hashes, in the filters and in the verification. A token that only one distinct
+text holds links nothing and is left out; most texts then have no candidates at all, and only the rest go on.
 
-The result is one row per document with its component, so no list of all pairs is made:
+``link`` gives one row per document with its component, so no list of all pairs is made:
 
 1. equal sets are one node, whatever the number of copies;
 2. nodes are put in blocks: components of "shares a token of the first prefix", and within these of "shares a token of
@@ -16,6 +17,9 @@ The result is one row per document with its component, so no list of all pairs i
    nodes that passes both filters is verified, but for pairs already in one component;
 4. the components of the links are the result.
 
+``pairs`` gives the links themselves, between one document of each set, with the sets' members: there every candidate pair
+is verified, in one component or not, so a block of n nodes costs as many comparisons as it has candidates.
+
 Defined results: null or empty text, or one without words, has no shingles and links with nothing (its component is
 itself); repeated rows are copies; a null id doesn't name a component unless its rows have no other; an empty table
 gives no rows; other columns aren't read.
@@ -39,6 +43,7 @@ TILE = 512
 LEADERS = 24
 #: What a node with its set weighs in a table, in plain rows.
 NODE_ROWS = 10
+CLASSES = 3
 _SALT_B = np.uint64(0xA0761D6478BD642F)
 
 
@@ -103,7 +108,8 @@ def user(width: int, percent: int):
         for i in np.flatnonzero(s.first & (alone < prefix)):
             items, f = s.items[s.at[i] : s.at[i + 1]], df[s.at[i] : s.at[i + 1]]
             order_a = np.lexsort((items, f))[: prefix[i]]
-            order_b = np.lexsort((tx.mix(items ^ _SALT_B), np.floor(np.log2(f))))[: prefix[i]]
+            other = tx.mix(items ^ _SALT_B)
+            order_b = np.lexsort((other, f, other % np.uint64(CLASSES)))[: prefix[i]]
             first, second = items[order_a[f[order_a] > 1]], items[order_b[f[order_b] > 1]]
             if len(first) and len(second):
                 a[i], b[i], body[i] = first.view(np.int64), second.view(np.int64), items.tobytes()
@@ -120,8 +126,9 @@ def stars(nodes: DataFrame, within: list[str], tokens: str) -> DataFrame:
     return each.join(hub, [*within, "token"]).select(F.col("sig").alias("u"), "v").filter("u <> v").distinct()
 
 
-def joiner(percent: int):
-    """Verified links among the rows of a tile; side 0 rows meet all rows, side 1 rows only those of side 0."""
+def joiner(percent: int, every: bool = False):
+    """Verified links among the rows of a tile; side 0 rows meet all rows, side 1 rows only those of side 0. Unless every
+    link is wanted, a candidate pair that is in one component already isn't verified."""
 
     def run(t: pa.Table) -> pa.Table:
         sig, label = t["sig"].to_pylist(), t["label"].to_pylist()
@@ -146,7 +153,7 @@ def joiner(percent: int):
             n = len(sets[i])
             for j in sorted(both, reverse=True):
                 m = len(sets[j])
-                if (side[i] and side[j]) or 100 * m < percent * n or root(label[i]) == root(label[j]):
+                if (side[i] and side[j]) or 100 * m < percent * n or (not every and root(label[i]) == root(label[j])):
                     continue
                 shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * shared >= percent * (n + m - shared):
@@ -161,15 +168,16 @@ def joiner(percent: int):
     return run
 
 
-def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links reach) for each document row."""
+def in_blocks(documents: DataFrame, ws: Workspace, doc_id: str, text: str, width: int, percent: int) -> tuple[DataFrame, DataFrame, int]:
+    """The documents' sets; the nodes (sig, a, b, body) with the block that holds all their candidates, and its size; and
+    how many nodes there are at most."""
     kind = documents.schema[doc_id].dataType.simpleString()
-    packed = ws.write(ck.packed(documents, doc_id, text), "chunks", compression="none")
+    packed = ck.Chunks.of(documents, ws, doc_id, text)
     replies = ws.write(ck.answers(packed, asker(width)), "totals")
     sets = ws.write(ck.answered(packed, replies, user(width, percent), f"doc_id {kind}, {SCHEMA}"), "sets")
     ws.drop("chunks", "totals")
 
-    total, some = sets.count(), sets.filter(F.col("a").isNotNull())
+    some = sets.filter(F.col("a").isNotNull())
     found = some.count()
     nodes = ws.write(some.select("sig", "a", "b", "body").dropDuplicates(["sig"]), "nodes", NODE_ROWS * found)
     first = components(stars(nodes, [], "a"), ws, "block-a", 4 * found)
@@ -177,8 +185,32 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     second = components(stars(blocked, ["first"], "b"), ws, "block-b", 4 * found)
     size = second.groupBy("label").agg(F.count("*").alias("size"))
     of = second.join(size, "label").select(F.col("node").alias("sig"), F.col("label").alias("block"), "size")
-    blocked = ws.write(nodes.join(of, "sig"), "blocked", NODE_ROWS * found)
+    return sets, ws.write(nodes.join(of, "sig"), "blocked", NODE_ROWS * found), found
+
+
+def pairs(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, class_id) for each document row, class_id being the smallest id with the same set; and (u, v),
+    u < v, for every link between two classes. A document without words is a class of its own without links.
 
+    A block beyond tile nodes is cut in pieces; each two pieces meet in one task, which verifies the pairs across them.
+    """
+    sets, blocked, _ = in_blocks(documents, ws, doc_id, text, width, percent)
+    pieces = F.ceil(F.col("size") / tile).cast("long")
+    own = F.pmod(F.xxhash64("sig"), pieces)
+    meet = blocked.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    tiles = meet.select("block", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "sig", "a", "b", "body", F.col("sig").alias("label"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
+    # p < q: those of piece p are side 0 and meet all; what they have among themselves comes from the tile (p, p) as well
+    links = ws.write(tiles.groupBy("block", "p", "q").applyInArrow(joiner(percent, True), "u string, v string"), "pairs").distinct()
+    own_id = sets.groupBy("sig").agg(F.min("doc_id").alias("class_id"))
+    members = sets.join(own_id.filter("sig IS NOT NULL"), "sig", "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+    name = lambda x: own_id.select(F.col("sig").alias(x), F.col("class_id").alias(f"{x}_id"))
+    both = links.join(name("u"), "u").join(name("v"), "v")
+    return members, both.select(F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v"))
+
+
+def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest id that links reach) for each document row."""
+    sets, blocked, found = in_blocks(documents, ws, doc_id, text, width, percent)
     at = F.pmod(F.xxhash64("sig"), F.lit(1 << 40))
     piece = F.when(F.col("size") <= tile, F.lit(0)).otherwise(F.pmod(at, F.ceil(F.col("size") / tile).cast("long")))
     cut = blocked.withColumn("piece", piece.cast("long"))
@@ -211,7 +243,7 @@ def link(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     ids = named.groupBy("label").agg(F.min("_id").alias("component_id"))
     of = named.select("sig", "label").join(ids, "label").select("sig", "component_id")
     out = by_set.join(of, "sig", "left").select("doc_id", "n_shingles", F.when(F.col("sig").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = ws.write(out, "result", total)
+    out = ws.write(out, "result")
     ws.drop("sets", "nodes", "blocked", "named", "links-1", "links-2", "block-a", "block-b", "part", "final")
     return out
 

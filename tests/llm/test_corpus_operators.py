@@ -277,11 +277,13 @@ def test_html_hostile_pages_take_linear_time():
 # ---- 4 ----
 
 
+def plain_sets(rows, width=5):
+    words = {i: WORD.findall(low(t)) for i, t in rows}
+    return {i: {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set() for i, w in words.items()}
+
+
 def plain_components(rows, width=5, percent=80):
-    sets = {}
-    for i, t in rows:
-        w = WORD.findall(low(t))
-        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    sets = plain_sets(rows, width)
     label = {i: i for i in sets}
     ids = sorted(sets)
 
@@ -308,8 +310,24 @@ def test_jaccard_join(spark, docs, empty, tile):
         assert jaccard.link(empty, Workspace(spark, "t")).count() == 0
 
 
+@pytest.mark.parametrize("tile", [jaccard.TILE, 3])
+def test_jaccard_pairs(spark, docs, tile):
+    """All links between different texts, and who has the same text."""
+    members, links = jaccard.pairs(docs, Workspace(spark, "t"), tile=tile)
+    sets = plain_sets(ROWS)
+    first = {}
+    for i in sorted(sets):
+        first.setdefault(frozenset(sets[i]) or i, i)
+    assert {r.doc_id: r.class_id for r in members.collect()} == {i: first[frozenset(x) or i] for i, x in sets.items()}
+    heads = sorted(first.values())
+    want = {(a, b) for a in heads for b in heads if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    got = links.collect()
+    assert len(got) == len(want) > 10 and {(r.u, r.v) for r in got} == want
+
+
 def test_one_of_each_group_stays(spark, docs):
     want = plain_components(ROWS)
+    docs = docs.withColumns({"_key": F.lit(1), "_id": F.lit(2), "_key_": F.lit(3)})
     twice = docs.unionByName(docs.filter("doc_id < 10"))
     kept = jaccard.keep_one(twice, Workspace(spark, "t"))
     assert kept.columns == docs.columns
@@ -340,7 +358,8 @@ def test_counts_come_back_in_the_order_of_the_question(spark, docs):
         return pa.table({"word": w.vocab.take(pa.array(used)), "n": pa.array(totals[0][np.searchsorted(keys, w.hashes()[used])], pa.int64())})
 
     ws = Workspace(spark, "t")
-    packed = ws.write(chunks.packed(docs, "doc_id", "text"), "c")
+    packed = chunks.Chunks.of(docs, ws, "doc_id", "text")
+    packed.parts = 5
     rows = chunks.answered(packed, chunks.answers(packed, ask), use, "word string, n bigint").distinct().collect()
     assert {r.word: r.n for r in rows} == collections.Counter(w for _, t in ROWS for w in WORD.findall(t or ""))
 
