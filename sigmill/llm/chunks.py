@@ -28,7 +28,7 @@ from sigmill.llm.workspace import Workspace
 CHUNK_BYTES = 4 << 20
 #: Of packed questions in a part. A byte of text asks for about ASKED bytes of packed keys of one kind.
 PART_BYTES, ASKED = 16 << 20, 1.2
-CHUNKS_PER_TASK = 4
+CHUNKS_PER_TASK = 2
 
 #: A chunk's documents to its sorted distinct keys and what each counts for, for each kind of key.
 Asker = Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]
@@ -158,7 +158,7 @@ def answers(chunks: Chunks, ask: Asker, kinds: int = 1) -> DataFrame:
         )
 
     asked = chunks.table.mapInArrow(questions, "part int, chunk bigint, keys binary, counts binary")
-    return asked.repartition(kinds * parts, "part").groupBy("part").applyInArrow(totals, "chunk bigint, kind int, part int, totals binary, types bigint, total bigint")
+    return asked.repartitionById(kinds * parts, F.col("part")).groupBy("part").applyInArrow(totals, "chunk bigint, kind int, part int, totals binary, types bigint, total bigint")
 
 
 def answered(chunks: Chunks, replies: DataFrame, use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int = 1) -> DataFrame:
