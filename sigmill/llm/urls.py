@@ -11,6 +11,7 @@ it by its intercept; repeated rows are judged each by itself; an empty table giv
 from __future__ import annotations
 
 import json
+from importlib import resources
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
@@ -31,37 +32,21 @@ RULES = [
     ("block", "org", "/es/"),
 ]
 
-#: The labelled table that the default model learns from: sites to block, and sites to allow. Each stands with several
-#: subdomains and paths, the same for both kinds, so that these tell nothing.
-_BAD = """
-casino-royal.example.com casino-jackpot.example.org grand-casino.example.net slots-casino.example.com casino-bonus.example.net
-best-bets.example.com bets-online.example.net sport-bets.example.org freebet-now.example.com live-bets.example.org
-discount-pills.example.com pills-online.example.org order-pills.example.net blue-pills.example.com cheap-meds.example.org
-viagra-cheap.example.com pharma-cheap.example.net diet-pills.example.org
-adult-cams.example.com adult-video.example.org xxx-adult.example.net adult-zone.example.org sex-adult.example.com adult-chat.example.net
-spam-site.example.com link-farm.example.net spam-links.example.org content-farm.example.com spam-mill.example.net
-ads-click.example.com ad-track.example.net ads-server.example.org click-track.example.com track-ads.example.net banner-ads.example.org
-win-prize.example.org lucky-win.example.com win-money.example.net fast-money.example.org payday-loan.example.com
-replica-watches.example.net fake-watches.example.com miracle-diet.example.org warez-crack.example.net
-"""
-_GOOD = """
-thrush.example.com heather.example.org rational.example.net thistle.example.com stationer.example.com
-hinter.example.net thorn.example.org another.example.com thesis.example.org nation.example.net
-weather.example.com there.example.com erosion.example.org enthrone.example.com onset.example.net
-tithe.example.net library.example.com museum.example.org university.example.net gazette.example.com
-recipes.example.org garden.example.net history.example.org science.example.com travel.example.net docs.example.com
-wiki.example.net forum.example.org school.example.com radio.example.net theatre.example.org
-orchestra.example.com station.example.net letters.example.org council.example.com archive.example.net
-notes.example.com thermal.example.org thinker.example.net attention.example.net motion.example.com
-lather.example.org engrave.example.com handsome.example.net whitish.example.org
-"""
 _FRONT = ["", "www.", "blog.", "m."]
 _BACK = ["/en/12", "/de/3.html", "/fr/88/", "/es/4", "/en/22089.html", "/en/703/", "/de/6151", "/", "/es/978.html"]
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """url string, label double: the default labelled table."""
-    rows = [(f"https://{_FRONT[(k + j) % 4]}{host}{_BACK[(k + 2 * j) % 9]}", label) for text, label in ((_BAD, 1.0), (_GOOD, 0.0)) for k, host in enumerate(text.split()) for j in range(4)]
+def labelled_sites() -> list[tuple[float, str]]:
+    """(1 to block or 0 to allow, host) from the data file."""
+    lines = resources.files("sigmill.llm").joinpath("data/labelled_sites.txt").read_text("utf-8").splitlines()
+    return [(float(x[0]), x[2:]) for x in lines if x and not x.startswith("#")]
+
+
+def labelled_urls(spark: SparkSession, sites: list[tuple[float, str]] | None = None) -> DataFrame:
+    """url string, label double: the labelled table of the sites (the data file's by default). Each stands with several
+    subdomains and paths, the same for both kinds, so that these tell nothing."""
+    sites = labelled_sites() if sites is None else sites
+    rows = [(f"https://{_FRONT[(k + j) % 4]}{host}{_BACK[(k + 2 * j) % 9]}", label) for kind in (1.0, 0.0) for k, (label, host) in enumerate(x for x in sites if x[0] == kind) for j in range(4)]
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{u}', {label}D)" for u, label in rows) + " AS t(url, label)")
 
 
