@@ -17,6 +17,8 @@ each by itself; an empty table gives no rows; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -32,35 +34,17 @@ BATCH_BYTES = 4 << 20
 #: phrase: label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: (label, text of the notice or of a distinctive part of the licence)
-TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "this project is licensed under the terms of the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "licensed under cc by 4 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("proprietary", "all rights reserved no part of this publication may be reproduced"),
-]
+
+@cache
+def default_templates() -> tuple[tuple[str, str], ...]:
+    """(label, text) from the data file."""
+    lines = resources.files("sigmill.llm").joinpath("data/licences.txt").read_text("utf-8").splitlines()
+    return tuple(tuple(x.split("\t", 1)) for x in lines if x and not x.startswith("#"))
 
 
 class Automaton:
-    """Generalised suffix automaton of word sequences; ends: (template, end) of each place where a state's runs end."""
+    """Generalised suffix automaton of word sequences. Its size is linear in theirs: a state keeps only the places where
+    its longest run ends as a prefix of a sequence; all its places are those of the states that link to it as well."""
 
     def __init__(self, sequences: list[list[int]]):
         self.next, self.link, self.length, self.ends = [{}], [-1], [0], [[]]
@@ -69,9 +53,17 @@ class Automaton:
             for at, word in enumerate(words):
                 state = self._add(state, word)
                 self.ends[state].append((number, at + 1))
-        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
-            if self.link[state] > 0:
-                self.ends[self.link[state]] = self.ends[self.link[state]] + self.ends[state]
+        self.below: list[list[int]] = [[] for _ in self.next]
+        for state in range(1, len(self.next)):
+            self.below[self.link[state]].append(state)
+
+    def places(self, state: int) -> Iterator[tuple[int, int]]:
+        """(sequence, end) of each place where the state's runs end."""
+        todo = [state]
+        while todo:
+            state = todo.pop()
+            yield from self.ends[state]
+            todo += self.below[state]
 
     def _new(self, length: int, to: dict, link: int) -> int:
         self.next.append(to)
@@ -137,7 +129,7 @@ class Scanner:
         """(matched words, template, first, end) of the best chain of each template that covers enough of it."""
         places: dict[int, list[tuple[int, int, int]]] = {}
         for end, length, state in found:
-            for template, to in self.automaton.ends[state]:
+            for template, to in self.automaton.places(state):
                 places.setdefault(template, []).append((end, to, length))
         out = []
         for template, own in places.items():
@@ -206,9 +198,10 @@ class Scanner:
 SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first:bigint,end:bigint>>"
 
 
-def scan(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] = PHRASES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and SCHEMA for each document row; spans: the covered words [first, end) of each label that chains give."""
     df = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
+    templates = list(templates or default_templates())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, phrases)

@@ -486,13 +486,28 @@ def test_urls(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_url_model_on_sites_it_has_not_seen(spark):
+    """Every fifth site of a kind is held out, with all its URLs."""
+    sites = urls.labelled_sites()
+    kinds = [[x for x in sites if x[0] == kind] for kind in (1.0, 0.0)]
+    seen, unseen = ([x for own in kinds for k, x in enumerate(own) if (k % 5 == 4) == out] for out in (False, True))
+    pages = spark.createDataFrame([(k, f"https://{host}/en/{k}", int(label)) for k, (label, host) in enumerate(unseen)], "page_id long, url string, label int")
+    got = {r.page_id: r.verdict == "block" for r in urls.judge(pages, urls.labelled_urls(spark, seen), []).collect()}
+    right = sum(got[k] for k, (label, _) in enumerate(unseen) if label)
+    blocked, bad = sum(got.values()), sum(label == 1 for label, _ in unseen)
+    assert right / blocked >= 0.8 and right / bad >= 0.8
+    names = ["bet365.com", "cheapviagra.biz", "xvideo-tube.example.com", "freepornsite.com", "adclicktracker.net", "medlineplus.gov", "dictionary.org", "news.example.com"]
+    verdicts = urls.judge(spark.createDataFrame([(k, f"http://{x}/") for k, x in enumerate(names)], "page_id long, url string"), rules=[]).orderBy("page_id").collect()
+    assert [r.verdict for r in verdicts] == ["block"] * 5 + ["allow"] * 3
+
+
 # ---- 9 ----
 
 
 def test_licences(spark, docs, empty):
     gpl = "This work is licensed under the GNU General Public License, version 3."
     nc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
-    rows = [(1, f"on the an {gpl} the on"), (2, "Released under the MIT License. Apache License, Version 2.0"), (3, nc), (4, None), (5, ""), (6, "the license of the work under the"), (7, ALNUM.pattern), (8, licenses.TEMPLATES[2][1].replace("copy modify", "copy, adapt, modify")), (1, gpl)]
+    rows = [(1, f"on the an {gpl} the on"), (2, "Released under the MIT License. Apache License, Version 2.0"), (3, nc), (4, None), (5, ""), (6, "the license of the work under the"), (7, ALNUM.pattern), (8, licenses.default_templates()[2][1].replace("copy, modify", "copy, adapt, modify")), (1, gpl)]
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     labels = {(r.doc_id, r.n_words): (r.base_labels, r.labels) for r in got}
     assert labels[1, 17] == ("", "gpl-3") and labels[1, 12] == ("", "gpl-3")
@@ -506,6 +521,23 @@ def test_licences(spark, docs, empty):
     assert all(0 <= r.score <= 1 for r in licenses.scan(docs).collect())
 
 
+def test_licence_phrases_against_a_plain_version(spark):
+    """Places, first and last word and base labels over a whole table, and every template finds its own label."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        words = ALNUM.findall(low(r.text))
+        at = [(k, label) for phrase, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(phrase.split())] == phrase.split()]
+        g, places = got[r.doc_id], [k for k, _ in at]
+        base = {x for _, x in at}
+        assert (g.n_words, g.n_base, g.first_word, g.last_word, g.base_labels) == (len(words), len(at), min(places, default=None), max(places, default=None), ",".join(sorted(base)))
+        assert base <= set(filter(None, g.labels.split(",")))
+    known = licenses.default_templates()
+    texts = spark.createDataFrame([(k, f"some words before it and {t} some words after it") for k, (_, t) in enumerate(known)], "doc_id long, text string")
+    found = {r.doc_id: r.labels.split(",") for r in licenses.scan(texts).collect()}
+    assert all(label in found[k] for k, (label, _) in enumerate(known))
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(200):
@@ -517,7 +549,7 @@ def test_suffix_automaton():
         got = a.matches(q, 2)
         assert [(e, n) for e, n, _ in got] == want
         for e, n, state in got:
-            assert sorted(a.ends[state]) == sorted((k, j) for k, s in enumerate(seqs) for j in range(n, len(s) + 1) if s[j - n : j] == q[e - n : e])
+            assert sorted(a.places(state)) == sorted((k, j) for k, s in enumerate(seqs) for j in range(n, len(s) + 1) if s[j - n : j] == q[e - n : e])
 
 
 # ---- 10 ----
