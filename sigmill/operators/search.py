@@ -6,6 +6,8 @@ every regularisation by a small solve, so a grid costs one pass over the data an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,6 +93,30 @@ def xdawn(windows: DataFrame, label: str, target: str, index: str, channels: lis
     return L._signed(white @ rotate[:, np.argsort(-order)[:k]])
 
 
+def pattern_search(value: Callable[[list[list[float]]], list[float]], start: list[float], step: float = 1.0, stop: float = 1e-10, low: list[float] | None = None, high: list[float] | None = None, shrink: float = 0.5, grow: float = 1.0, rounds: int = 10_000) -> tuple[list[float], float]:
+    """The best point and its value. Each round polls a step along every axis, both ways and strictly inside the bounds, as
+    one call of value, so one job judges the whole poll set; points are judged once. A better point is moved to (and the
+    step grows), else the step shrinks, until it is below stop."""
+    known: dict[tuple, float] = {}
+
+    def judge(points: list[tuple]) -> None:
+        new = [p for p in dict.fromkeys(points) if p not in known]
+        if new:
+            known.update(zip(new, value([list(p) for p in new])))
+
+    at = tuple(start)
+    judge([at])
+    for _ in range(rounds):
+        if step < stop:
+            break
+        moved = [tuple(x + d * step * (k == axis) for k, x in enumerate(at)) for axis in range(len(at)) for d in (1, -1)]
+        inside = [p for p in moved if all((low is None or a < x) and (high is None or x < b) for x, a, b in zip(p, low or p, high or p))]
+        judge(inside)
+        best = max(inside, key=known.__getitem__, default=at)
+        at, step = (best, step * grow) if known[best] > known[at] else (at, step * shrink)
+    return list(at), known[at]
+
+
 def random_projection(df: DataFrame, row: str, feature: str, value: str, k: int, seed: int = 0) -> DataFrame:
     """Features compressed to k sums with Gaussian weights, which a hash of (feature, target, seed) fixes."""
     unit = lambda salt, j: (F.pmod(F.xxhash64(F.col(feature), F.lit(j), F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)

@@ -206,9 +206,9 @@ def feature_to_timeseries(spark, d):
     return f.groupBy("id", F.floor(F.col("f") / 8).alias("t")).agg(F.max(F.when(F.col("f") % 8 == 0, F.col("x"))).alias("ch0"), F.max(F.when(F.col("f") % 8 == 3, F.col("x"))).alias("ch3"))
 
 
-@query("same_input_concat", f"WITH {FEATURES} SELECT id, '0_f' || f AS feature, x FROM features WHERE f < 4 UNION ALL SELECT id, '1_f' || f, x * x FROM features WHERE f < 4")
+@query("same_input_concat", f"WITH {FEATURES} SELECT id, '0_f' || f AS feature, x FROM features UNION ALL SELECT id, '1_f' || f, x * x FROM features")
 def same_input_concat(spark, d):
-    f = features(spark, d).filter("f < 4")
+    f = features(spark, d)
     one = lambda k, x: f.select("id", F.concat(F.lit(f"{k}_f"), F.col("f").cast("string")).alias("feature"), x.alias("x"))
     return one(0, F.col("x")).unionByName(one(1, F.col("x") * F.col("x")))
 

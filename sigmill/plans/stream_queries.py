@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,15 +17,21 @@ from sigmill.plans.query import query
 from sigmill.streaming import live as V
 
 
+@cache
+def _own_folder() -> str:
+    own = tempfile.mkdtemp(prefix="sigmill-")
+    atexit.register(shutil.rmtree, own, True)
+    return own
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of the session (spark.checkpoint.dir); only where it is unset a folder of this machine."""
+    """spark.checkpoint.dir of the session. Only a local session may lack it: it then gets a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = tempfile.mkdtemp(prefix="sigmill-")
-        atexit.register(shutil.rmtree, own, True)
-        folder = f"file://{own}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"file://{_own_folder()}"
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:

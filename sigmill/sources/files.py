@@ -86,3 +86,20 @@ def read_results(spark: SparkSession, path: str, metrics: list[str] = ()) -> Dat
     """A performance table; metric columns as numbers, empty ones as 0."""
     df = spark.read.csv(path, header=True)
     return df.withColumns({m: F.coalesce(F.expr(f"try_cast(`{m}` AS double)"), F.lit(0.0)) for m in metrics})
+
+
+def stored(spark: SparkSession, df: DataFrame, path: str, by: list[str], order: list[str] | None = None) -> DataFrame:
+    """Writes records in folders by the columns ``by`` (and, given an order, in ranges of it, each file in order), and reads
+    them again with the columns and types they had."""
+    out = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
+    (out.write.partitionBy(*by) if by else out.write).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def read_many_results(spark: SparkSession, parts: dict[str, dict]) -> DataFrame:
+    """Result tables of several runs as one: all columns that any has, and for each part the parameters given for it."""
+    out = None
+    for path, parameters in parts.items():
+        own = spark.read.option("header", True).csv(path).withColumns({k: F.lit(v) for k, v in parameters.items()})
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
