@@ -2,6 +2,10 @@
 
 Quality rules, language identification, one document of each near-duplicate group, benchmark decontamination, packing.
 Each stage takes (spark, docs, sf_dir); all but the last return documents with the columns they came with.
+
+Defined results: null and empty texts fail the quality rules and go; repeated rows are copies, of which one stays (that
+with the smallest id; a row without an id stays only if its copies have none); an empty documents table gives an empty
+result, an empty benchmark takes nothing away; other columns, whatever their names, stay up to the last stage.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from sigmill.llm.workspace import Workspace, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition and symbol rules keep."""
+    """Documents that the repetition rules keep."""
     return quality.keep(docs)
 
 

@@ -603,5 +603,49 @@ def test_pipeline(spark, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "decontamination", "best_fit_packing"]
 
 
+def test_pipeline_on_awkward_tables(spark, tmp_path):
+    """No documents; no benchmark; columns named like the stages' own, null ids and repeated rows."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    empty = spark.createDataFrame([], schema)
+    prose = [ROWS[k][1] for k in range(8) if len(ROWS[k][1].split()) > 30][:3]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(prose)]
+    rows += [rows[0], (None, prose[1], "en", "s", 1), (9, None, None, None, None), (10, "", "en", "s", 0)]
+    clash = spark.createDataFrame(rows, schema).withColumns({x: F.lit(1) for x in ("_id", "_key", "_text", "_row", "sig", "chunk", "kept")})
+    bench = spark.createDataFrame([], "item_id long, text string")
+    for name, docs in (("none", empty), ("clash", clash)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    got = corpus_pipeline.run(spark, str(tmp_path / "clash"))
+    assert sorted({(r.doc_id is None, r.doc_id or 0) for r in got.collect()}) in ([(False, 0), (False, 1), (False, 2)], [(False, 0), (False, 2), (True, 0)])
+    docs = spark.read.parquet(str(tmp_path / "clash" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "clash"))
+        assert docs.columns == clash.columns
+
+
+def test_token_file_layout(spark, docs):
+    """Dictionary-coded ids, page indexes, bounded row groups; one document's row is found without the others' ids."""
+    import pyarrow.parquet as pq
+
+    written = tokens.write(docs.unionByName(docs.filter("doc_id < 60").withColumn("doc_id", F.col("doc_id") + 1000)), Workspace(spark, "layout"))
+    files = [x.removeprefix("file:") for x in written.inputFiles()]
+    assert files
+    for path in files:
+        meta = pq.ParquetFile("/" + path.lstrip("/")).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 64 << 20
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.compression == "ZSTD" and column.has_column_index and column.has_offset_index
+                if column.path_in_schema.startswith("ids"):
+                    assert {"RLE_DICTIONARY", "PLAIN_DICTIONARY", "DELTA_BINARY_PACKED"} & set(column.encodings)
+    plan = written.filter("doc_id = 7").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan and "ids" not in plan.split("ReadSchema")[1]
+
+
 def test_results_have_stable_schemas(docs):
     assert quality.report(docs).schema["kept"].dataType == T.BooleanType()
