@@ -31,7 +31,7 @@ def precision_weights(train: DataFrame, predictor: str = "predictor", label: str
 
 def weighted_vote(df: DataFrame, weights: DataFrame, row: list[str], positive, required: float = 0.5, predictor: str = "predictor", label: str = "label") -> DataFrame:
     """Share of the weight that votes for the positive label, and whether it reaches the required one."""
-    w = df.join(F.broadcast(weights), [predictor, label], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))  # as many weights as predictors have labels
+    w = df.join(weights, [predictor, label], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     s = w.groupBy(*row).agg(F.sum(F.when(F.col(label) == positive, F.col("weight")).otherwise(0.0)).alias("_a"), F.sum("weight").alias("_b"))
     share = F.when(F.col("_b") == 0, 0.0).otherwise(F.col("_a") / F.col("_b"))
     return s.select(*row, share.alias("share"), (share >= required).alias("positive"))
@@ -83,10 +83,10 @@ def linear(df: DataFrame, score: str = "score", offset: float = 0.0, scaling: fl
 
 def linear_fit(df: DataFrame, group: list[str], score: str = "score") -> DataFrame:
     """Maps the largest magnitude on each side of 0 to 0 and 1, and 0 to 0.5."""
-    w = Window.partitionBy(*group)
-    low, high = F.abs(F.min(score).over(w)), F.abs(F.max(score).over(w))
-    s = F.col(score)
-    return df.withColumn(score, F.when(s < 0, 0.5 + 0.5 * s / F.when(low == 0, 1.0).otherwise(low)).otherwise(0.5 + 0.5 * s / F.when(high == 0, 1.0).otherwise(high)))
+    ends = df.groupBy(*group).agg(F.abs(F.min(score)).alias("_low"), F.abs(F.max(score)).alias("_high"))
+    s, low, high = F.col(score), F.col("_low"), F.col("_high")
+    out = df.join(ends, group).withColumn(score, F.when(s < 0, 0.5 + 0.5 * s / F.when(low == 0, 1.0).otherwise(low)).otherwise(0.5 + 0.5 * s / F.when(high == 0, 1.0).otherwise(high)))
+    return out.drop("_low", "_high")
 
 
 def threshold_sweep(df: DataFrame, group: list[str], truth: str, positive, score: str = "score") -> DataFrame:

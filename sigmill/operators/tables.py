@@ -116,7 +116,7 @@ def concatenate(rows: DataFrame, name: str, time: str, end: str) -> DataFrame:
     ends = rows.groupBy(name).agg(F.max(end).alias("_end"))
     before = Window.orderBy(name).rowsBetween(Window.unboundedPreceding, -1)  # one row for each set
     shift = ends.withColumn("_shift", F.coalesce(F.sum("_end").over(before), F.lit(0)))
-    return rows.join(F.broadcast(shift), name).withColumn(time, F.col(time) + F.col("_shift")).withColumn(end, F.col(end) + F.col("_shift")).drop("_end", "_shift")
+    return rows.join(shift, name).withColumn(time, F.col(time) + F.col("_shift")).withColumn(end, F.col(end) + F.col("_shift")).drop("_end", "_shift")
 
 
 def paired_statistics(df: DataFrame, parameter: str, related: list[str], metric: str, alpha: float = 0.05) -> DataFrame:
