@@ -77,7 +77,8 @@ def relabel_by_change(df: DataFrame, trial: list[str], place: str, change: int,
 
 
 def mean_classifier_left_out(df: DataFrame, group: list[str], truth: str, positive, score: str = "score") -> DataFrame:
-    """predicted: the class whose mean score is nearer, with the row itself left out of its class (ties are positive)."""
+    """predicted: the class whose mean score is nearer, with the row itself left out of its class (ties are positive; a
+    class without other rows loses, and without either the row is negative)."""
     y = F.col(truth) == positive
     sums = df.groupBy(*group).agg(*(F.sum(F.when(c, v)).alias(name) for c, name_ in ((y, "p"), (~y, "n")) for v, name in ((F.col(score), f"_s{name_}"), (F.lit(1.0), f"_c{name_}"))))
     both = df.join(sums, group)

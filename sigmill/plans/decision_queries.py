@@ -53,7 +53,8 @@ def all_train_split(spark, d):
 @query(
     "leave_one_out_metrics",
     f"""WITH {PREDICTIONS}, s AS (SELECT fold, sum(score) FILTER (truth = 1) AS sp, count(*) FILTER (truth = 1) AS cp, sum(score) FILTER (truth = 0) AS sn, count(*) FILTER (truth = 0) AS cn FROM predictions GROUP BY fold),
-    q AS (SELECT p.fold, truth, CASE WHEN abs(score - CASE WHEN truth = 1 THEN (sp - score) / nullif(cp - 1, 0) ELSE sp / cp END) <= abs(score - CASE WHEN truth = 0 THEN (sn - score) / nullif(cn - 1, 0) ELSE sn / cn END) THEN 1 ELSE 0 END AS predicted FROM predictions p JOIN s USING (fold))
+    m AS (SELECT p.fold, truth, score, CASE WHEN truth = 1 THEN (sp - score) / nullif(cp - 1, 0) ELSE sp / nullif(cp, 0) END AS p, CASE WHEN truth = 0 THEN (sn - score) / nullif(cn - 1, 0) ELSE sn / nullif(cn, 0) END AS n FROM predictions p JOIN s USING (fold)),
+    q AS (SELECT fold, truth, CASE WHEN p IS NULL THEN 0 WHEN n IS NULL OR abs(score - p) <= abs(score - n) THEN 1 ELSE 0 END AS predicted FROM m)
     SELECT fold, count(*) FILTER (truth = 1 AND predicted = 1) AS "TP", count(*) FILTER (truth = 0 AND predicted = 1) AS "FP", count(*) FILTER (truth = 0 AND predicted = 0) AS "TN", count(*) FILTER (truth = 1 AND predicted = 0) AS "FN" FROM q GROUP BY fold""",
 )
 def leave_one_out_metrics(spark, d):
@@ -89,12 +90,12 @@ def consume_training_data(spark, d):
 
 @query(
     "random_feature_selection",
-    "WITH f AS (SELECT unnest(range(64)) AS f), k AS (SELECT f FROM f ORDER BY (f * 2654435761) % 4294967296, f LIMIT 10) SELECT vec_id AS id, list_transform((SELECT list(f ORDER BY f) FROM k), lambda i: CAST(embedding[i + 1] AS DOUBLE)) AS x FROM embeddings",
+    "WITH f AS (SELECT unnest(range(64)) AS f), k AS (SELECT f FROM f ORDER BY (f * 2654435761) % 4294967296, f LIMIT 10) SELECT vec_id AS id, CAST(f AS INTEGER) AS f, CAST(embedding[f + 1] AS DOUBLE) AS x FROM embeddings, k",
 )
 def random_feature_selection(spark, d):
     """Ten of the 64 features, which a hash of their numbers picks."""
     chosen = sorted(sorted(range(64), key=lambda k: ((k * 2654435761) % (1 << 32), k))[:10])
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.array(*(F.col("embedding")[k].cast("double") for k in chosen)).alias("x"))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col("embedding")[k].cast("double").alias("x")) for k in chosen))).alias("s")).select("id", "s.*")
 
 
 # ---- performance tables ----

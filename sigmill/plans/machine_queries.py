@@ -140,11 +140,12 @@ def _folder(spark, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("feature_vector_sink", f"WITH {FEATURES} SELECT id, id % 3 AS split, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS part, list(x ORDER BY f) AS x FROM features GROUP BY id")
+@query("feature_vector_sink", f"WITH {FEATURES} SELECT id, id % 3 AS split, CASE WHEN id % 5 = 0 THEN 'test' ELSE 'train' END AS part, f, x FROM features")
 def feature_vector_sink(spark, d):
     """Vectors stored by split and part, and read again."""
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), (F.col("vec_id") % 3).alias("split"), F.when(F.col("vec_id") % 5 == 0, "test").otherwise("train").alias("part"), F.col("embedding").cast("array<double>").alias("x"))
-    return files.stored(spark, e, _folder(spark, "vectors"), ["split", "part"])
+    read = files.stored(spark, e, _folder(spark, "vectors"), ["split", "part"])
+    return read.select("id", "split", "part", F.posexplode("x").alias("f", "x")).withColumn("f", F.col("f").cast("long"))
 
 
 @query("prediction_sink", f"WITH {PREDICTIONS} SELECT id, fold, truth, predicted, score FROM predictions")

@@ -90,20 +90,20 @@ def feature_to_mono_series(spark, d):
     return V.vector_to_mono_series(e, "x", "feature_").select("id", F.col("t").cast("long").alias("t"), "channel", "value")
 
 
-@query("mono_series_to_feature", "SELECT l_orderkey AS win, l_linenumber AS line, [l_quantity, l_extendedprice, l_discount, l_tax] AS x FROM lineitem")
+@query("mono_series_to_feature", "SELECT l_orderkey AS win, l_linenumber AS line, CAST(f AS INTEGER) AS f, [l_quantity, l_extendedprice, l_discount, l_tax][f + 1] AS x FROM lineitem, (SELECT unnest(range(4)) AS f)")
 def mono_series_to_feature(spark, d):
     names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    return V.channels_to_vector(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("win"), F.col("l_linenumber").alias("line"), *names), names, "x").select("win", "line", "x")
+    return V.channels_to_vector(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("win"), F.col("l_linenumber").alias("line"), *names), names, "x").select("win", "line", F.posexplode("x").alias("f", "x"))
 
 
 @query(
     "markers_in_window",
-    f"WITH {WINDOWS} SELECT user_id, win, marker, list(CAST(k * 10 AS DOUBLE) ORDER BY k) AS at_ms FROM windows WHERE marker IN ('purchase', 'error') GROUP BY user_id, win, marker",
+    f"WITH {WINDOWS} SELECT user_id, win, marker, string_agg(CAST(k * 10 AS VARCHAR), ',' ORDER BY k) AS at_ms FROM windows WHERE marker IN ('purchase', 'error') GROUP BY user_id, win, marker",
 )
 def markers_in_window(spark, d):
     """Markers of each window with their offsets in ms, at 100 samples a second."""
     w = windows(spark, d).filter(F.col("marker").isin("purchase", "error"))
-    return V.markers_in_windows(w, ["user_id", "win"], "marker", "k", 100.0).select("user_id", "win", "marker", "at_ms")
+    return V.markers_in_windows(w, ["user_id", "win"], "marker", "k", 100.0).select("user_id", "win", "marker", F.concat_ws(",", F.transform("at_ms", lambda x: x.cast("long").cast("string"))).alias("at_ms"))
 
 
 @query(
