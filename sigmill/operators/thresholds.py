@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Metrics as functions of the true and false positive, and true and false negative counts.
+#: Metrics as functions of the true and false positive, and true and false negative counts; null where a class is missing.
 METRICS = {
-    "Balanced_accuracy": lambda tp, fp, tn, fn: (tp / (tp + fn) + tn / (tn + fp)) / 2,
-    "F_measure": lambda tp, fp, tn, fn: 2 * tp / (2 * tp + fp + fn),
+    "Balanced_accuracy": lambda tp, fp, tn, fn: (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2,
+    "F_measure": lambda tp, fp, tn, fn: F.try_divide(2 * tp, 2 * tp + fp + fn),
     "Percent_correct": lambda tp, fp, tn, fn: (tp + tn) / (tp + fp + tn + fn) * 100,
     "Matthews": lambda tp, fp, tn, fn: F.coalesce((tp * tn - fp * fn) / F.nullif(F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.lit(0.0)), F.lit(0.0)),
 }
