@@ -95,6 +95,20 @@ def losses(df: DataFrame, groups: list[str], truth: str, score: str, positive, l
     return out.withColumn("L1_balanced", (F.coalesce("_a", F.lit(0.0)) + F.coalesce("_b", F.lit(0.0))) / 2).drop("_a", "_b")
 
 
+def margin_losses(df: DataFrame, groups: list[str], truth: str, score: str, positive, limit: float = 2.0, reach: float = 2.0) -> DataFrame:
+    """Losses of the margin m = y * score, linear (L1) and squared (L2): below 1 (SVM), away from 1 (plain), outside [1, reach]
+    (RMM); each also restricted (the distance cut at limit), as a mean over rows and as the mean of both classes' means
+    (balanced; a class without rows adds 0)."""
+    m = F.when(F.col(truth) == positive, F.col(score)).otherwise(-F.col(score))
+    zero = F.lit(0.0)
+    distance = {"SVM": F.greatest(1 - m, zero), "plain": F.abs(m - 1), "RMM": F.greatest(1 - m, m - reach, zero)}
+    terms = {f"{cut}L{power}_{kind}": F.pow(F.least(x, F.lit(limit)) if cut else x, F.lit(power)) for kind, x in distance.items() for cut in ("", "restr_") for power in (1, 2)}
+    df = df.withColumns({f"_{k}": v for k, v in terms.items()} | {"_pos": F.col(truth) == positive})
+    by_class = lambda k, c: F.coalesce(F.avg(F.when(c, F.col(f"_{k}"))), zero)
+    balanced = [((by_class(k, F.col("_pos")) + by_class(k, ~F.col("_pos"))) / 2).alias(f"balanced_{k}") for k in terms]
+    return df.groupBy(*groups).agg(*(F.avg(f"_{k}").alias(k) for k in terms), *balanced)
+
+
 def multiclass(df: DataFrame, groups: list[str], truth: str, predicted: str) -> DataFrame:
     """Accuracy, balanced accuracy, macro F and the multiclass correlation from the table of true and predicted labels."""
     cells = df.groupBy(*groups, F.col(truth).cast("string").alias("t"), F.col(predicted).cast("string").alias("p")).agg(F.count("*").alias("n"))
@@ -122,6 +136,17 @@ def regression(df: DataFrame, groups: list[str], truth: str, predicted: str) ->
     )
 
 
+def regression_vectors(df: DataFrame, groups: list[str], truth: str, predicted: str) -> DataFrame:
+    """Regression metrics of vectors, a row for each component (its number), for all components' values together (micro) and
+    for the mean over components (macro)."""
+    values = df.select(*groups, F.posexplode(F.arrays_zip(F.col(truth).alias("a"), F.col(predicted).alias("p"))).alias("_i", "_v"))
+    both = values.select(*groups, F.explode(F.array(F.col("_i").cast("string"), F.lit("micro"))).alias("component"), F.col("_v.a").cast("double").alias("_a"), F.col("_v.p").cast("double").alias("_p"))
+    out = regression(both, [*groups, "component"], "_a", "_p").withColumn("RRSE", F.sqrt("RSE"))
+    names = [c for c in out.columns if c not in (*groups, "component")]
+    macro = out.filter("component <> 'micro'").groupBy(*groups).agg(*(F.avg(c).alias(c) for c in names)).withColumn("component", F.lit("macro"))
+    return out.unionByName(macro)
+
+
 def average(df: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
     """Mean and population deviation of metrics over splits."""
     return df.groupBy(*groups).agg(*(x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))))

@@ -165,6 +165,21 @@ def downsample(df: DataFrame, index: str, k: int) -> DataFrame:
     return df.filter(F.col(index) % k == 0).withColumn(index, F.floor(F.col(index) / k))
 
 
+def decimation_steps(factor: int) -> list[int]:
+    """A factor above 10 is split in two, the larger part first, as evenly as its divisors allow (a prime stays whole)."""
+    if factor <= 10:
+        return [factor]
+    first = next(k for k in range(math.isqrt(factor - 1) + 1, factor + 1) if factor % k == 0)
+    return [first, factor // first] if first < factor else [factor]
+
+
+def decimate(df: DataFrame, value: str, key: list[str], order: list[str], factor: int, taps: int = 31, share: float = 0.8) -> DataFrame:
+    """In each step a low-pass filter at a share of the new Nyquist frequency, then every k-th sample: later steps filter fewer samples."""
+    for k in decimation_steps(factor):
+        df = downsample(fir(df, value, key, order, fir_lowpass(taps, share / k)), order[0], k)
+    return df
+
+
 def window_function(df: DataFrame, value: str, index: str, size: int, kind: str = "hanning") -> DataFrame:
     """Multiplies by a window of size samples."""
     turn = 2 * math.pi * F.col(index) / (size - 1)

@@ -6,6 +6,7 @@ Arrow batches of many windows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -77,6 +78,36 @@ def both_ways(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], n
     return lambda x: f(f(x)[:, ::-1])[:, ::-1]
 
 
+def decimate(f: Callable[[np.ndarray], np.ndarray], k: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Every k-th sample of what a (low-pass) filter leaves."""
+    return lambda x: f(x)[:, ::k]
+
+
+def daubechies(order: int) -> list[float]:
+    """Low-pass kernel of 2 order taps with order vanishing moments (order 1 is Haar): the roots inside the unit circle of the half-band polynomial."""
+    p = [math.comb(order - 1 + k, k) for k in range(order)]
+    zeros = []
+    for y in np.roots(p[::-1]):
+        pair = np.roots([1.0, 4 * y - 2, 1.0])
+        zeros.append(pair[np.argmin(np.abs(pair))])
+    h = np.real(np.poly([-1.0] * order + zeros))
+    return [float(x) for x in h * math.sqrt(2) / h.sum()]
+
+
+def dwt(kernel: list[float]) -> Callable[[np.ndarray], np.ndarray]:
+    """One level of the wavelet transform with mirrored borders: approximation, then detail, floor((n + taps - 1) / 2) each."""
+    low = np.array(kernel)
+    high = low * (-1.0) ** (np.arange(len(low)) + 1)
+
+    def run(x: np.ndarray) -> np.ndarray:
+        n, taps = x.shape[1], len(low)
+        at = (2 * np.arange((n + taps - 1) // 2)[:, None] + 1 - np.arange(taps)) % (2 * n)
+        near = x[:, np.where(at < n, at, 2 * n - 1 - at)]
+        return np.concatenate([near @ low[::-1], near @ high], axis=1)
+
+    return run
+
+
 def fft_bandpass(low: float, high: float, fs: float) -> Callable[[np.ndarray], np.ndarray]:
     """Keeps the frequencies in [low, high]."""
 
