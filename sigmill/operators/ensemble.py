@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators.learners import kept
+from sigmill.operators.segments import running
+
 
 def vote(df: DataFrame, row: list[str], label: str = "label", score: str = "score") -> DataFrame:
     """Majority label; ties go to the larger sum of scores, then to the smaller label. score: the mean of all."""
@@ -90,18 +93,29 @@ def linear_fit(df: DataFrame, group: list[str], score: str = "score") -> DataFra
 
 
 def threshold_sweep(df: DataFrame, group: list[str], truth: str, positive, score: str = "score") -> DataFrame:
-    """Balanced accuracy of each distinct score taken as threshold (predicted positive from it on), and the best, the lowest of equals."""
+    """Balanced accuracy of each distinct score taken as threshold (predicted positive from it on), and the best, the lowest of equals.
+
+    Scores are counted by value first; running sums go over ranges of ``1 / 64``, then inside a range, so no group is ever
+    in one task whole. The value is null where a class is missing. Rows with a null score or group are left out.
+    """
     t = (F.col(truth) == positive).cast("long")
     n = df.groupBy(*group, F.col(score).alias("threshold")).agg(F.sum(t).alias("_p"), F.sum(1 - t).alias("_n"))
-    w, every = Window.partitionBy(*group).orderBy(F.desc("threshold")), Window.partitionBy(*group)
-    value = (F.sum("_p").over(w) / F.sum("_p").over(every) + 1 - F.sum("_n").over(w) / F.sum("_n").over(every)) / 2
-    out = n.withColumn("value", value)
-    first = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(F.round("value", 12)), "threshold"))
-    return out.withColumn("best", first == 1).select(*group, "threshold", "value", "best")
+    totals = n.groupBy(*group).agg(F.sum("_p").alias("_pt"), F.sum("_n").alias("_nt"))
+    run = running(n, group, F.floor(F.col("threshold") * -64), [F.desc("threshold")], {"_tp": (F.sum, F.col("_p")), "_fp": (F.sum, F.col("_n"))}).join(totals, group)
+    out = run.withColumn("value", (F.try_divide("_tp", "_pt") + 1 - F.try_divide("_fp", "_nt")) / 2)
+    best = out.groupBy(*group).agg(F.max(F.struct(F.round("value", 12).alias("v"), (-F.col("threshold")).alias("m")))["m"].alias("_m"))
+    return out.join(best, group).select(*group, "threshold", "value", (F.col("threshold") == -F.col("_m")).alias("best"))
 
 
 def platt(df: DataFrame, truth: str, positive, score: str = "score", rounds: int = 30) -> tuple[float, float]:
-    """A and B of 1 / (1 + exp(A s + B)) by Newton's method with smoothed targets; each round is one aggregate over all rows."""
+    """A and B of 1 / (1 + exp(A s + B)) by Newton's method with smoothed targets; each round is one aggregate over all
+    rows, of which class and score are kept by the executors (spilled to disk, recomputed where one is lost) meanwhile."""
+    df = df.select(truth, score)
+    with kept(df):
+        return _platt(df, truth, positive, score, rounds)
+
+
+def _platt(df: DataFrame, truth: str, positive, score: str, rounds: int) -> tuple[float, float]:
     y = F.col(truth) == positive
     r = df.agg(F.sum(y.cast("long")).alias("p"), F.count("*").alias("n")).first()
     p, n = r["p"] or 0, (r["n"] or 0) - (r["p"] or 0)

@@ -7,10 +7,12 @@ Models are applied as column expressions, so scoring stays in the JVM.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -164,13 +166,29 @@ def project(df: DataFrame, vector: str, filters: np.ndarray, name: str = "projec
     return df.withColumn(name, F.array(*(dot(vector, f) for f in filters.T)))
 
 
+@contextmanager
+def kept(df: DataFrame) -> Iterator[None]:
+    """Rows that several rounds read stay with the executors for so long: beyond memory they are on disk, and those of a
+    lost executor are read again from the source."""
+    df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield
+    finally:
+        df.unpersist()
+
+
 def svm(df: DataFrame, label: str, vector: str, positive: str, complexity: float = 1.0, rounds: int = 60) -> Linear:
     """Soft-margin linear machine with squared hinge loss by Newton steps on distributed sums.
 
     Each round is one pass: every task adds up the gradient and the Hessian of its rows with margin below 1, so no
-    training set is ever in one place. The offset is part of the objective.
+    training set is ever in one place. The offset is part of the objective. The executors keep the vectors meanwhile.
     """
     rows = df.select(F.when(F.col(label).cast("string") == positive, 1.0).otherwise(-1.0).alias("y"), F.col(vector).cast("array<double>").alias("x"))
+    with kept(rows):
+        return _newton(rows, complexity, rounds)
+
+
+def _newton(rows: DataFrame, complexity: float, rounds: int) -> Linear:
     first = rows.first()
     d = len(first["x"]) + 1
     w = np.zeros(d)
@@ -199,9 +217,15 @@ def svm(df: DataFrame, label: str, vector: str, positive: str, complexity: float
 def ica(df: DataFrame, vector: str, k: int, rounds: int = 40, seed: int = 0) -> np.ndarray:
     """Independent components (columns are filters) by the symmetric fixed-point rule with tanh.
 
-    Whitening comes from one pass of moments; each round is one pass in which every task adds up k x k numbers.
+    Whitening comes from one pass of moments; each round is one pass in which every task adds up k x k numbers. The
+    executors keep the vectors meanwhile.
     """
     rows = df.select(F.lit("all").alias("label"), F.col(vector).cast("array<double>").alias("x"))
+    with kept(rows):
+        return _fixed_point(rows, k, rounds, seed)
+
+
+def _fixed_point(rows: DataFrame, k: int, rounds: int, seed: int) -> np.ndarray:
     m = moments(rows, "label", "x")
     n, mean = m.n["all"], m.mean("all")
     value, base = np.linalg.eigh(m.scatter("all") / n)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigmill.operators.learners import MOST, Linear
+from sigmill.operators.learners import MOST, Linear, kept
 
 
 def values(column: pa.ListArray) -> np.ndarray:
@@ -51,7 +51,12 @@ def newton_sums(df: DataFrame, target: str, vector: str, step) -> tuple[np.ndarr
 
 def fit(df: DataFrame, target: str, vector: str, step, fixed_bias: float | None = None, rounds: int = 60, stop: float = 1e-8) -> Linear:
     """Minimises |w|^2 / 2 + the sum of losses; step(w) gives the row-wise function of newton_sums. Steps are halved while
-    they raise the objective."""
+    they raise the objective. The executors keep the rows meanwhile."""
+    with kept(rows := df.select(target, vector)):
+        return _minimum(rows, target, vector, step, fixed_bias, rounds, stop)
+
+
+def _minimum(df: DataFrame, target: str, vector: str, step, fixed_bias: float | None, rounds: int, stop: float) -> Linear:
     first = df.select(F.size(vector).alias("n")).first()
     if first is None:
         raise ValueError("no rows to learn from")

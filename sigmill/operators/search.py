@@ -82,15 +82,44 @@ def xdawn(windows: DataFrame, label: str, target: str, index: str, channels: lis
 
     For windows that don't overlap the response is the targets' mean window, so two aggregates of channel columns suffice.
     """
+    signal, power = response_power(windows, label, target, index, channels)
+    value, base = np.linalg.eigh(power)
+    white = base / np.sqrt(np.maximum(value, 1e-12 * max(value.max(), 1e-300)))
+    order, rotate = np.linalg.eigh(white.T @ signal @ white)
+    return L._signed(white @ rotate[:, np.argsort(-order)[:k]])
+
+
+def response_power(windows: DataFrame, label: str, target: str, index: str, channels: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of products of the channels: of the target's evoked response, and of all rows."""
     evoked = windows.filter(F.col(label) == target).groupBy(index).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in channels)).toPandas()  # a row for each sample of a window
     r = windows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(channels) for j, b in enumerate(channels) if j >= i)).first()
     power = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(channels))] for i in range(len(channels))], float)
     a = evoked[channels].to_numpy()
-    signal = a.T @ (a * evoked["n"].to_numpy()[:, None])
+    return a.T @ (a * evoked["n"].to_numpy()[:, None]), power
+
+
+def sparse_filter(signal: np.ndarray, power: np.ndarray, keep: int, weight: float) -> tuple[list[int], np.ndarray]:
+    """The channels of a sparse xDAWN filter, and the filter over them (unit length).
+
+    It maximises signal / power of the filtered channels less weight times the filter's sum of magnitudes over its length,
+    by pattern search from the plain filter and from each single channel; then the largest ``keep`` weights stay.
+    """
     value, base = np.linalg.eigh(power)
     white = base / np.sqrt(np.maximum(value, 1e-12 * max(value.max(), 1e-300)))
-    order, rotate = np.linalg.eigh(white.T @ signal @ white)
-    return L._signed(white @ rotate[:, np.argsort(-order)[:k]])
+    plain = white @ np.linalg.eigh(white.T @ signal @ white)[1][:, -1]
+
+    def objective(points: list[list[float]]) -> list[float]:
+        v = np.array(points)
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        ratio = np.einsum("ni,ij,nj->n", v, signal, v) / np.maximum(np.einsum("ni,ij,nj->n", v, power, v), 1e-300)
+        return list(ratio - weight * np.abs(v).sum(1))
+
+    starts = [list(plain / np.linalg.norm(plain)), *np.eye(len(power)).tolist()]
+    best, _ = max((pattern_search(objective, s, 0.5, 1e-6) for s in starts), key=lambda x: x[1])
+    v = np.array(best) / np.linalg.norm(best)
+    chosen = sorted(np.argsort(-np.abs(v), kind="stable")[:keep].tolist())
+    v = v[chosen]
+    return chosen, L._signed((v / np.linalg.norm(v))[:, None])[:, 0]
 
 
 def pattern_search(value: Callable[[list[list[float]]], list[float]], start: list[float], step: float = 1.0, stop: float = 1e-10, low: list[float] | None = None, high: list[float] | None = None, shrink: float = 0.5, grow: float = 1.0, rounds: int = 10_000) -> tuple[list[float], float]:
@@ -126,10 +155,6 @@ def random_projection(df: DataFrame, row: str, feature: str, value: str, k: int,
 
 def ssnr(windows: DataFrame, label: str, target: str, index: str, channels: list[str], filters: np.ndarray | None = None) -> float:
     """Signal to signal-plus-noise ratio: power of the targets' evoked response over all power, under the filters if given."""
-    evoked = windows.filter(F.col(label) == target).groupBy(index).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in channels)).toPandas()
-    r = windows.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(channels) for j, b in enumerate(channels) if j >= i)).first()
-    power = np.array([[r[f"{min(i, j)}_{max(i, j)}"] for j in range(len(channels))] for i in range(len(channels))], float)
-    a = evoked[channels].to_numpy()
-    signal = a.T @ (a * evoked["n"].to_numpy()[:, None])
+    signal, power = response_power(windows, label, target, index, channels)
     v = np.eye(len(channels)) if filters is None else filters
     return float(np.trace(v.T @ signal @ v) / np.trace(v.T @ power @ v))

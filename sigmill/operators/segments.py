@@ -1,12 +1,13 @@
 """Streams of any length in bounded pieces.
 
-A stream may hold a third of all samples, so nothing may sort it in one task. Three tools:
+A stream may hold a third of all samples, so nothing may sort it in one task. Four tools:
 
 * ``numbered``: positions in a stream from counts of time ranges, then a rank inside each range;
 * ``in_segments``: operators that reach a bounded number of samples back and ahead run on segments of the stream, each
   with the neighbouring samples that it needs (its halo); only a segment's own samples are kept;
 * ``last_where``: the last position before a sample at which a condition held, however far back: the last one in each
-  segment, carried over segments (one row for each), then inside the segment.
+  segment, carried over segments (one row for each), then inside the segment;
+* ``running``: running sums and extremes over a stream, from those of its ranges and then inside each range.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH = 1 << 15
+_JOINED = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: F.greatest, F.min: F.least}
 
 
 def numbered(df: DataFrame, key: list[str], bucket: Column, order: list[str], name: str = "t") -> DataFrame:
@@ -28,6 +30,20 @@ def numbered(df: DataFrame, key: list[str], bucket: Column, order: list[str], na
     return df.withColumn("_i", inside).join(before, [*key, "_b"]).withColumn(name, (F.col("_before") + F.col("_i")).cast("long")).drop("_b", "_i", "_before")
 
 
+def running(df: DataFrame, key: list[str], bucket: Column, order: list[str | Column], values: dict[str, tuple[Callable, Column]], itself: bool = True) -> DataFrame:
+    """Adds, by name, the sum, max or min of a column over the rows of the stream up to each row (without itself, if so
+    said); null where there is none. bucket is a coarse, monotone function of the order that bounds a sort; rows with a null
+    key or bucket have no place in a stream and are left out."""
+    parts = {f"_v{k}": f for k, (f, _) in enumerate(values.values())}
+    df = df.withColumns({"_b": bucket} | dict(zip(parts, (c for _, c in values.values()))))
+    before = Window.partitionBy(*key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = df.groupBy(*key, "_b").agg(*(f(c).alias(c) for c, f in parts.items())).select(*key, "_b", *(f(c).over(before).alias(f"{c}c") for c, f in parts.items()))
+    inside = Window.partitionBy(*key, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if itself else -1)
+    out = df.withColumns({f"{c}i": f(c).over(inside) for c, f in parts.items()}).join(carried, [*key, "_b"])
+    found = {name: _JOINED[f](F.col(f"{c}c"), F.col(f"{c}i")) for name, (c, f) in zip(values, parts.items())}
+    return out.withColumns(found).drop("_b", *(f"{c}{x}" for c in parts for x in ("", "c", "i")))
+
+
 def in_segments(df: DataFrame, key: list[str], index: str, f: Callable[[DataFrame, list[str]], DataFrame], before: int = 0, after: int = 0, length: int = LENGTH) -> DataFrame:
     """f(segments, key) where f looks at most before samples back and after ahead. Each sample goes to its own segment and,
     near a border, to the next as halo: (before + after) / length of the rows are copied."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import spread_hash
+from sigmill.operators.segments import running
 
 RANGES = 1 << 10
 
@@ -35,12 +36,12 @@ def cv_folds(df: DataFrame, row_id: str, folds: int, stratify: list[str] | None
     return out.withColumn("fold", fold.cast("long")).drop("rank", "size", "_all")
 
 
-def groups_in_time(df: DataFrame, stream: list[str], start: str, end: str) -> DataFrame:
-    """Adds group: windows that overlap in time stay together."""
-    w = Window.partitionBy(*stream).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = (reach.isNull() | (F.col(start) > reach)).cast("int")
-    return df.withColumn("_new", new).withColumn("group", F.sum("_new").over(w).cast("long")).drop("_new")
+def groups_in_time(df: DataFrame, stream: list[str], start: str, end: str, bucket: Column) -> DataFrame:
+    """Adds group (from 1): windows that overlap in time stay together, however long their chain is. bucket is a coarse,
+    monotone function of the start that bounds a sort."""
+    reached = running(df, stream, bucket, [start, end], {"_reach": (F.max, F.col(end))}, itself=False)
+    new = (F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("long")
+    return running(reached, stream, bucket, [start, end], {"group": (F.sum, new)}).drop("_reach")
 
 
 def train_test(df: DataFrame, row_id: str, ratio: float) -> DataFrame:

@@ -5,9 +5,11 @@ A row takes part by the name of its window definition: some definitions train, s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sigmill.operators.segments import running
+
 
 def time_segments(df: DataFrame, stream: list[str], start: str, splits: int) -> DataFrame:
     """Adds segment: equal lengths of time, round((last - first) / splits + 1/2), counted from the stream's first start; an end belongs to its segment."""
@@ -20,11 +22,7 @@ def time_segments(df: DataFrame, stream: list[str], start: str, splits: int) ->
 def running_count(df: DataFrame, stream: list[str], bucket: Column, order: list[str], counted: Column, name: str) -> DataFrame:
     """Adds the number of counted rows up to and with each row. bucket is a coarse, monotone function of the order that
     bounds a sort: counts of buckets are carried over, then rows are counted inside theirs."""
-    df = df.withColumns({"_b": bucket, "_c": F.coalesce(counted, F.lit(False)).cast("long")})
-    n = df.groupBy(*stream, "_b").agg(F.sum("_c").alias("_n"))
-    before = n.withColumn("_before", F.sum("_n").over(Window.partitionBy(*stream).orderBy("_b")) - F.col("_n")).drop("_n")
-    inside = F.sum("_c").over(Window.partitionBy(*stream, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_i", inside).join(before, [*stream, "_b"]).withColumn(name, F.col("_before") + F.col("_i")).drop("_b", "_c", "_i", "_before")
+    return running(df, stream, bucket, order, {name: (F.sum, F.coalesce(counted, F.lit(False)).cast("long"))})
 
 
 def count_segments(df: DataFrame, stream: list[str], bucket: Column, order: list[str], counted: Column, splits: int) -> DataFrame:

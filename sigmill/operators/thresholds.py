@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators.segments import running
+
 #: Metrics as functions of the true and false positive, and true and false negative counts; null where a class is missing.
 METRICS = {
     "Balanced_accuracy": lambda tp, fp, tn, fn: (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2,
@@ -60,13 +62,15 @@ def onset_classifier(df: DataFrame, window: list[str], channel: str, onset: str,
     return n.select(*window, F.when(hit, labels[1]).otherwise(labels[0]).alias("label"), hit.cast("double").alias("prediction"))
 
 
-def trials(df: DataFrame, key: list[str], start: str, end: str, gap: float) -> DataFrame:
+def trials(df: DataFrame, key: list[str], start: str, end: str, gap: float, bucket: Column) -> DataFrame:
     """Adds trial (from 1) and place (in the trial, from 1): a new one begins where a window starts more than gap after the
-    end of the one before. key should bound a stream to a stretch that fits a task."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    new = F.when(F.col(start) - F.lag(end).over(w) <= gap, 0).otherwise(1)
-    out = df.withColumn("_new", new).withColumn("trial", F.sum("_new").over(w).cast("long"))
-    return out.withColumn("place", F.row_number().over(Window.partitionBy(*key, "trial").orderBy(start, end)).cast("long")).drop("_new")
+    end of the one before. bucket is a coarse, monotone function of the start that bounds a sort, so neither a stream nor a
+    trial has to fit a task."""
+    order = [start, end]
+    last = running(df, key, bucket, order, {"_last": (F.max, F.struct(start, end)), "_at": (F.sum, F.lit(1).cast("long"))}, itself=False)
+    last = last.withColumn("_at", F.coalesce("_at", F.lit(0).cast("long"))).withColumn("_new", F.coalesce(F.col(start) - F.col("_last")[end] > gap, F.lit(True)))
+    out = running(last, key, bucket, order, {"trial": (F.sum, F.col("_new").cast("long")), "_first": (F.max, F.when(F.col("_new"), F.col("_at")))})
+    return out.withColumn("place", F.col("_at") - F.col("_first") + 1).drop("_last", "_at", "_new", "_first")
 
 
 def relabel_by_change(df: DataFrame, trial: list[str], place: str, change: int, before, after, uncertain: tuple[int, int] | None = None) -> DataFrame:

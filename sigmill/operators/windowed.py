@@ -73,6 +73,68 @@ def butterworth(order: int, cutoff: float) -> tuple[list[float], list[float]]:
     return [float(x) for x in b * a.sum() / b.sum()], [float(x) for x in a]
 
 
+def _moduli(k: float) -> list[float]:
+    """Landen's descending moduli: elliptic functions of modulus k become circular ones along them."""
+    out = []
+    while k > 1e-15:
+        k = (k / (1 + math.sqrt(1 - k * k))) ** 2
+        out.append(k)
+    return out
+
+
+def _ascend(w, k: float):
+    for v in reversed(_moduli(k)):
+        w = (1 + v) * w / (1 + v * w * w)
+    return w
+
+
+def _cd(u, k: float):
+    """Jacobi's cd at u quarter periods."""
+    return _ascend(np.cos(u * np.pi / 2), k)
+
+
+def _sn(u, k: float):
+    return _ascend(np.sin(u * np.pi / 2), k)
+
+
+def _inverse_sn(w: complex, k: float) -> complex:
+    for before, v in zip([k, *_moduli(k)], _moduli(k)):
+        w = w / (1 + np.sqrt(1 - (w * before) ** 2)) * 2 / (1 + v)
+    return 2 / np.pi * np.arcsin(w)
+
+
+def elliptic(order: int, band: float | tuple[float, float], loss: float = 0.5, stop: float = 60.0) -> tuple[list[float], list[float]]:
+    """Coefficients (b, a) of an elliptic low-pass (band: its edge) or band-pass (both edges; twice the order), edges as
+    shares of the Nyquist frequency. loss: the largest loss in the pass band, stop: the least in the stop band, in dB.
+
+    The analogue prototype has its poles and zeros at values of elliptic functions whose modulus solves the degree
+    equation; the band and the bilinear transform map them.
+    """
+    ripple = math.sqrt(10 ** (loss / 10) - 1)
+    k1 = ripple / math.sqrt(10 ** (stop / 10) - 1)
+    u = (2 * np.arange(1, order // 2 + 1) - 1) / order
+    other = math.sqrt(1 - k1 * k1)
+    k = math.sqrt(1 - (other**order * float(np.prod(_sn(u, other))) ** 4) ** 2)
+    v0 = -1j * _inverse_sn(1j / ripple, k1) / order
+    zeros = 1j / (k * _cd(u, k))
+    poles = 1j * _cd(u - 1j * v0, k)
+    zeros, poles = np.r_[zeros, zeros.conj()], np.r_[poles, poles.conj()]
+    if order % 2:
+        poles = np.r_[poles, 1j * _sn(1j * v0, k)]
+    open_ = order - len(zeros)  # zeros at infinity
+    if isinstance(band, tuple):
+        low, high = (math.tan(math.pi * x / 2) for x in band)
+        pair = lambda s: np.concatenate([np.roots([1.0, -x * (high - low), low * high]) for x in s])
+        zeros, poles, centre = np.r_[pair(zeros) if len(zeros) else [], np.zeros(open_)], pair(poles), 1j * math.sqrt(low * high)
+    else:
+        zeros, poles, centre = zeros * math.tan(math.pi * band / 2), poles * math.tan(math.pi * band / 2), 0.0
+    plane = lambda s: (1 + s) / (1 - s)
+    b, a = np.real(np.poly(np.r_[plane(zeros), -np.ones(open_)])), np.real(np.poly(plane(poles)))
+    gain = 1.0 if order % 2 else 10 ** (-loss / 20)
+    at = plane(centre)
+    return [float(x) for x in b * gain * abs(np.polyval(a, at) / np.polyval(b, at))], [float(x) for x in a]
+
+
 def both_ways(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[np.ndarray], np.ndarray]:
     """Forward and backward: no phase shift."""
     return lambda x: f(f(x)[:, ::-1])[:, ::-1]

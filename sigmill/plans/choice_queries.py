@@ -44,7 +44,7 @@ def cv_folds_stratified(spark, d):
 def cv_groups_in_time(spark, d):
     t = F.col("t")
     w = samples(spark, d).select("user_id", "t", (t * 10 + (t % 3) * 7).alias("a")).withColumn("b", F.col("a") + (t % 5) * 6)
-    return C.groups_in_time(w, ["user_id"], "a", "b").select("user_id", "t", "group")
+    return C.groups_in_time(w, ["user_id"], "a", "b", F.floor(F.col("a") / 40960)).select("user_id", "t", "group")
 
 
 @query("train_test_split", f"WITH {_rank()} SELECT id, CASE WHEN rank < round(size * 0.7) THEN 'train' ELSE 'test' END AS part FROM r")

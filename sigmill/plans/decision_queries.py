@@ -74,7 +74,7 @@ def sliding_window_trials(spark, d):
     t = F.col("t")
     start = t * 50 + F.floor(t / 12) * 500
     w = samples(spark, d).select("user_id", "t", "value", start.alias("a"), (start + 100).alias("b"))
-    n = T.relabel_by_change(T.trials(w, ["user_id"], "a", "b", 0), ["user_id", "trial"], "place", 7, "before", "after", (-1, 1))
+    n = T.relabel_by_change(T.trials(w, ["user_id"], "a", "b", 0, F.floor(F.col("a") / 204800)), ["user_id", "trial"], "place", 7, "before", "after", (-1, 1))
     return n.select("user_id", "trial", "place", "truth", r6("value").alias("value"))
 
 

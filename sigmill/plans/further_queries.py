@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from sigmill.functions.expr import r6
+from sigmill.functions.expr import r6, spread_hash
 from sigmill.operators import metrics as M
 from sigmill.operators import signal as S
 from sigmill.operators import splits as P
@@ -41,17 +41,23 @@ def transfer_split_time(spark, d):
     return _folds(P.time_segments(samples(spark, d), STREAM, "t", 4))
 
 
-@query(
-    "transfer_split_count",
-    _folds_sql(
-        """SELECT *, CASE WHEN ceil(n / e) = 5 AND g = 4 THEN g - 1 ELSE g END AS segment FROM (SELECT *, CAST(greatest(floor((c - 1) / e), 0) AS BIGINT) AS g FROM (SELECT *, greatest(round(CAST(n AS DOUBLE) / 4), 1.0) AS e FROM
-        (SELECT *, sum(CASE WHEN marker = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS n, sum(CASE WHEN marker = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS c FROM samples)))"""
-    ),
-)
+def _count_sql(order: str) -> str:
+    return f"""SELECT *, CASE WHEN ceil(n / e) = 5 AND g = 4 THEN g - 1 ELSE g END AS segment FROM (SELECT *, CAST(greatest(floor((c - 1) / e), 0) AS BIGINT) AS g FROM (SELECT *, greatest(round(CAST(n AS DOUBLE) / 4), 1.0) AS e FROM
+        (SELECT *, sum(CASE WHEN marker = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id) AS n, sum(CASE WHEN marker = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY {order}) AS c FROM samples)))"""
+
+
+@query("transfer_split_count", _folds_sql(_count_sql("t")))
 def transfer_split_count(spark, d):
     return _folds(P.count_segments(samples(spark, d), STREAM, _range(), ["t"], F.col("marker") == "purchase", 4))
 
 
+@query("transfer_split_random", _folds_sql(_count_sql("(t * 2654435761) % 4294967296, t")))
+def transfer_split_random(spark, d):
+    """The split by count of a recording in random order, which a hash of the time gives; rows of one time stay in line."""
+    mixed = spread_hash("t")
+    return _folds(P.count_segments(samples(spark, d), STREAM, F.floor(mixed / (1 << 24)), [mixed, "t"], F.col("marker") == "purchase", 4))
+
+
 @query("transfer_split_flags", _folds_sql("SELECT *, CAST(sum(CASE WHEN t > 0 AND t % 50 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS BIGINT) AS segment FROM samples", True))
 def transfer_split_flags(spark, d):
     """A new set at each 50th sample; the folds train on one set and test on the others."""
@@ -121,6 +127,31 @@ def decimation_iir(spark, d):
     return Y.as_samples(Y.each(arrays, Y.decimate(Y.lfilter(_B, _A), 4)), ["user_id", "win"]).select("user_id", "win", "k", r6("value").alias("value"))
 
 
+def _impulse_sql(b: list[float], a: list[float]) -> str:
+    """The filter as a sum over the samples before, with its impulse response from its spectrum."""
+    h = np.fft.irfft(np.fft.rfft(b, 1 << 14) / np.fft.rfft(a, 1 << 14))[:16]
+    return f"""WITH {WINDOWS}, h(j, h) AS (VALUES {", ".join(f"({j}, {float(x)!r})" for j, x in enumerate(h))})
+    SELECT a.user_id, a.win, a.k, round(sum(h.h * b.value), 6) + 0.0 AS value FROM windows a JOIN windows b ON a.user_id = b.user_id AND a.win = b.win AND b.k <= a.k JOIN h ON h.j = a.k - b.k GROUP BY a.user_id, a.win, a.k"""
+
+
+_LOW, _BAND = Y.elliptic(4, 0.3), Y.elliptic(2, (0.2, 0.4))
+
+
+def _filtered(spark, d, coefficients):
+    arrays = Y.as_arrays(windows(spark, d), ["user_id", "win"], "k", "value")
+    return Y.as_samples(Y.each(arrays, Y.lfilter(*coefficients)), ["user_id", "win"]).select("user_id", "win", "k", r6("value").alias("value"))
+
+
+@query("elliptic_lowpass", _impulse_sql(*_LOW))
+def elliptic_lowpass(spark, d):
+    return _filtered(spark, d, _LOW)
+
+
+@query("elliptic_bandpass", _impulse_sql(*_BAND))
+def elliptic_bandpass(spark, d):
+    return _filtered(spark, d, _BAND)
+
+
 _DB2 = [(1 + 3**0.5) / (4 * 2**0.5), (3 + 3**0.5) / (4 * 2**0.5), (3 - 3**0.5) / (4 * 2**0.5), (1 - 3**0.5) / (4 * 2**0.5)]
 
 

@@ -39,6 +39,16 @@ def xdawn(spark, d):
     return r.select("win", "t", *(F.round(L.dot(x, f[:, k]), 5).alias(f"c{k}") for k in range(2)))
 
 
+@query("sparse_xdawn")
+def sparse_xdawn(spark, d):
+    """The two channels, scaled to equal power, that a sparse filter for the evoked response keeps."""
+    r = records(spark, d)
+    size = r.agg(*(F.sqrt(F.avg(F.col(c) * F.col(c))).alias(c) for c in CHANNELS)).first()
+    r = r.select("win", "t", "label", *((F.col(c) / size[c]).alias(c) for c in CHANNELS))
+    chosen, w = H.sparse_filter(*H.response_power(r, "label", "A", "t", CHANNELS), 2, 0.1)
+    return spark.createDataFrame([(CHANNELS[c], round(float(x), 4)) for c, x in zip(chosen, w)], "channel string, weight double")
+
+
 @query("random_projection")
 def random_projection(spark, d):
     return H.random_projection(features(spark, d), "id", "f", "x", 3).select("id", *(F.round(f"p{k}", 5).alias(f"p{k}") for k in range(3)))

@@ -4,9 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sigmill.operators import search, selection, thresholds
 from sigmill.operators import signal as S
 from sigmill.operators import splits as P
 from sigmill.operators import windowed as Y
+from sigmill.operators.segments import running
 
 
 def by_t(df, *cols):
@@ -59,3 +61,61 @@ def test_wavelet_of_a_constant_has_no_detail(order, n):
     half = (n + 2 * order - 1) // 2
     assert y.shape == (2, 2 * half)
     assert np.allclose(y[:, :half], 3 * 2**0.5) and np.allclose(y[:, half:], 0, atol=1e-9)
+
+
+@pytest.mark.parametrize("order, band", [(1, 0.3), (4, 0.25), (5, 0.5), (2, (0.2, 0.4)), (3, (0.1, 0.3))])
+def test_elliptic_filters_keep_their_pass_band_and_stop_the_rest(order, band):
+    b, a = Y.elliptic(order, band, 0.5, 60.0)
+    f = np.linspace(0, 1, 5001)
+    z = np.exp(-1j * np.pi * f)
+    level = 20 * np.log10(np.maximum(abs(np.polyval(b[::-1], z) / np.polyval(a[::-1], z)), 1e-12))
+    low, high = band if isinstance(band, tuple) else (0.0, band)
+    inside = (f >= low) & (f <= high)
+    assert -0.5001 < level[inside].min() and level[inside].max() < 1e-4
+    for side in (level[f > high], level[f < low][::-1]):  # once stopped, it stays so
+        if len(side):
+            stopped = np.flatnonzero(side <= -60)
+            assert len(stopped) and side[stopped[0] :].max() < -59.999
+    assert abs(np.roots(a)).max() < 1
+
+
+@pytest.mark.parametrize("width", [1, 7, 1000])
+def test_running_aggregates_equal_plain_ones(spark, width):
+    rng = np.random.default_rng(3)
+    rows = [(int(s), int(t), float(v)) for s, t, v in zip(rng.integers(0, 2, 60), rng.permutation(60), rng.normal(size=60))]
+    df = spark.createDataFrame(rows, "s int, t long, v double")
+    values = {"total": (F.sum, F.when(F.col("v") > 0, F.col("v"))), "high": (F.max, F.col("v")), "low": (F.min, F.col("v"))}
+    for itself in (True, False):
+        got = {r.t: (r.total, r.high, r.low) for r in running(df, ["s"], F.floor(F.col("t") / width), ["t"], values, itself).collect()}
+        assert len(got) == 60
+        for s, t, _ in rows:
+            v = [x for o, u, x in rows if o == s and (u <= t if itself else u < t)]
+            plain = (sum(x for x in v if x > 0) if any(x > 0 for x in v) else None, max(v, default=None), min(v, default=None))
+            assert got[t] == pytest.approx(plain) if None not in plain else got[t] == plain or got[t][1:] == pytest.approx(plain[1:])
+
+
+@pytest.mark.parametrize("width", [1, 10, 10_000])
+def test_groups_and_trials_that_cross_ranges(spark, width):
+    """One long window holds the later ones together; a trial runs over many ranges."""
+    df = spark.createDataFrame([(1, 0, 100), (1, 5, 6), (1, 50, 60), (1, 101, 102), (1, 102, 110), (1, 200, 201), (2, 7, 8)], "s int, a long, b long")
+    bucket = F.floor(F.col("a") / width)
+    got = selection.groups_in_time(df, ["s"], "a", "b", bucket).orderBy("s", "a").collect()
+    assert [r["group"] for r in got] == [1, 1, 1, 2, 2, 3, 1]
+    got = thresholds.trials(df, ["s"], "a", "b", 50, bucket).orderBy("s", "a").collect()
+    assert [(r.trial, r.place) for r in got] == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (1, 1)]
+    assert thresholds.trials(df.limit(0), ["s"], "a", "b", 50, bucket).columns == ["s", "a", "b", "trial", "place"]
+
+
+def test_a_sparse_filter_keeps_the_channels_that_carry_the_response():
+    rng = np.random.default_rng(0)
+    noise = rng.normal(size=(400, 5))
+    power = noise.T @ noise + np.diag([60.0, 0, 0, 90.0, 0])
+    signal = np.zeros((5, 5))
+    signal[np.ix_([0, 3], [0, 3])] = [[60.0, 70.0], [70.0, 90.0]]
+    chosen, w = search.sparse_filter(signal, power, 2, 0.05)
+    assert chosen == [0, 3] and np.linalg.norm(w) == pytest.approx(1) and (w > 0).all()
+    ratio = lambda v: (v @ signal @ v) / (v @ power @ v)
+    own = np.zeros(5)
+    own[chosen] = w
+    assert all(ratio(own) >= 0.9 * ratio(v) for v in rng.normal(size=(500, 5)))
+    assert search.sparse_filter(signal, power, 1, 0.5)[0] in ([0], [3])
