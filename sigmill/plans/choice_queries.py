@@ -151,9 +151,24 @@ def knn_hamming(spark, d):
     return G.knn_hamming(w.filter("id % 2 = 1"), w.filter("id % 2 = 0"), "id", ["a", "b", "c"], "truth", 7)
 
 
-@query("ridge_gating")
+def _determinant(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_NORMAL = [["aa + 1", "ab", "ac"], ["ab", "bb + 1", "bc"], ["ac", "bc", "cc + 1"]]
+_NORMAL = [[f"({x})" for x in r] for r in _NORMAL]
+_CRAMER = ", ".join(f"{_determinant([[t if k == c else x for c, x in enumerate(r)] for r, t in zip(_NORMAL, ('ta', 'tb', 'tc'))])} / {_determinant(_NORMAL)} AS x{k}" for k in range(3))
+
+
+@query(
+    "ridge_gating",
+    f"""WITH {_VOTES}, w AS (SELECT id, CAST(2 * truth - 1 AS DOUBLE) AS t, CAST(2 * max(label) FILTER (predictor = 'a') - 1 AS DOUBLE) AS a, CAST(2 * max(label) FILTER (predictor = 'b') - 1 AS DOUBLE) AS b, CAST(2 * max(label) FILTER (predictor = 'c') - 1 AS DOUBLE) AS c FROM votes GROUP BY id, truth),
+    sums AS (SELECT {", ".join(f"sum({x} * {y}) AS {x}{y}" for x, y in ("aa", "ab", "ac", "bb", "bc", "cc", "ta", "tb", "tc"))} FROM w WHERE id % 2 = 0), solved AS (SELECT {_CRAMER} FROM sums), scored AS (SELECT id, a * x0 + b * x1 + c * x2 AS s FROM w, solved WHERE id % 2 = 1)
+    SELECT id, round(s, 6) + 0.0 AS score, CAST(s > 0 AS INTEGER) AS label FROM scored""",
+)
 def ridge_gating(spark, d):
-    """Weights of +-1 votes by ridge regression; matrix inversion is out of SQL's reach."""
+    """Weights of +-1 votes by ridge regression."""
     w = _wide(spark, d).select("id", *((2 * F.col(c) - 1).cast("double").alias(c) for c in ("a", "b", "c", "truth")))
     x = G.ridge_weights(w.filter("id % 2 = 0"), ["a", "b", "c"], "truth")
     s = sum(F.col(c) * float(v) for c, v in zip("abc", x))

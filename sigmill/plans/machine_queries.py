@@ -154,6 +154,33 @@ def prediction_sink(spark, d):
     return files.stored(spark, p, _folder(spark, "predictions"), ["fold"])
 
 
+@query("csv_features", "SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id AS DOUBLE) AS id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings")
+def csv_features(spark, d):
+    """Vectors in a file without a header, the label first, read as labelled features."""
+    path = _folder(spark, "csv")
+    x = F.col("embedding").cast("array<double>")
+    table(spark, d, "embeddings").select(F.concat_ws(", ", F.col("label").cast("string"), F.col("vec_id").cast("string"), x[0].cast("string"), x[1].cast("string"))).write.text(path)
+    return files.csv_features(spark, path).select("label", *(F.col("features")[k].alias(c) for k, c in enumerate(("id", "x0", "x1"))))
+
+
+@query("arff_table", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderpriority AS \"the priority\", CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")
+def arff_table(spark, d):
+    """Rows of a file whose header declares its columns, quoted names and values included."""
+    path = _folder(spark, "arff")
+    head = ["% orders", "@relation orders", "@attribute o_orderkey numeric", "@attribute 'the priority' string", "@ATTRIBUTE o_totalprice real", "@data"]
+    rows = table(spark, d, "orders").select(F.format_string("%s, '%s', %s", F.col("o_orderkey").cast("string"), "o_orderpriority", F.col("o_totalprice").cast("double").cast("string")).alias("value"))
+    spark.createDataFrame([(x,) for x in head], "value string").coalesce(1).unionByName(rows).write.text(path)
+    return files.arff(spark, path)
+
+
+@query("result_table", f"WITH {RESULTS} SELECT __dataset, __method, CAST(__run AS VARCHAR) AS __run, CAST(metric AS DOUBLE) AS metric, CAST(time AS DOUBLE) AS time FROM results")
+def result_table(spark, d):
+    """A performance table written, and read with its metrics as numbers."""
+    path = _folder(spark, "results")
+    files.results(results(spark, d).select("metric", "time", "__run", "__method", "__dataset"), path)
+    return files.read_results(spark, path, ["metric", "time"]).select("__dataset", "__method", "__run", "metric", "time")
+
+
 @query("window_sink", f"WITH {WINDOWS} SELECT user_id, win, k, marker, value FROM windows")
 def window_sink(spark, d):
     """Windows stored with those of one stretch of time together, each file in order, and read again."""

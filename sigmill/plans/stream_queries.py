@@ -53,6 +53,27 @@ def _to_table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
+@query(
+    "stream_sessions",
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '12 hours' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+    s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM e)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '12 hours' AS "end", count(*) AS n FROM s GROUP BY user_id, s""",
+)
+def stream_sessions(spark, d):
+    """Trials of a live stream: runs of events with less than 12 hours between them."""
+    out = _to_table(spark, V.sessions(_events(spark, d), ["user_id"], "ts", "12 hours"), "complete")
+    return out.select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")), "n")
+
+
+@query("stream_predictions", "SELECT event_id, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS predicted FROM events")
+def stream_predictions(spark, d):
+    """A model applied to each batch of a live stream; the predictions are appended to a table."""
+    root = f"{shared_folder(spark)}/predict-{uuid.uuid4().hex}"
+    model = lambda batch: batch.select("event_id", F.when(F.col("value") > 50, "high").otherwise("low").alias("predicted"))
+    V.predict(_events(spark, d), model, f"{root}/out", f"{root}/state").awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("event_id", "predicted")
+
+
 @query(
     "stream_window_means",
     "SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_pop(value), 6) + 0.0 AS sd FROM events GROUP BY 1, 2",

@@ -135,6 +135,19 @@ def check_failures(spark, d):
     return B.missing(B.expected_settings(_SPACE, spark), results(spark, d), list(_SPACE), 200)
 
 
+@query(
+    "completed_table",
+    f"""WITH {RESULTS}, e AS (SELECT * FROM (VALUES ('BUILDING'), ('MACHINERY'), ('FURNITURE'), ('NONE')) a(__dataset), (VALUES ('1-URGENT'), ('5-LOW')) b(__method), (VALUES (CAST(0 AS BIGINT)), (1), (2)) c(__run)),
+    r AS (SELECT __dataset, __method, __run, count(*) AS n FROM results GROUP BY ALL)
+    SELECT __dataset, __method, __run, 'all' AS __study, CASE WHEN known IS NULL THEN n ELSE greatest(coalesce(n, 0), 200) END AS rows, CASE WHEN known IS NULL THEN 0 ELSE greatest(200 - coalesce(n, 0), 0) END AS filled
+    FROM r FULL JOIN (SELECT *, 1 AS known FROM e) USING (__dataset, __method, __run)""",
+)
+def completed_table(spark, d):
+    """Missing splits of expected settings are filled with a default; a further parameter is the same in all rows."""
+    full = B.complete(results(spark, d).select(*_SPACE, "metric"), B.expected_settings(_SPACE, spark), list(_SPACE), 200, {"metric": -1.0})
+    return B.add_key(full, "__study", "all").groupBy(*_SPACE, "__study").agg(F.count("*").alias("rows"), F.sum((F.col("metric") == -1).cast("long")).alias("filled"))
+
+
 @query("analysis_cube", f"WITH {RESULTS} SELECT __dataset, __method, __run, round(avg(metric), 4) AS mean, count(*) AS n FROM results GROUP BY CUBE (__dataset, __method, __run)")
 def analysis_cube(spark, d):
     return B.cube(results(spark, d), ["__dataset", "__method", "__run"], "metric").withColumn("mean", F.round("mean", 4))

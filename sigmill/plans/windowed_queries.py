@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import r6
@@ -46,12 +47,27 @@ def detrend_linear(spark, d):
     return Y.as_samples(Y.each(arrays, Y.detrend_linear), KEY).select("user_id", "win", "k", r6("value").alias("value"))
 
 
-@query("iir_lowpass")
+def _response(b: list[float], a: list[float]) -> list[float]:
+    """The first samples of a filter's impulse response, from its spectrum."""
+    return [float(x) for x in np.fft.irfft(np.fft.rfft(b, 1 << 14) / np.fft.rfft(a, 1 << 14))[:16]]
+
+
+@query(
+    "iir_lowpass",
+    f"""WITH {WINDOWS}, h(j, h) AS (VALUES {", ".join(f"({j}, {x!r})" for j, x in enumerate(_response(*Y.butterworth(2, 0.3))))}),
+    f AS (SELECT a.user_id, a.win, a.k, sum(h * b.value) AS value FROM windows a JOIN windows b ON a.user_id = b.user_id AND a.win = b.win JOIN h ON h.j = a.k - b.k GROUP BY a.user_id, a.win, a.k)
+    SELECT a.user_id, a.win, a.k, round(sum(h * b.value), 6) + 0.0 AS value FROM f a JOIN f b ON a.user_id = b.user_id AND a.win = b.win JOIN h ON h.j = b.k - a.k GROUP BY a.user_id, a.win, a.k""",
+)
 def iir_lowpass(spark, d):
     """Butterworth, forward and backward."""
     return _run(spark, d, Y.both_ways(Y.lfilter(*Y.butterworth(2, 0.3))))
 
 
-@query("fft_resample")
+@query(
+    "fft_resample",
+    f"""WITH {WINDOWS}, n AS (SELECT user_id, win, count(*) AS n FROM windows GROUP BY user_id, win), f(f) AS (VALUES (0), (1), (2), (3), (4)), m(m) AS (SELECT unnest(range(8)))
+    SELECT w.user_id, w.win, m AS k, round(sum(value * CASE WHEN f = 0 OR 2 * f = least(n, 8) THEN 1 ELSE 2 END * cos(2 * pi() * f * (m / 8.0 - CAST(k AS DOUBLE) / n)) / n), 6) + 0.0 AS value
+    FROM windows w JOIN n ON n.user_id = w.user_id AND n.win = w.win JOIN f ON 2 * f <= least(n, 8) CROSS JOIN m GROUP BY w.user_id, w.win, m""",
+)
 def fft_resample(spark, d):
     return _run(spark, d, Y.fft_resample(8))
