@@ -8,8 +8,9 @@ and answers each with totals in the order of its question. A chunk and its answe
 Nothing is collected: a chunk is bounded by ``CHUNK_BYTES`` of text (a longer text is a chunk of its own); the key range
 is cut into as many parts as ``PART_BYTES`` of questions each need, from the size of the packed text, so a part doesn't
 grow with the corpus; a key that every document holds is one entry for each chunk. Tasks are as many as parts, and as
-groups of ``CHUNKS_PER_TASK`` chunks. The questions are chunks times parts rows at most: some thousand bytes each up to
-some hundred GB of text, beyond which CHUNK_BYTES and PART_BYTES have to grow with the executors' memory.
+groups of ``CHUNKS_PER_TASK`` chunks. The questions are chunks times parts rows at most, and never more than the chunks
+have keys, since a part without keys of a chunk isn't asked: some thousand bytes each up to some hundred GB of text, beyond
+which rows get small and CHUNK_BYTES and PART_BYTES should grow with the executors' memory.
 """
 
 from __future__ import annotations
