@@ -42,6 +42,7 @@ BATCH_BYTES = 4 << 20
 LANE = 256
 SHIFT_BITS = 20
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_LOWER = {c: c + 0x20 for c in range(0x41, 0x5B)}
 _SPANS = "array<struct<a:bigint,b:bigint>>"
 
 
@@ -167,7 +168,7 @@ def _pieces(text: str, width: int, most: int) -> Iterator[str]:
     if len(text) // 2 + 1 <= most:  # no more words than that
         yield text
         return
-    words = _WORD.findall(text)
+    words = _WORD.findall(text.translate(_LOWER))
     for k in range(0, max(1, len(words) - width + 1), most):
         yield " ".join(words[k : k + most + width - 1])
 

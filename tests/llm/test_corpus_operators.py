@@ -96,7 +96,7 @@ def plain_hits(t, items, width=10):
 
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40])
 def test_decontamination(spark, docs, empty, block):
-    items = [(k, ROWS[i][1]) for k, i in enumerate((3, 61, 70, 0))] + [(10, ROWS[62][1][30:400]), (11, "the on"), (12, "x"), (13, None), (14, " ,; "), (2, ROWS[5][1])]
+    items = [(k, ROWS[i][1]) for k, i in enumerate((3, 61, 70, 0))] + [(10, ROWS[62][1][30:400].title()), (11, "the On"), (12, "x"), (13, None), (14, " ,; "), (2, ROWS[5][1].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = by_id(decontaminate.report(docs, bench, block_windows=block))
     for i, t in ROWS:
@@ -109,6 +109,19 @@ def test_decontamination(spark, docs, empty, block):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if not r.contaminated}
 
 
+def test_decontamination_by_a_very_long_item_in_mixed_case(spark):
+    """Beyond one block of windows; the passage lies across the place where the item is cut, another at its end."""
+    words = [f"{'The Quick iPhone'.split()[k % 3]}{k}" for k in range(130_000)]
+    item = ", ".join(words)
+    assert len(item) > 4 * decontaminate.BLOCK_WINDOWS
+    rows = [(k, " ".join(words[a : a + 60])) for k, a in enumerate((0, 64_000, 129_940))] + [(8, item.lower()), (9, " ".join(words[5:14]))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, item), (2, words[7])], "item_id long, text string")
+    for block in (decontaminate.BLOCK_WINDOWS, 64_030):
+        got = by_id(decontaminate.report(docs, bench, block_windows=block))
+        assert {i: (r.n_words, r.n_hit, r.n_items) for i, r in got.items()} == {0: (60, 60, 2), 1: (60, 60, 1), 2: (60, 60, 1), 8: (130_000, 130_000, 2), 9: (9, 1, 1)}
+        assert decontaminate.clean(docs, bench, block_windows=block).count() == 0
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_WINDOWS, 40])
 def test_decontamination_by_items_without_id(spark, docs, block):
     """Their windows count; together they are one item that has no part in the hash. The SQL says the same."""
