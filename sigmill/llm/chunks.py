@@ -7,10 +7,10 @@ and answers each with totals in the order of its question. A chunk and its answe
 
 Nothing is collected: a chunk is bounded by ``CHUNK_BYTES`` of text (a longer text is a chunk of its own); the key range
 is cut into as many parts as ``PART_BYTES`` of questions each need, from the size of the packed text, so a part doesn't
-grow with the corpus; a key that every document holds is one entry for each chunk. Tasks are as many as parts, and as
-groups of ``CHUNKS_PER_TASK`` chunks. The questions are chunks times parts rows at most, and never more than the chunks
-have keys, since a part without keys of a chunk isn't asked: some thousand bytes each up to some hundred GB of text, beyond
-which rows get small and CHUNK_BYTES and PART_BYTES should grow with the executors' memory.
+grow with the corpus; a key that every document holds is one entry for each chunk. A chunk finds its parts by walking over
+its own keys, never over all parts, and asks only parts that hold keys of it: work and rows follow the keys, and are never
+more than one short row for each key, however many parts there are. A task takes one part, or, from ``MOST_TASKS`` parts
+on, several parts one after the other; chunks go ``CHUNKS_PER_TASK`` to a task.
 """
 
 from __future__ import annotations
@@ -30,9 +30,12 @@ CHUNK_BYTES = 4 << 20
 #: Of packed questions in a part. A byte of text asks for about ASKED bytes of packed keys of one kind.
 PART_BYTES, ASKED = 16 << 20, 1.2
 CHUNKS_PER_TASK = 2
+MOST_TASKS = 20_000
 
-#: A chunk's documents to its sorted distinct keys and what each counts for, for each kind of key.
-Asker = Callable[[pa.Table], list[tuple[np.ndarray, np.ndarray]]]
+#: Sorted distinct keys and a value of each: what it counts for, or what the least is sought of.
+Asked = tuple[np.ndarray, np.ndarray]
+#: A chunk's documents to what it asks, for each kind of key.
+Asker = Callable[[pa.Table], list[Asked]]
 
 
 def nullable(kind: pa.DataType) -> pa.DataType:
@@ -42,18 +45,19 @@ def nullable(kind: pa.DataType) -> pa.DataType:
 
 @dataclass
 class Chunks:
-    """The written table of chunks (chunk, size, body), and the number of tasks that its chunks and its questions need."""
+    """The written table of chunks (chunk, size, body), the number of tasks for them, and how many leading bits of a key
+    tell its part."""
 
     table: DataFrame
     tasks: int
-    parts: int
+    bits: int
 
     @staticmethod
     def of(documents: DataFrame, ws: Workspace, doc_id: str, text: str) -> Chunks:
         table = ws.write(packed(documents, doc_id, text), "chunks", compression="none")
         n, size = table.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
         usual = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return Chunks(table, max(1, min(usual, n), -(-n // CHUNKS_PER_TASK)), max(1, int(size * ASKED / PART_BYTES) + 1))
+        return Chunks(table, max(1, min(usual, n), -(-n // CHUNKS_PER_TASK)), int(size * ASKED / PART_BYTES).bit_length())
 
 
 def packed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -89,9 +93,23 @@ def unpacked(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(body).read_all()
 
 
-def bounds(parts: int) -> np.ndarray:
-    """Where each part of the key range begins, but for the first."""
-    return np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)
+def parts_of(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts that sorted keys lie in, and where each begins in them, with the end."""
+    part = keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return part[first].astype(np.int64), np.append(first, len(keys))
+
+
+def narrow(values: np.ndarray) -> bytes:
+    """Integers as the least of them and their distances from it, each in as few bytes as the largest takes."""
+    least = int(values.min()) if len(values) else 0
+    off = (values.astype(np.int64) - np.int64(least)).view(np.uint64)
+    size = next(w for w in (1, 2, 4, 8) if not len(off) or int(off.max()) < 1 << 8 * w)
+    return bytes([size]) + least.to_bytes(8, "little", signed=True) + off.astype(f"<u{size}").tobytes()
+
+
+def wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=9).astype(np.int64) + np.int64(int.from_bytes(raw[1:9], "little", signed=True))
 
 
 def squeezed(keys: np.ndarray) -> bytes:
@@ -110,68 +128,88 @@ def expanded(raw: bytes) -> np.ndarray:
     return np.cumsum(out.view("<u8").ravel(), dtype=np.uint64)
 
 
-def answers(chunks: Chunks, ask: Asker, kinds: int = 1) -> DataFrame:
-    """chunk, kind, part, totals (int64, as bytes) for each question of a chunk; and a row without a chunk for each kind
-    and part, with the number of keys that count for something (types) and their sum (total)."""
-    parts = chunks.parts
+QUESTIONS = "kind int, part bigint, chunk bigint, keys binary, vals binary"
+
+
+def rows_of(chunk: int, asked: list[Asked], bits: int) -> pa.Table:
+    """A chunk's questions as rows: one for each kind and part that holds keys of it."""
+    kind, part, keys, vals = [], [], [], []
+    for k, (own, values) in enumerate(asked):
+        parts, cut = parts_of(own, bits)
+        kind += [k] * len(parts)
+        part += parts.tolist()
+        keys += [squeezed(own[a:b]) for a, b in zip(cut, cut[1:])]
+        vals += [narrow(values[a:b]) for a, b in zip(cut, cut[1:])]
+    return pa.table({"kind": pa.array(kind, pa.int32()), "part": pa.array(part, pa.int64()), "chunk": pa.array([chunk] * len(part), pa.int64()), "keys": pa.array(keys, pa.binary()), "vals": pa.array(vals, pa.binary())})
 
-    def questions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def questions(chunks: Chunks, ask: Asker) -> DataFrame:
+    """What every chunk asks."""
+    bits = chunks.bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, body in zip(b.column("chunk").to_pylist(), b.column("body")):
-                for kind, (keys, counts) in enumerate(ask(unpacked(body.as_py()))):
-                    cut = [0, *np.searchsorted(keys, bounds(parts)), len(keys)]
-                    own = [p for p in range(parts) if cut[p + 1] > cut[p]]
-                    small = counts.astype(np.uint16) if len(counts) and counts.max() < 1 << 16 else counts.astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([kind * parts + p for p in own], pa.int32()),
-                            pa.array([chunk] * len(own), pa.int64()),
-                            pa.array([squeezed(keys[cut[p] : cut[p + 1]]) for p in own], pa.binary()),
-                            pa.array([small[cut[p] : cut[p + 1]].tobytes() for p in own], pa.binary()),
-                        ],
-                        names=["part", "chunk", "keys", "counts"],
-                    )
+                yield from rows_of(chunk, ask(unpacked(body.as_py())), bits).to_batches()
+
+    return chunks.table.mapInArrow(run, QUESTIONS)
+
+
+def answers(chunks: Chunks, asked: DataFrame, kinds: int = 1, least: bool = False) -> DataFrame:
+    """chunk, kind, part, totals (packed) for each question: the sums of the values of each key over all chunks, or the
+    least of them; and a row without a chunk for each kind and part, with the number of keys that count for something
+    (types) and their sum (total)."""
+    bits = chunks.bits
 
     def totals(t: pa.Table) -> pa.Table:
         t = t.sort_by("chunk")
         keys = [expanded(x.as_py()) for x in t["keys"]]
-        counts = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(k) else np.int64) for x, k in zip(t["counts"].to_pylist(), keys)]
-        part, ends = t["part"][0].as_py(), np.cumsum([len(k) for k in keys])
+        ends = np.cumsum([len(k) for k in keys])
         every = np.concatenate(keys)
         order = np.argsort(every)
         every = every[order]
         first = np.concatenate([[True], every[1:] != every[:-1]])
-        sums = np.add.reduceat(np.concatenate(counts).astype(np.int64)[order], np.flatnonzero(first))
+        values = np.concatenate([wide(x.as_py()) for x in t["vals"]])[order]
+        sums = (np.minimum if least else np.add).reduceat(values, np.flatnonzero(first))
         back = np.empty(len(every), np.int64)
         back[order] = sums[np.cumsum(first) - 1]
-        types, total = int((sums > 0).sum()), int(sums.sum())
-        out = [x.tobytes() for x in np.split(back, ends[:-1])]
-        n = len(out)
+        out = [narrow(x) for x in np.split(back, ends[:-1])]
+        n, same = len(out), lambda name: pa.array([t[name][0].as_py()] * (len(out) + 1), t.schema.field(name).type)
         return pa.table(
             {
                 "chunk": pa.array([*t["chunk"].to_pylist(), None], pa.int64()),
-                "kind": pa.array([part // parts] * (n + 1), pa.int32()),
-                "part": pa.array([part % parts] * (n + 1), pa.int32()),
+                "kind": same("kind"),
+                "part": same("part"),
                 "totals": pa.array([*out, None], pa.binary()),
-                "types": pa.array([None] * n + [types], pa.int64()),
-                "total": pa.array([None] * n + [total], pa.int64()),
+                "types": pa.array([None] * n + [int((sums > 0).sum())], pa.int64()),
+                "total": pa.array([None] * n + [0 if least else int(sums.sum())], pa.int64()),
             }
         )
 
-    asked = chunks.table.mapInArrow(questions, "part int, chunk bigint, keys binary, counts binary")
-    return asked.repartitionById(kinds * parts, F.col("part")).groupBy("part").applyInArrow(totals, "chunk bigint, kind int, part int, totals binary, types bigint, total bigint")
+    tasks = min(kinds << bits, MOST_TASKS)
+    dealt = asked.repartitionById(tasks, F.pmod(F.col("kind") * F.lit(1 << bits) + F.col("part"), F.lit(tasks)).cast("int"))
+    return dealt.groupBy("kind", "part").applyInArrow(totals, "chunk bigint, kind int, part bigint, totals binary, types bigint, total bigint")
 
 
-def answered(chunks: Chunks, replies: DataFrame, use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int = 1) -> DataFrame:
-    """use(documents, totals for each kind in the order of the keys) for each chunk."""
-
+def _met(chunks: Chunks, replies: DataFrame, use: Callable[[int, pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by([("kind", "ascending"), ("part", "ascending")])
         kind = np.asarray(right["kind"])
         raw = right["totals"].to_pylist()
-        totals = [np.frombuffer(b"".join(x for x, k in zip(raw, kind) if k == want), np.int64) for want in range(kinds)]
-        return pa.concat_tables(use(unpacked(body.as_py()), totals) for body in left["body"])
+        totals = [np.concatenate([np.zeros(0, np.int64), *(wide(x) for x, k in zip(raw, kind) if k == want)]) for want in range(kinds)]
+        return pa.concat_tables(use(chunk, unpacked(body.as_py()), totals) for chunk, body in zip(left["chunk"].to_pylist(), left["body"]))
 
     own = replies.filter(F.col("chunk").isNotNull()).select("chunk", "kind", "part", "totals").repartition(chunks.tasks, "chunk")
     bodies = chunks.table.select("chunk", "body").repartition(chunks.tasks, "chunk")
     return bodies.groupBy("chunk").cogroup(own.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def answered(chunks: Chunks, replies: DataFrame, use: Callable[[pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int = 1) -> DataFrame:
+    """use(documents, totals for each kind in the order of the keys) for each chunk."""
+    return _met(chunks, replies, lambda _, docs, totals: use(docs, totals), schema, kinds)
+
+
+def asked_on(chunks: Chunks, replies: DataFrame, ask: Callable[[pa.Table, list[np.ndarray]], list[Asked]], kinds: int = 1) -> DataFrame:
+    """What every chunk asks next, from the answers so far."""
+    bits = chunks.bits
+    return _met(chunks, replies, lambda chunk, docs, totals: rows_of(chunk, ask(docs, totals), bits), QUESTIONS, kinds)

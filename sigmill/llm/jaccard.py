@@ -173,7 +173,7 @@ def in_blocks(documents: DataFrame, ws: Workspace, doc_id: str, text: str, width
     how many nodes there are at most."""
     kind = documents.schema[doc_id].dataType.simpleString()
     packed = ck.Chunks.of(documents, ws, doc_id, text)
-    replies = ws.write(ck.answers(packed, asker(width)), "totals")
+    replies = ws.write(ck.answers(packed, ck.questions(packed, asker(width))), "totals")
     sets = ws.write(ck.answered(packed, replies, user(width, percent), f"doc_id {kind}, {SCHEMA}"), "sets")
     ws.drop("chunks", "totals")
 

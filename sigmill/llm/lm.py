@@ -35,6 +35,8 @@ FOLDS, HELD_OUT = 5, 1
 BUCKETS = 40
 GRID = 4.0  # cells for each factor of e
 ROUNDS = 40
+#: About as many cells as occur; only the number of files follows from it. The grid bounds them: buckets x unigram x bigram steps.
+CELL_ROWS = 40_000
 END = tx.mix(np.array([0xE7D], np.uint64))[0]
 START = tx.mix(np.array([0x57A], np.uint64))[0]
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
@@ -157,11 +159,11 @@ def score(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     """doc_id and SCHEMA for each document row."""
     kind = documents.schema[doc_id].dataType.simpleString()
     packed = ck.Chunks.of(documents, ws, doc_id, text)
-    replies = ws.write(ck.answers(packed, ask, 2), "totals")
+    replies = ws.write(ck.answers(packed, ck.questions(packed, ask), 2), "totals")
     sums = {r["kind"]: r for r in replies.filter("chunk IS NULL").groupBy("kind").agg(F.sum("types").alias("types"), F.sum("total").alias("total")).collect()}
     model = Model(sums[0]["total"], sums[0]["types"], np.zeros((BUCKETS, 3))) if 0 in sums else Model(0, 0, np.zeros((BUCKETS, 3)))
     cells = ck.answered(packed, replies, deleted(model), "key bigint, n bigint", 2).groupBy("key").agg(F.sum("n").alias("n"))
-    cells = ws.write(cells, "cells", BUCKETS * 1000)  # as many rows as the grid has cells at most; writing lets go of the shuffle files
+    cells = ws.write(cells, "cells", CELL_ROWS)  # writing lets go of the shuffle files
     model.weights = learn(cells.collect(), model)
     out = ws.write(ck.answered(packed, replies, scorer(model), f"doc_id {kind}, {SCHEMA}", 2), "scores")
     ws.drop("chunks", "totals", "cells")

@@ -359,7 +359,8 @@ def test_components(spark):
     assert got == label
 
 
-def test_counts_come_back_in_the_order_of_the_question(spark, docs):
+def test_counts_come_back_in_the_order_of_the_question(spark, docs, monkeypatch):
+    monkeypatch.setattr(chunks, "MOST_TASKS", 6)
     def ask(table):
         w = text.words(table["text"])
         return [np.unique(w.hashes()[w.codes], return_counts=True)]
@@ -372,9 +373,27 @@ def test_counts_come_back_in_the_order_of_the_question(spark, docs):
 
     ws = Workspace(spark, "t")
     packed = chunks.Chunks.of(docs, ws, "doc_id", "text")
-    packed.parts = 5
-    rows = chunks.answered(packed, chunks.answers(packed, ask), use, "word string, n bigint").distinct().collect()
-    assert {r.word: r.n for r in rows} == collections.Counter(w for _, t in ROWS for w in WORD.findall(t or ""))
+    for bits in (0, 3, 40):  # in 2**40 parts a key is a question of its own, and no chunk looks at parts without keys
+        packed.bits = bits
+        asked = chunks.questions(packed, ask)
+        rows = chunks.answered(packed, chunks.answers(packed, asked), use, "word string, n bigint").distinct().collect()
+        assert {r.word: r.n for r in rows} == collections.Counter(w for _, t in ROWS for w in WORD.findall(t or ""))
+        keys = sum(len(chunks.expanded(r.keys)) for r in asked.collect())
+        assert asked.count() <= keys
+    assert asked.select("part").distinct().count() == len({w for _, t in ROWS for w in WORD.findall(t or "")})
+
+
+def test_narrow_integers_come_back():
+    for values in ([], [0], [5, 5], [-3, 260], [1, 1 << 40], [-(1 << 63), (1 << 63) - 1]):
+        assert chunks.wide(chunks.narrow(np.array(values, np.int64))).tolist() == values
+
+
+def test_work_of_a_chunk_follows_its_keys():
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 64, 3000, np.uint64))
+    for bits in (0, 1, 12, 30, 60):
+        part, cut = chunks.parts_of(keys, bits)
+        assert len(part) <= len(keys) and cut[-1] == len(keys)
+        assert [int(k) >> (64 - bits) for k in keys] == np.repeat(part, np.diff(cut)).tolist()
 
 
 # ---- 5, 7 ----
