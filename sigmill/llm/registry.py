@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sigmill.llm import decontaminate, html, jaccard, languages, licenses, lm, packing, quality, substrings, tokens, urls
+from sigmill.llm import decontaminate, html, jaccard, languages, lexical, licenses, lm, negatives, packing, quality, substrings, tokens, urls
 
 
 def queries() -> dict:
@@ -17,9 +17,11 @@ def queries() -> dict:
         "op8_urls": urls.op8_urls,
         "op9_licenses": licenses.op9_licenses,
         "op10_language": languages.op10_language,
+        "op11_negatives": negatives.op11_negatives,
+        "op12_lexical": lexical.op12_lexical,
         "op13_substrings": substrings.op13_substrings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_jaccard": jaccard.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL, "op13_substrings": substrings.ORACLE_SQL}
+    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_jaccard": jaccard.ORACLE_SQL, "op6_quality": quality.ORACLE_SQL, "op11_negatives": negatives.ORACLE_SQL, "op12_lexical": lexical.ORACLE_SQL, "op13_substrings": substrings.ORACLE_SQL}
