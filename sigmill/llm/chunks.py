@@ -187,8 +187,9 @@ def answers(chunks: Chunks, asked: DataFrame, kinds: int = 1, least: bool = Fals
         )
 
     tasks = min(kinds << bits, MOST_TASKS)
-    dealt = asked.repartitionById(tasks, F.pmod(F.col("kind") * F.lit(1 << bits) + F.col("part"), F.lit(tasks)).cast("int"))
-    return dealt.groupBy("kind", "part").applyInArrow(totals, "chunk bigint, kind int, part bigint, totals binary, types bigint, total bigint")
+    dealt = asked.withColumn("slot", F.pmod(F.col("kind") * F.lit(1 << bits) + F.col("part"), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("slot"))
+    # slot is a key too, since then the rows need no second exchange
+    return dealt.groupBy("slot", "kind", "part").applyInArrow(totals, "chunk bigint, kind int, part bigint, totals binary, types bigint, total bigint")
 
 
 def _met(chunks: Chunks, replies: DataFrame, use: Callable[[int, pa.Table, list[np.ndarray]], pa.Table], schema: str, kinds: int) -> DataFrame:
