@@ -41,10 +41,11 @@ def weighted_vote(df: DataFrame, weights: DataFrame, row: list[str], positive, r
 
 
 def champion(train: DataFrame, positive, predictor: str = "predictor", label: str = "label", truth: str = "truth") -> DataFrame:
-    """The predictor with the best training F-measure (the first by name of equals)."""
+    """The predictor with the best training F-measure (the first by name of equals; one that neither finds nor
+    misses a positive has none, and comes last)."""
     p, t = F.col(label) == positive, F.col(truth) == positive
     n = lambda c: F.sum(c.cast("double"))
-    f = train.groupBy(predictor).agg((2 * n(p & t) / (n(p) + n(t))).alias("f"))
+    f = train.groupBy(predictor).agg(F.try_divide(2 * n(p & t), n(p) + n(t)).alias("f"))
     return f.orderBy(F.desc_nulls_last("f"), predictor).limit(1)
 
 

@@ -19,7 +19,8 @@ def confusion(df: DataFrame, groups: list[str], truth: str, predicted: str, posi
 
 
 def from_counts(counts: DataFrame) -> DataFrame:
-    """All metrics of TP, TN, FP and FN, with the guards for empty classes."""
+    """All metrics of TP, TN, FP and FN, with the guards for empty classes: a rate without rows is 0, and so are the correlation
+    (Matthews) with an empty margin and Kappa where chance explains all."""
     tp, tn, fp, fn = (F.col(c).cast("double") for c in ("TP", "TN", "FP", "FN"))
     p, n = tp + fn, tn + fp
     one = F.lit(1.0)
@@ -28,14 +29,14 @@ def from_counts(counts: DataFrame) -> DataFrame:
     f = lambda a, b: safe_ratio(2 * a * b, a + b)
     total = p + n
     den = (tp + fp) * p * n * (tn + fn)
-    chance = (p * (tp + fp) + n * (tn + fn)) / total
+    chance = F.coalesce(F.try_divide(p * (tp + fp) + n * (tn + fn), total), F.lit(0.0))
     kappa = F.when(total == chance, 0.0).otherwise((tp + tn - chance) / (total - chance))
     out = {
         "True_positive_rate": tpr, "True_negative_rate": tnr, "False_positive_rate": one - tnr, "False_negative_rate": one - tpr,
         "IR_precision": precision, "Non_IR_precision": negative, "F_measure": f(precision, tpr), "Non_IR_F_measure": f(negative, tnr),
         "Percent_correct": safe_ratio(100 * (tp + tn), total), "Percent_incorrect": F.when(total == 0, 100.0).otherwise(100 - 100 * (tp + tn) / total),
         "Balanced_accuracy": (tpr + tnr) / 2, "Weighted_accuracy": 0.7 * tpr + 0.3 * tnr, "ROC_measure": F.sqrt((tpr * tpr + tnr * tnr) / 2), "Gmean": F.sqrt(F.abs(tpr * tnr)),
-        "Matthews": F.when(den <= 0, 1.0).otherwise((tp * tn - fp * fn) / F.sqrt(den)), "Kappa": kappa,
+        "Matthews": F.when(den <= 0, 0.0).otherwise((tp * tn - fp * fn) / F.sqrt(den)), "Kappa": kappa,
     }
     return counts.withColumns(out)
 
@@ -124,15 +125,16 @@ def multiclass(df: DataFrame, groups: list[str], truth: str, predicted: str) ->
     )
     n2 = F.col("_n") * F.col("_n")
     den = F.sqrt((n2 - F.col("_tt")).cast("double")) * F.sqrt((n2 - F.col("_pp")).cast("double"))
-    return sums.select(*groups, "classes", (F.col("_h") / F.col("_n")).alias("Accuracy"), "Balanced_accuracy", "macro_F", F.when(den == 0, 1.0).otherwise((F.col("_n") * F.col("_h") - F.col("_tp")) / den).alias("Matthews"))
+    return sums.select(*groups, "classes", F.try_divide("_h", "_n").alias("Accuracy"), "Balanced_accuracy", "macro_F", F.when(den == 0, 0.0).otherwise((F.col("_n") * F.col("_h") - F.col("_tp")) / den).alias("Matthews"))
 
 
 def regression(df: DataFrame, groups: list[str], truth: str, predicted: str) -> DataFrame:
+    """Errors of each group. Where the truth doesn't vary, what is relative to its spread (RSE, RAE, correlation) is null."""
     d = F.col(predicted) - F.col(truth)
     every = df.groupBy(*groups).agg(F.avg(truth).alias("_m"))
     j = df.join(every, groups) if groups else df.crossJoin(F.broadcast(every))
     return j.groupBy(*groups).agg(
-        F.avg(d * d).alias("MSE"), F.sqrt(F.avg(d * d)).alias("RMSE"), F.avg(F.abs(d)).alias("MAE"), (F.avg(d * d) / F.var_pop(truth)).alias("RSE"), (F.avg(F.abs(d)) / F.avg(F.abs(F.col(truth) - F.col("_m")))).alias("RAE"), correlation(truth, predicted).alias("correlation")
+        F.avg(d * d).alias("MSE"), F.sqrt(F.avg(d * d)).alias("RMSE"), F.avg(F.abs(d)).alias("MAE"), F.try_divide(F.avg(d * d), F.var_pop(truth)).alias("RSE"), F.try_divide(F.avg(F.abs(d)), F.avg(F.abs(F.col(truth) - F.col("_m")))).alias("RAE"), correlation(truth, predicted).alias("correlation")
     )
 
 

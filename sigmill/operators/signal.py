@@ -181,7 +181,9 @@ def decimate(df: DataFrame, value: str, key: list[str], order: list[str], factor
 
 
 def window_function(df: DataFrame, value: str, index: str, size: int, kind: str = "hanning") -> DataFrame:
-    """Multiplies by a window of size samples."""
+    """Multiplies by a window of size samples; one of a single sample is 1."""
+    if size == 1:
+        return df
     turn = 2 * math.pi * F.col(index) / (size - 1)
     shape = {"hanning": 0.5 - 0.5 * F.cos(turn), "hamming": 0.54 - 0.46 * F.cos(turn), "blackman": 0.42 - 0.5 * F.cos(turn) + 0.08 * F.cos(2 * turn)}[kind]
     return df.withColumn(value, F.col(value) * shape)

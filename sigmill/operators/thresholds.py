@@ -11,7 +11,7 @@ from sigmill.operators.segments import running
 METRICS = {
     "Balanced_accuracy": lambda tp, fp, tn, fn: (F.try_divide(tp, tp + fn) + F.try_divide(tn, tn + fp)) / 2,
     "F_measure": lambda tp, fp, tn, fn: F.try_divide(2 * tp, 2 * tp + fp + fn),
-    "Percent_correct": lambda tp, fp, tn, fn: (tp + tn) / (tp + fp + tn + fn) * 100,
+    "Percent_correct": lambda tp, fp, tn, fn: F.try_divide(tp + tn, tp + fp + tn + fn) * 100,
     "Matthews": lambda tp, fp, tn, fn: F.coalesce((tp * tn - fp * fn) / F.nullif(F.sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), F.lit(0.0)), F.lit(0.0)),
 }
 

@@ -31,7 +31,7 @@ _METRICS = {
     "Percent_correct": "100 * (tp + tn) / (tp + tn + fp + fn)", "Percent_incorrect": "100 * (fp + fn) / (tp + tn + fp + fn)",
     "Balanced_accuracy": "(tp / (tp + fn) + tn / (tn + fp)) / 2", "Weighted_accuracy": "0.7 * tp / (tp + fn) + 0.3 * tn / (tn + fp)",
     "ROC_measure": "sqrt((power(tp / (tp + fn), 2) + power(tn / (tn + fp), 2)) / 2)", "Gmean": "sqrt(tp / (tp + fn) * tn / (tn + fp))",
-    "Matthews": "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) <= 0 THEN 1 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END",
+    "Matthews": "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) <= 0 THEN 0 ELSE (tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)) END",
     "Kappa": "(tp + tn - ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (tp + tn + fp + fn)) / ((tp + tn + fp + fn) - ((tp + fn) * (tp + fp) + (tn + fp) * (tn + fn)) / (tp + tn + fp + fn))",
 }
 _METRIC_SQL = ", ".join(f'round(CAST({v} AS DOUBLE), 6) + 0.0 AS "{k}"' for k, v in _METRICS.items())

@@ -140,7 +140,7 @@ def test_kernels():
 def test_confusion_guards(spark):
     rows = spark.createDataFrame([("x", 1, 0)], "g string, t long, p long")
     r = metrics.from_counts(metrics.confusion(rows, ["g"], "t", "p", 1)).first()
-    assert (r.True_positive_rate, r.True_negative_rate, r.False_positive_rate, r.Matthews, r.F_measure, r.Percent_incorrect) == (0, 0, 1, 1, 0, 100)
+    assert (r.True_positive_rate, r.True_negative_rate, r.False_positive_rate, r.Matthews, r.F_measure, r.Percent_incorrect) == (0, 0, 1, 0, 0, 100)
     assert metrics.auc(rows.withColumn("s", F.lit(0.5)), ["g"], "t", "s", 1).first().AUC == 1
 
 
