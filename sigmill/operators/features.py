@@ -71,3 +71,26 @@ def bands(df: DataFrame, key: list[str], index: str, value: str, size: int, limi
     """Power of bands of bins [low, high), in decibels."""
     power = spectrum(df, key, index, value, size)
     return power.select(*key, *((10 * F.log10(F.greatest(total([F.col(f"p{b}") for b in range(*lim)]), F.lit(1e-12)))).alias(name) for name, lim in limits.items()))
+
+
+def stft(df: DataFrame, value: str, key: list[str], index: str, frame: int, hop: int, fs: float = 1.0, band: tuple[float, float] | None = None) -> DataFrame:
+    """Power in decibels of Hann frames: key, frame, bin, frequency, time (of the frame's middle), power.
+
+    A frame is ``frame`` (even) consecutive samples of a series, the next one begins ``hop`` later; incomplete ones are left
+    out. A sample goes to the frames it lies in (frame / hop of them), and each (frame, bin) is two sums of products, so
+    neither frames nor series are put together. Powers are one-sided densities; null where there is none."""
+    if frame % 2 or frame < 2 or not 0 < hop <= frame:
+        raise ValueError("a frame is an even number of samples, and hops are at most as long")
+    low, high = band or (0.0, fs / 2)
+    bins = [b for b in range(frame // 2 + 1) if low <= b * fs / frame <= high]
+    t = F.col(index)
+    first = F.greatest(F.ceil((t - frame + 1) / hop), F.lit(0).cast("long"))
+    at = df.withColumn("frame", F.explode(F.sequence(first, F.floor(t / hop)))).withColumn("_k", t - F.col("frame") * hop).filter(F.col("_k") < frame)
+    x = F.col(value) * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("_k") / (frame - 1)))
+    turn = lambda b: 2 * math.pi * b * F.col("_k") / frame
+    sums = at.groupBy(*key, "frame").agg(F.count(value).alias("_n"), *(F.sum(x * f(turn(b))).alias(f"_{c}{b}") for b in bins for c, f in (("c", F.cos), ("s", F.sin))))
+    weight = sum((0.5 - 0.5 * math.cos(2 * math.pi * k / (frame - 1))) ** 2 for k in range(frame)) * fs
+    power = lambda b: (F.col(f"_c{b}") ** 2 + F.col(f"_s{b}") ** 2) * ((1.0 if b in (0, frame // 2) else 2.0) / weight)
+    each = F.explode(F.array(*(F.struct(F.lit(b).alias("bin"), F.lit(b * fs / frame).alias("frequency"), power(b).alias("p")) for b in bins)))
+    rows = sums.filter(F.col("_n") == frame).select(*key, "frame", ((F.col("frame") * hop + frame / 2) / fs).alias("time"), each.alias("_b"))
+    return rows.select(*key, "frame", "time", "_b.bin", "_b.frequency", F.when(F.col("_b.p") > 0, 10 * F.log10("_b.p")).alias("power"))

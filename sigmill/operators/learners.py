@@ -118,6 +118,45 @@ def qda(m: Moments, positive: str, negative: str, ridge: float = 1e-3) -> Quadra
     return Quadratic((na - pa) / 2, pb - nb, (nc - pc) / 2)
 
 
+def nearest_mean(m: Moments, positive: str, negative: str) -> Linear:
+    """Which of two classes' means is nearer."""
+    a, b = m.mean(positive), m.mean(negative)
+    return Linear(a - b, float(b @ b - a @ a) / 2)
+
+
+def one_against_one(m: Moments, fit=lda, classes: list[str] | None = None) -> dict[tuple[str, str], Linear]:
+    """A two-class machine for each pair of classes, all from the sums of one pass: fit(moments, first, second)."""
+    classes = m.classes if classes is None else classes
+    return {(a, b): fit(m, a, b) for k, a in enumerate(classes) for b in classes[k + 1 :]}
+
+
+def one_against_rest(m: Moments, fit=lda, classes: list[str] | None = None) -> dict[str, Linear]:
+    """A machine for each class against all others together."""
+    out = {}
+    for c in m.classes if classes is None else classes:
+        rest = [x for x in m.classes if x != c]
+        two = Moments({c: m.n[c], "rest": sum(m.n[x] for x in rest)}, {c: m.s[c], "rest": sum(m.s[x] for x in rest)}, {c: m.q[c], "rest": sum(m.q[x] for x in rest)})
+        out[c] = fit(two, c, "rest")
+    return out
+
+
+def vote_of_pairs(df: DataFrame, models: dict[tuple[str, str], Linear], vector: str, label: str = "predicted", votes: str = "votes") -> DataFrame:
+    """The class with most pairs won, and how many; ties go to the larger sum of scores (of a pair to its first class, less
+    from its second), then to the smaller class. The scores of all pairs are one array."""
+    classes = sorted({c for pair in models for c in pair})
+    scores = F.array(*(m.score(vector) for m in models.values()))
+    pairs = list(models)
+
+    def standing(c: str, s: Column) -> Column:
+        won = sum(((s[k] > 0) if a == c else (s[k] <= 0)).cast("int") for k, (a, b) in enumerate(pairs) if c in (a, b))
+        total = sum(s[k] if a == c else -s[k] for k, (a, b) in enumerate(pairs) if c in (a, b))
+        return F.struct(won.alias("votes"), total.alias("total"), F.lit(-classes.index(c)).alias("order"), F.lit(c).alias("class"))
+
+    scored = df.withColumn("_s", scores)
+    best = F.array_max(F.array(*(standing(c, F.col("_s")) for c in classes)))
+    return scored.withColumn("_b", best).withColumns({label: F.col("_b.class"), votes: F.col("_b.votes")}).drop("_s", "_b")
+
+
 def ridge_classifier(m: Moments, positive: str, negative: str, tau: float = 1.0) -> Linear:
     """Least squares on +-1 with an unpenalised offset."""
     n = m.n[positive] + m.n[negative]
@@ -180,38 +219,12 @@ def kept(df: DataFrame) -> Iterator[None]:
 def svm(df: DataFrame, label: str, vector: str, positive: str, complexity: float = 1.0, rounds: int = 60) -> Linear:
     """Soft-margin linear machine with squared hinge loss by Newton steps on distributed sums.
 
-    Each round is one pass: every task adds up the gradient and the Hessian of its rows with margin below 1, so no
-    training set is ever in one place. The offset is part of the objective. The executors keep the vectors meanwhile.
+    The machine of ``margins.relative_margin`` without an outer margin, with the offset as part of the objective.
     """
-    rows = df.select(F.when(F.col(label).cast("string") == positive, 1.0).otherwise(-1.0).alias("y"), F.col(vector).cast("array<double>").alias("x"))
-    with kept(rows):
-        return _newton(rows, complexity, rounds)
-
+    from sigmill.operators import margins
 
-def _newton(rows: DataFrame, complexity: float, rounds: int) -> Linear:
-    first = rows.first()
-    d = len(first["x"]) + 1
-    w = np.zeros(d)
-    for _ in range(rounds):
-
-        def add(batches, w=w):
-            g, h = np.zeros(d), np.zeros((d, d))
-            for b in batches:
-                x = np.hstack([np.array(b["x"].tolist(), float).reshape(len(b), -1), np.ones((len(b), 1))])
-                gap = 1 - b["y"].to_numpy() * (x @ w)
-                own = x[gap > 0]
-                g -= own.T @ (gap[gap > 0] * b["y"].to_numpy()[gap > 0])
-                h += own.T @ own
-            yield pd.DataFrame({"row": np.arange(d + 1), "v": list(np.vstack([g, h]))})
-
-        sums = rows.mapInPandas(add, "row long, v array<double>").select("row", F.posexplode("v").alias("col", "v")).groupBy("row", "col").agg(F.sum("v").alias("v")).toPandas()
-        m = sums.pivot(index="row", columns="col", values="v").to_numpy()
-        grad, hess = w + 2 * complexity * m[0], np.eye(d) + 2 * complexity * m[1:]
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if abs(step).max() < 1e-8:
-            break
-    return Linear(w[:-1], float(w[-1]))
+    rows = df.select(F.when(F.col(label).cast("string") == positive, 1.0).otherwise(-1.0).alias("y"), F.col(vector).cast("array<double>").alias("x"))
+    return margins.relative_margin(rows, "y", "x", complexity, float("inf"), rounds=rounds, bias_penalty=1.0)
 
 
 def ica(df: DataFrame, vector: str, k: int, rounds: int = 40, seed: int = 0) -> np.ndarray:

@@ -7,9 +7,11 @@ every regularisation by a small solve, so a grid costs one pass over the data an
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.operators import learners as L
@@ -50,6 +52,41 @@ def grid(df: DataFrame, fold: str, label: str, vector: str, positive: str, negat
     return out.crossJoin(F.broadcast(best)).withColumn("best", F.col("tau") == -F.col("_t")).drop("_t")
 
 
+@dataclass
+class Found:
+    """A search's table (parameters, mean, std, objective, best), the best parameters and the model refitted with them."""
+
+    table: DataFrame
+    best: dict
+    model: object
+
+
+def parameter_search(df: DataFrame, fold: str, label: str, vector: str, positive: str, negative: str, fit: Callable[..., L.Linear], grid: dict[str, list], metric: str = "Balanced_accuracy", std_weight: float = 0.0, inverse: bool = False, each: list[str] = ()) -> Found:
+    """Exhaustive search over any number of parameters; fit(moments, positive, negative, **parameters).
+
+    The objective of a setting is the metric's mean over folds less std_weight times its deviation (of the negated metric,
+    if inverse: for errors); the first in the grid's order of equal ones is best. All settings of all folds are fitted from
+    one pass of sums, and scored together in another. each: parameters for which the best of every value is marked, as a
+    search of its own; the best of all is refitted on all rows.
+    """
+    names = list(grid)
+    settings = list(product(*grid.values()))
+    parts = fold_moments(df, fold, label, vector)
+    models = [(k, i, fit(without(parts, k), positive, negative, **dict(zip(names, v)))) for k in sorted(parts) for i, v in enumerate(settings)]
+    by_fold = [F.when(F.col("_f") == k, F.array(*(m.score(vector) for f, _, m in models if f == k))) for k in sorted(parts)]
+    scored = df.withColumn("_f", F.col(fold).cast("string")).select("_f", F.col(label).cast("string").alias("truth"), F.posexplode(F.coalesce(*by_fold)).alias("setting", "score"))
+    decided = scored.withColumn("predicted", F.when(F.col("score") > 0, positive).otherwise(negative))
+    per = M.from_counts(M.confusion(decided, ["setting", "_f"], "truth", "predicted", positive))
+    stats = M.average(per, ["setting"], [metric]).select("setting", F.col(f"{metric}_mean").alias("mean"), F.col(f"{metric}_std").alias("std"))
+    stats = stats.withColumn("objective", (-1.0 if inverse else 1.0) * F.col("mean") - std_weight * F.col("std"))
+    of = df.sparkSession.createDataFrame([(i, *v) for i, v in enumerate(settings)], ["setting", *names]).withColumn("setting", F.col("setting").cast("int"))
+    w = Window.partitionBy(*each).orderBy(F.desc("objective"), "setting")  # a row for each setting
+    table = of.join(stats, "setting").withColumn("best", F.row_number().over(w) == 1)
+    top = table.orderBy(F.desc("objective"), "setting").first()
+    best = dict(zip(names, settings[top["setting"]]))
+    return Found(table.drop("setting"), best, fit(without(parts, ""), positive, negative, **best))
+
+
 def bayesian_lda(m: L.Moments, positive: str, negative: str, rounds: int = 500, stop: float = 1e-4) -> L.Linear:
     """Regression on class targets with precisions of weights (alpha) and noise (beta) by evidence maximisation."""
     n1, n0 = m.n[positive], m.n[negative]
