@@ -45,7 +45,7 @@ POSITIVES, NEGATIVES = 5, 10
 LOW, HIGH = 30, 90
 SCALE = 256
 SAMPLE, MOST_PIVOTS, CELL_ANCHORS = 4096, 256, 64
-TILE_ROWS, TILE_ANCHORS = 16_384, 256
+TILE_ROWS, TILE_ANCHORS = 2048, 256
 STEPS = 5
 MOST_LENGTH = 1 << 55
 NO_ID = np.iinfo(np.int64).max
