@@ -209,6 +209,7 @@ class Weights:
             elif page.evidence[e]:
                 odds[e] = sum(w * self.against.get(x, 0.0) for x, w in page.evidence[e])
                 holder[e] = odds[e] > AGAINST and any(w == 1.0 and self.holds.get(x, -1.0) >= HOLDS for x, w in page.evidence[e])
+        self._innermost(page, holder)
         sure = [False] * n  # in an element strongly against main text
         weak = [AGAINST >= o > CERTAIN for o in odds]
         inside, words = [False] * n, [0] * n
@@ -254,6 +255,23 @@ class Weights:
         return [x > 0 for x in near], inside, any(inside)
 
 
+    @staticmethod
+    def _innermost(page: Page, holder: list[bool]) -> None:
+        """Where most words of a main element are in one article, the article holds the main text, and not what is beside it."""
+        n = len(page.name)
+        words = [0] * n
+        for kind, text, e in page.items:
+            if kind == _TEXT:
+                words[e] += len(text.split())
+        for e in range(n - 1, 0, -1):
+            words[page.parent[e]] += words[e]
+        above = [0] * n  # the innermost main element around an element
+        for e in range(1, n):
+            above[e] = page.parent[e] if page.name[page.parent[e]] == "main" else above[page.parent[e]]
+            if page.name[e] == "article" and holder[e] and 2 * words[e] >= words[above[e]]:
+                holder[above[e]] = False
+
+
 def sequence(page: str, weights: Weights) -> Iterator[tuple[str, str, str]]:
     """(kind, text or name, place): "text" and "tag" of main kind, "out" and "in" where an element against main text
     stands, the latter inside one that holds main text. What is inside elements against it doesn't appear."""

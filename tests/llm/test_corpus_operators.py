@@ -263,6 +263,26 @@ def test_html_wrappers_keep_their_article():
     assert html.main_text(f"<article><header><h1>The title</h1></header><p>{words}</p></article>") == f"The title\n\n{words}"
 
 
+def test_html_keeps_lists_and_short_blocks_of_the_article():
+    """Whatever stands between the tags of an element that holds main text comes out whole."""
+    words = " ".join(f"word{k}" for k in range(20))
+    links = [f"Link {k}" for k in range(12)]
+    items = "".join(f"<li><a href=/{k}>{x}</a></li>" for k, x in enumerate(links))
+    table = "<table><tr><th>Day</th><th>High</th></tr><tr><td>one</td><td>two</td></tr></table>"
+    around = "<body><nav><a>Home</a><a>News</a></nav>{}<aside class=sidebar><a>More</a></aside><footer>Foot</footer></body>"
+    for holder in ("main", "article", "div class=content", "main><article"):
+        ends = "".join(f"</{x.split()[0]}>" for x in reversed(holder.split("><")))
+        for body, want in (
+            (f"<p>{words}</p><h2>See also</h2><ul>{items}</ul>", [words, "See also", *links]),
+            ("<p>Short.</p><ul><li><a>One</a></li><li><a>Two</a></li></ul><p>Tail words of text.</p>", ["Short.", "One", "Two", "Tail words of text."]),
+            (f"<ul>{items}</ul><p>{words}</p>", [*links, words]),
+            (f"<p>Lead.</p>{table}<dl><dt>Term</dt><dd>What it means.</dd></dl><p>{words}</p>{table}", ["Lead.", "Day", "High", "one", "two", "Term", "What it means.", words, "Day", "High", "one", "two"]),
+        ):
+            assert html.main_text(around.format(f"<{holder}>{body}{ends}")) == "\n\n".join(want), (holder, body)
+    beside = f"<main><article><p>{words}</p></article><ul>{items[:150]}</ul></main>"  # a smaller part
+    assert html.main_text(around.format(beside)) == words
+
+
 def test_html_scan_leaves_out_what_no_name_tells():
     """Links without any telling name or class around the text: only the scan takes them away."""
     links = "".join(f"<a href=/{k}>link {k}</a> " for k in range(8))
