@@ -1,18 +1,10 @@
-"""Recordings in the European Data Format: header of fixed-width text, then records of 16-bit samples by channel.
-
-Files are read as binary rows in tasks; a recording of many records is cut into ranges of records by its header, so each
-range is a task of its own. Channels slower than the fastest are repeated by their integer factor. The annotations of
-EDF+ files become markers.
-"""
+"""The header of recordings in the European Data Format: fixed-width text. Samples are read by ``recordings``, a range of
+records as a task: channels slower than the fastest are repeated by their integer factor, and the annotations of EDF+ files
+become markers."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Width of each field of a channel's header, in their order.
 FIELDS = [("label", 16), ("transducer", 80), ("dimension", 8), ("physical_min", 8), ("physical_max", 8), ("digital_min", 8), ("digital_max", 8), ("prefilter", 80), ("samples", 8), ("reserved", 32)]
@@ -30,50 +22,9 @@ def header(raw: bytes) -> dict:
     return out
 
 
-def samples_of(raw: bytes, stream: str) -> pd.DataFrame:
-    """stream, t, channel, value of all records."""
-    h = header(raw)
-    size = np.array(h["samples"])
-    data = np.frombuffer(raw, "<i2", offset=h["bytes"])
-    records = h["records"] if h["records"] > 0 else len(data) // size.sum()
-    data = data[: records * size.sum()].reshape(records, -1)
-    first, real = np.cumsum(size) - size, [k for k, x in enumerate(h["label"]) if x != ANNOTATIONS]
-    rate = max((size[k] for k in real), default=0)
-    parts = []
-    for k in real:
-        low, high, dlow, dhigh = (float(h[x][k]) for x in ("physical_min", "physical_max", "digital_min", "digital_max"))
-        value = (data[:, first[k] : first[k] + size[k]].ravel() - dlow) * ((high - low) / (dhigh - dlow)) + low
-        value = np.repeat(value, rate // size[k])
-        parts.append(pd.DataFrame({"stream": stream, "t": np.arange(len(value)), "channel": h["label"][k], "value": value}))
-    return pd.concat(parts) if parts else pd.DataFrame({"stream": [], "t": [], "channel": [], "value": []})
-
-
-def markers_of(raw: bytes, stream: str) -> pd.DataFrame:
-    """stream, seconds, marker: the texts of the annotation channel with their onsets."""
-    h = header(raw)
-    size = np.array(h["samples"])
-    first, rows = np.cumsum(size) - size, []
-    data = np.frombuffer(raw, "<i2", offset=h["bytes"])
-    data = data[: len(data) // size.sum() * size.sum()].reshape(-1, size.sum())
-    for k in (k for k, x in enumerate(h["label"]) if x == ANNOTATIONS):
-        for record in data[:, first[k] : first[k] + size[k]]:
-            for entry in record.tobytes().split(b"\x00"):
-                onset, *texts = entry.split(b"\x14")
-                rows += [(stream, float(onset.split(b"\x15")[0]), x.decode("utf-8")) for x in texts if x]
-    return pd.DataFrame(rows, columns=["stream", "seconds", "marker"])
-
-
-def _read(spark: SparkSession, path: str, part, schema: str) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.[eE][dD][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for name, content in zip(b["path"], b["content"]):
-                yield part(content, name)
-
-    return raw.mapInPandas(run, schema)
-
-
 def read_edf(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(stream, t, channel, value) and (stream, seconds, marker) of all recordings below a path; a stream is a file."""
-    return _read(spark, path, samples_of, "stream string, t long, channel string, value double"), _read(spark, path, markers_of, "stream string, seconds double, marker string").withColumn("marker", F.trim("marker"))
+    from sigmill.sources import recordings
+
+    samples, markers = recordings.read(spark, path)
+    return samples, markers.select("stream", "seconds", "marker")

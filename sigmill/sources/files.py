@@ -103,3 +103,18 @@ def read_many_results(spark: SparkSession, parts: dict[str, dict]) -> DataFrame:
         own = spark.read.option("header", True).csv(path).withColumns({k: F.lit(v) for k, v in parameters.items()})
         out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
+
+
+def merge_traces(spark: SparkSession, path: str, schema: str, fields: list[str] = (), separator: str = "_") -> DataFrame:
+    """The traces of all splits and runs below a path as one table: the rows of JSON files below ``trace_sp<fold>``, with
+    __run and __fold from ``persistency_run<run>`` and ``trace_sp<fold>`` in their paths, and a parameter for each of fields
+    from the data set's folder above the run's, whose name they make up between separators.
+
+    Traces are many small files; Spark packs them into tasks by size, and the parameters come from each row's path, so no
+    list of files is gone through one by one. Long traces (``long_trace_sp<fold>``) are a table of their own, by schema."""
+    raw = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path)
+    at = F.col("_metadata.file_path")
+    number = lambda pattern: F.try_to_number(F.nullif(F.regexp_extract(at, pattern, 1), F.lit("")), F.lit("999999999")).cast("long")
+    own = raw.withColumns({"__run": number(r"/persistency_run(\d+)/"), "__fold": number(r"/trace_sp(\d+)[^/]*(?:/[^/]*)?$"), "__dataset": F.url_decode(F.regexp_extract(at, r"/([^/]+)/persistency_run\d+/", 1))})
+    parts = F.split("__dataset", separator)
+    return own.filter(F.col("__run").isNotNull() & F.col("__fold").isNotNull()).withColumns({f"__{n}": F.get(parts, k) for k, n in enumerate(fields)})
