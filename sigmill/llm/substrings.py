@@ -182,7 +182,7 @@ def dedup(documents: DataFrame, ws: Workspace, doc_id: str = "doc_id", text: str
     for k, w in enumerate(levels):
         ask = asker(width, levels)
         asked = ck.questions(packed, lambda docs, ask=ask: ask(docs, [])) if known is None else ck.asked_on(packed, known, ask, k)
-        replies = ws.write(ck.answers(packed, asked, k + 1, least=w == width), f"replies-{k}")
+        replies = ws.write(ck.answers(packed, asked, least=w == width), f"replies-{k}")
         known = replies if known is None else known.unionByName(replies)
         answered = k + 1
         if replies.isEmpty():
