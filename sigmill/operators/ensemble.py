@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import spread_hash
 from sigmill.operators.learners import kept
 from sigmill.operators.segments import running
 
@@ -131,3 +132,8 @@ def _platt(df: DataFrame, truth: str, positive, score: str, rounds: int) -> tupl
         step = np.linalg.solve([[g["aa"] + 1e-9, g["ab"]], [g["ab"], g["bb"] + 1e-9]], [g["ga"], g["gb"]])
         a, b = a - float(step[0]), b - float(step[1])
     return a, b
+
+
+def random_labels(df: DataFrame, row_id: str, labels: list, name: str = "predicted") -> DataFrame:
+    """One of the labels, each with the same chance; the row's id fixes which."""
+    return df.withColumn(name, F.array(*map(F.lit, labels))[F.floor(spread_hash(row_id) * len(labels) / float(1 << 32)).cast("int")])

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigmill.functions.expr import correlation, total
 
@@ -94,3 +98,42 @@ def stft(df: DataFrame, value: str, key: list[str], index: str, frame: int, hop:
     each = F.explode(F.array(*(F.struct(F.lit(b).alias("bin"), F.lit(b * fs / frame).alias("frequency"), power(b).alias("p")) for b in bins)))
     rows = sums.filter(F.col("_n") == frame).select(*key, "frame", ((F.col("frame") * hop + frame / 2) / fs).alias("time"), each.alias("_b"))
     return rows.select(*key, "frame", "time", "_b.bin", "_b.frequency", F.when(F.col("_b.p") > 0, 10 * F.log10("_b.p")).alias("power"))
+
+
+def pearson_shifts(df: DataFrame, record: list[str], index: str, channels: list[str], points: int, segments: int, shift: int = 0) -> DataFrame:
+    """Correlations of channel pairs between segments of windows of points samples (wide channels): the segments overlap by
+    half, and that of the first channel (first) meets those of the second up to shift segments later (second). Unequal
+    segments are compared as far as the shorter one goes. record, first, second, pair, r."""
+    if not 0 <= shift < segments:
+        raise ValueError("the shift is smaller than the number of segments")
+    border = [k * points // (segments + 1) for k in range(segments + 2)]
+    ranges = [(k, border[k], border[k + 2]) for k in range(segments)]
+    parts = F.filter(F.array(*(F.struct(F.lit(k).alias("s"), (F.col(index) - a).alias("k"), ((F.col(index) >= a) & (F.col(index) < b)).alias("in")) for k, a, b in ranges)), lambda x: x["in"])
+    each = df.select(*record, *channels, F.explode(parts).alias("_p")).select(*record, *channels, "_p.s", "_p.k")
+    a = each.select(*record, "k", F.col("s").alias("first"), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(channels)))
+    b = each.select(*record, "k", F.col("s").alias("second"), *(F.col(c).alias(f"_b{i}") for i, c in enumerate(channels)))
+    pairs = [(i, j) for i in range(len(channels)) for j in range(i + 1, len(channels))]
+    names = {f"{channels[i]}:{channels[j]}": correlation(f"_a{i}", f"_b{j}") for i, j in pairs}
+    out = a.join(b, [*record, "k"]).filter(F.col("second") <= F.col("first") + shift).groupBy(*record, "first", "second").agg(*(r.alias(n) for n, r in names.items()))
+    return out.unpivot([*record, "first", "second"], list(names), "pair", "r")
+
+
+def autoregressive(df: DataFrame, value: str, key: list[str], index: str, order: int) -> DataFrame:
+    """key, coefficients: of the order samples before in the least-squares forecast (with a constant) of each window's
+    samples; null where the window is too short or too regular to tell. Each window is sums of products of its lags."""
+    w = Window.partitionBy(*key).orderBy(index)
+    lagged = df.select(*key, *(F.lag(F.col(value).cast("double"), k).over(w).alias(f"_{k}") for k in range(order + 1))).filter(F.col(f"_{order}").isNotNull())
+    n = order + 1
+    sums = lagged.groupBy(*key).agg(F.count("*").alias("_n"), F.array(*(F.sum(f"_{i}") for i in range(n))).alias("_s"), F.array(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i in range(n) for j in range(n))).alias("_q"))
+    schema = T.StructType([*(df.schema[k] for k in key), T.StructField("coefficients", T.ArrayType(T.DoubleType()))])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = lambda c: np.asarray(b.column(c).flatten(), float)
+            count, s, q = np.asarray(b.column("_n"), float), flat("_s").reshape(-1, n), flat("_q").reshape(-1, n, n)
+            c = q - s[:, :, None] * s[:, None, :] / count[:, None, None]
+            scale = np.maximum(np.abs(q).max((1, 2)), 1e-300)
+            out = [np.linalg.solve(m[1:, 1:], m[1:, 0]).tolist() if k > order and np.linalg.eigvalsh(m[1:, 1:] / z).min() > 1e-12 else None for m, k, z in zip(c, count, scale)]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in key), pa.array(out, pa.list_(pa.float64()))], names=[*key, "coefficients"])
+
+    return sums.mapInArrow(solve, schema)

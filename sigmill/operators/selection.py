@@ -137,3 +137,15 @@ def relief(vectors: DataFrame, row_id: str, label: str, features: str, queries:
         for f, s in _relief_sums(vectors, row_id, label, features, asked, k).items():
             total[f] = total.get(f, 0.0) + s
     return vectors.sparkSession.createDataFrame([(int(f), s / n) for f, s in sorted(total.items())], "f long, weight double")
+
+
+def random_features(features: int, keep: int, seed: int = 0) -> list[int]:
+    """Numbers of keep of the features, which a hash of number and seed picks."""
+    return sorted(sorted(range(features), key=lambda k: (((k + seed * features) * 2654435761) % (1 << 32), k))[:keep])
+
+
+def take_features(df: DataFrame, vector: str, chosen: list[int], index: str = "f", value: str = "x") -> DataFrame:
+    """The chosen entries of each vector in long form, in place of the vector; entries beyond its end are null."""
+    rest = [c for c in df.columns if c != vector]
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias(index), F.get(vector, F.lit(k)).cast("double").alias(value)) for k in chosen)))
+    return df.select(*rest, each.alias("_s")).select(*rest, "_s.*")

@@ -279,3 +279,27 @@ def generate(df: DataFrame, kind: str, t: str | Column, channel: str | Column, *
         "channel": channel.cast("double"),
         "time": t.cast("double"),
     }[kind]
+
+
+def interpolate(df: DataFrame, value: str, key: list[str], index: str, factor: int, length: int = LENGTH) -> DataFrame:
+    """factor - 1 samples on the line between each two: key, index (anew), value."""
+    if factor == 1:
+        return df.select(*key, index, value)
+
+    def run(df: DataFrame, key: list[str]) -> DataFrame:
+        steps = F.when(F.col("_after").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(factor - 1)))
+        return df.withColumn("_after", F.lead(value).over(Window.partitionBy(*key).orderBy(index))).withColumn("_k", F.explode(steps))
+
+    out = in_segments(df.select(*key, index, value), key, index, run, after=1, length=length)
+    between = F.when(F.col("_k") == 0, F.col(value)).otherwise(F.col(value) + (F.col("_after") - F.col(value)) * F.col("_k") / factor)
+    return out.select(*key, (F.col(index) * factor + F.col("_k")).alias(index), between.alias(value))
+
+
+def subsample(df: DataFrame, value: str, key: list[str], index: str, source: float, target: float, taps: int = 33) -> DataFrame:
+    """Another sampling rate by way of the common multiple of both (in hundredths of a Hertz): samples are added on lines
+    between neighbours, a low pass at 0.4 of the target rate (as a share of the source's) follows, then every so many stay."""
+    a, b = round(source * 100), round(target * 100)
+    common = math.gcd(a, b)
+    up, down = b // common, a // common
+    more = interpolate(df, value, key, index, up)
+    return downsample(fir(more, value, key, [index], fir_lowpass(taps, min(1.0, 0.8 * target / source))), index, down)

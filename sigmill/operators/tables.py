@@ -132,3 +132,38 @@ def paired_statistics(df: DataFrame, parameter: str, related: list[str], metric:
     )
     t = F.when(F.col("sd_diff") > 0, F.col("mean_diff") / (F.col("sd_diff") / F.sqrt(F.col("k").cast("double"))))
     return out.crossJoin(F.broadcast(n)).select("a", "b", "k", "mean_diff", "sd_diff", t.alias("t"), (F.col("k") - 1).alias("df"), "correlation", "mean_a", "mean_b", (alpha / F.col("n_values")).alias("bonferroni"), (1 - F.pow(F.lit(1 - alpha), 1 / F.col("n_values"))).alias("sidak"))
+
+
+def project(df: DataFrame, parameter: str, values: list) -> DataFrame:
+    """Rows where a parameter has one of the values. With a single value the parameter's column says nothing more and goes;
+    a table without such a value is left as it is."""
+    some = df.filter(F.col(parameter).isin(values))
+    if some.isEmpty():
+        return df
+    return some.drop(parameter) if len(values) == 1 else some
+
+
+def parse_cells(df: DataFrame, column: str, kind: str = "kind", number: str = "number") -> DataFrame:
+    """The kind of a column's cells, which are text (integer, float or text), and their value as a number."""
+    value = F.col(column).try_cast("double")
+    return df.withColumns({kind: F.when(F.col(column).rlike("^[+-]?[0-9]+$"), "int").when(value.isNotNull(), "float").otherwise("str"), number: value})
+
+
+def numeric(df: DataFrame, metrics: list[str]) -> DataFrame:
+    """Metric cells that are text as numbers; empty ones, and others that aren't numbers, as 0."""
+    return df.withColumns({m: F.coalesce(F.col(m).try_cast("double"), F.lit(0.0)) for m in metrics})
+
+
+def indexed(df: DataFrame, by: list[str], order: str, values: list[str]) -> DataFrame:
+    """One row for each setting: the last of several by order."""
+    return df.groupBy(*by).agg(F.max(F.struct(order, *values)).alias("_r")).select(*by, "_r.*")
+
+
+def entry(df: DataFrame, **setting) -> DataFrame:
+    """The rows of one setting, without its columns."""
+    return df.filter(reduce(lambda a, b: a & b, [F.col(k) == v for k, v in setting.items()], F.lit(True))).drop(*setting)
+
+
+def compressed(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
+    """One row for each combination of parameters: how many results, and mean and deviation of every metric."""
+    return df.groupBy(*by).agg(F.count("*").alias("n"), *(x for m in metrics for x in (F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std"))))

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigmill.functions.expr import r6, spread_hash
+from sigmill.functions.expr import r6
+from sigmill.operators import ensemble as E
 from sigmill.operators import metrics as M
+from sigmill.operators import selection as C
+from sigmill.operators import tables as B
 from sigmill.operators import thresholds as T
 from sigmill.plans.inputs import PREDICTIONS, RESULTS, SAMPLES, WINDOWS, predictions, results, samples, table, windows
 from sigmill.plans.query import query
@@ -42,7 +45,7 @@ def adaptive_threshold_classifier(spark, d):
 @query("random_classifier", f"WITH {PREDICTIONS} SELECT id, CAST(((id * 2654435761) % 4294967296) // 2147483648 AS BIGINT) AS predicted FROM predictions")
 def random_classifier(spark, d):
     """One of the two labels, each with the same chance; the id fixes which."""
-    return predictions(spark, d).select("id", F.floor(spread_hash("id") / F.lit(1 << 31)).alias("predicted"))
+    return E.random_labels(predictions(spark, d).select("id"), "id", [0, 1]).select("id", F.col("predicted").cast("long").alias("predicted"))
 
 
 @query("all_train_split", f"WITH {PREDICTIONS} SELECT id, truth, 'train' AS part FROM predictions")
@@ -81,8 +84,6 @@ def sliding_window_trials(spark, d):
 @query("consume_training_data", "WITH r AS (SELECT doc_id AS id, CAST(quality AS BIGINT) AS label, row_number() OVER (PARTITION BY quality ORDER BY (doc_id * 2654435761) % 4294967296, doc_id) - 1 AS rank, count(*) OVER (PARTITION BY quality) AS size FROM labels) SELECT id, label, CASE WHEN rank < round(size * 0.4) THEN 'inner' ELSE 'later' END AS part FROM r")
 def consume_training_data(spark, d):
     """A share of each class trains the wrapped operator, the rest goes on to those after it."""
-    from sigmill.operators import selection as C
-
     labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").cast("long").alias("label"))
     inner = C.percentage(labels, "label", "id", 40.0).select("id", F.lit("inner").alias("part"))
     return labels.join(inner, "id", "left").select("id", "label", F.coalesce("part", F.lit("later")).alias("part"))
@@ -94,8 +95,8 @@ def consume_training_data(spark, d):
 )
 def random_feature_selection(spark, d):
     """Ten of the 64 features, which a hash of their numbers picks."""
-    chosen = sorted(sorted(range(64), key=lambda k: ((k * 2654435761) % (1 << 32), k))[:10])
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.explode(F.array(*(F.struct(F.lit(k).alias("f"), F.col("embedding")[k].cast("double").alias("x")) for k in chosen))).alias("s")).select("id", "s.*")
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return C.take_features(e, "embedding", C.random_features(64, 10))
 
 
 # ---- performance tables ----
@@ -105,7 +106,7 @@ def random_feature_selection(spark, d):
 def transform_metrics(spark, d):
     """Metric cells as text become numbers, empty ones 0."""
     cell = F.when(F.col("row") % 7 == 0, "").otherwise(F.col("metric").cast("decimal(18,2)").cast("string"))
-    return results(spark, d).select("row", F.coalesce(cell.try_cast("double"), F.lit(0.0)).alias("metric"))
+    return B.numeric(results(spark, d).select("row", cell.alias("metric")), ["metric"])
 
 
 @query(
@@ -117,24 +118,28 @@ def parse_cells(spark, d):
     """The kind of each cell of a table of text: integer, float or text."""
     cell = F.when(F.col("event_id") % 4 == 0, F.col("user_id").cast("string")).when(F.col("event_id") % 4 == 1, F.col("value").cast("decimal(18,3)").cast("string")).when(F.col("event_id") % 4 == 2, F.col("event_type")).otherwise("")
     c = table(spark, d, "events").select("event_id", cell.alias("cell"))
-    number = F.col("cell").try_cast("double")
-    return c.select("event_id", F.when(F.col("cell").rlike("^[+-]?[0-9]+$"), "int").when(number.isNotNull(), "float").otherwise("str").alias("kind"), number.alias("number"))
+    return B.parse_cells(c, "cell").drop("cell")
 
 
 @query("indexed_data", f'WITH {RESULTS} SELECT __dataset, __method, __run, max(row) AS row, arg_max(metric, row) AS metric FROM results GROUP BY 1, 2, 3')
 def indexed_data(spark, d):
     """One row for each setting, the last of several."""
-    r = results(spark, d).groupBy("__dataset", "__method", "__run").agg(F.max(F.struct("row", "metric")).alias("r"))
-    return r.select("__dataset", "__method", "__run", "r.row", "r.metric")
+    return B.indexed(results(spark, d), ["__dataset", "__method", "__run"], "row", ["metric"])
 
 
 @query("performance_entry", f"WITH {RESULTS} SELECT __run, row, metric FROM results WHERE __dataset = 'BUILDING' AND __method = '1-URGENT'")
 def performance_entry(spark, d):
-    return results(spark, d).filter((F.col("__dataset") == "BUILDING") & (F.col("__method") == "1-URGENT")).select("__run", "row", "metric")
+    return B.entry(results(spark, d), __dataset="BUILDING", __method="1-URGENT").select("__run", "row", "metric")
 
 
 @query("compressed_analysis", f"WITH {RESULTS} SELECT __dataset, __method, count(*) AS n, round(avg(metric), 4) AS metric_mean, round(stddev_pop(metric), 4) AS metric_std, round(avg(time), 4) + 0.0 AS time_mean, round(stddev_pop(time), 4) AS time_std FROM results GROUP BY 1, 2")
 def compressed_analysis(spark, d):
     """One figure for each combination of parameters: mean and deviation of every metric."""
-    each = [(F.round(g(m), 4) + 0.0).alias(n) for m in ("metric", "time") for g, n in ((F.avg, f"{m}_mean"), (F.stddev_pop, f"{m}_std"))]
-    return results(spark, d).groupBy("__dataset", "__method").agg(F.count("*").alias("n"), *each)
+    out = B.compressed(results(spark, d), ["__dataset", "__method"], ["metric", "time"])
+    return out.select("__dataset", "__method", "n", *((F.round(c, 4) + 0.0).alias(c) for c in ("metric_mean", "metric_std", "time_mean", "time_std")))
+
+
+@query("projected_results", f"WITH {RESULTS} SELECT __method, __run, row, metric, time FROM results WHERE __dataset = 'BUILDING'")
+def projected_results(spark, d):
+    """Rows with one value of a parameter, without it."""
+    return B.project(results(spark, d), "__dataset", ["BUILDING"]).select("__method", "__run", "row", "metric", "time")

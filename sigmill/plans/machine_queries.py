@@ -15,6 +15,7 @@ from sigmill.plans.inputs import CHANNELS, FEATURES, PREDICTIONS, RECORDS, RESUL
 from sigmill.plans.query import query
 from sigmill.plans.stream_queries import _events, _to_table, shared_folder
 from sigmill.sources import files
+from sigmill.streaming import live as V
 
 # ---- channels ----
 
@@ -113,24 +114,18 @@ def pattern_search(spark, d):
 _MIDPOINT = "SELECT user_id, round((avg(value) FILTER (event_type = 'purchase') + avg(value) FILTER (event_type = 'view')) / 2, 6) AS threshold, CASE WHEN avg(value) FILTER (event_type = 'purchase') >= avg(value) FILTER (event_type = 'view') THEN 1 ELSE -1 END AS side FROM events GROUP BY user_id HAVING count(*) FILTER (event_type = 'purchase') > 0 AND count(*) FILTER (event_type = 'view') > 0"
 
 
-def _thresholds(df):
-    p, v = (F.avg(F.when(F.col("event_type") == x, F.col("value"))) for x in ("purchase", "view"))
-    out = df.groupBy("user_id").agg(p.alias("p"), v.alias("v")).filter("p IS NOT NULL AND v IS NOT NULL")
-    return out.select("user_id", r6((F.col("p") + F.col("v")) / 2).alias("threshold"), F.when(F.col("p") >= F.col("v"), 1).otherwise(-1).alias("side"))
-
-
 @query("live_train", _MIDPOINT)
 def live_train(spark, d):
     """A threshold between two kinds of events for each user, learned from a recorded stream: one aggregate for all users."""
-    return _thresholds(table(spark, d, "events"))
+    sums = V.class_sums(table(spark, d, "events"), "user_id", "event_type", "value", "purchase", "view")
+    return V.midpoints(sums, "user_id", "event_type", "purchase", "view").select("user_id", r6("threshold").alias("threshold"), "side")
 
 
 @query("live_adapt", _MIDPOINT)
 def live_adapt(spark, d):
     """The same thresholds kept up to date by a stream: sums by user are the state, and each batch moves the thresholds."""
-    kept = _to_table(spark, _events(spark, d).filter(F.col("event_type").isin("purchase", "view")).groupBy("user_id", "event_type").agg(F.sum("value").alias("s"), F.count("value").alias("n")), "complete")
-    means = kept.groupBy("user_id").agg(*(F.max(F.when(F.col("event_type") == x, F.col("s") / F.col("n"))).alias(c) for x, c in (("purchase", "p"), ("view", "v")))).filter("p IS NOT NULL AND v IS NOT NULL")
-    return means.select("user_id", r6((F.col("p") + F.col("v")) / 2).alias("threshold"), F.when(F.col("p") >= F.col("v"), 1).otherwise(-1).alias("side"))
+    kept = _to_table(spark, V.class_sums(_events(spark, d), "user_id", "event_type", "value", "purchase", "view"), "complete")
+    return V.midpoints(kept, "user_id", "event_type", "purchase", "view").select("user_id", r6("threshold").alias("threshold"), "side")
 
 
 # ---- stored records ----
@@ -154,13 +149,14 @@ def prediction_sink(spark, d):
     return files.stored(spark, p, _folder(spark, "predictions"), ["fold"])
 
 
-@query("csv_features", "SELECT CAST(label AS VARCHAR) AS label, CAST(vec_id AS DOUBLE) AS id, CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1 FROM embeddings")
+@query("csv_features", "SELECT CAST(label AS VARCHAR) AS label, vec_id AS id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS f, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings")
 def csv_features(spark, d):
-    """Vectors in a file without a header, the label first, read as labelled features."""
+    """Whole vectors in a file without a header, the label first, read as labelled features."""
     path = _folder(spark, "csv")
-    x = F.col("embedding").cast("array<double>")
-    table(spark, d, "embeddings").select(F.concat_ws(", ", F.col("label").cast("string"), F.col("vec_id").cast("string"), x[0].cast("string"), x[1].cast("string"))).write.text(path)
-    return files.csv_features(spark, path).select("label", *(F.col("features")[k].alias(c) for k, c in enumerate(("id", "x0", "x1"))))
+    x = F.col("embedding").cast("array<double>").cast("array<string>")
+    table(spark, d, "embeddings").select(F.concat_ws(", ", F.col("label").cast("string"), F.col("vec_id").cast("string"), F.array_join(x, ", "))).write.text(path)
+    read = files.csv_features(spark, path)
+    return read.select("label", F.col("features")[0].cast("long").alias("id"), F.posexplode(F.slice("features", 2, 1 << 20)).alias("f", "x"))
 
 
 @query("arff_table", "SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderpriority AS \"the priority\", CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sigmill.plans import choice_queries, decision_queries, further_queries, learn_queries, machine_queries, metric_queries, model_queries, online_queries, recording_queries, search_queries, signal_queries, source_queries, stream_queries, table_queries, windowed_queries  # noqa: F401  they register themselves
+from sigmill.plans import choice_queries, decision_queries, feature_queries, further_queries, learn_queries, machine_queries, metric_queries, model_queries, online_queries, recording_queries, search_queries, signal_queries, source_queries, stream_queries, table_queries, windowed_queries  # noqa: F401  they register themselves
 from sigmill.plans.query import QUERIES, SQL
 
 

@@ -46,11 +46,12 @@ def _to_table(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out")  # complete mode: each batch is the whole result
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={number}")  # complete mode: each batch is the whole result
 
     q = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+    newest = q.lastProgress["batchId"] if q.lastProgress else 0
+    return spark.read.schema(stream.schema).parquet(f"{root}/out/batch={newest}")
 
 
 @query(

@@ -62,3 +62,16 @@ def online_confusion(predictions: DataFrame, responses: DataFrame, key: str, wit
     r = responses.withWatermark("r_time", late).alias("r")
     near = (F.col(f"p.{key}") == F.col(f"r.{key}")) & (F.col("r.r_time") >= F.col("p.p_time")) & (F.col("r.r_time") <= F.col("p.p_time") + F.expr(f"INTERVAL {within}"))
     return p.join(r, near).select(F.col(f"p.{key}").alias(key), "p_time", "r_time", "predicted", "truth")
+
+
+def class_sums(df: DataFrame, key: str, kind: str, value: str, positive, negative) -> DataFrame:
+    """key, kind, s, n: sums of two kinds of rows, of a table or (in complete or update mode) of a stream."""
+    return df.filter(F.col(kind).isin(positive, negative)).groupBy(key, kind).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+
+
+def midpoints(sums: DataFrame, key: str, kind: str, positive, negative) -> DataFrame:
+    """The threshold classifier that such sums give: halfway between the means of both kinds, and the side (1 or -1) on
+    which the positive kind lies; for keys that have both."""
+    mean = lambda k: F.max(F.when(F.col(kind) == k, F.try_divide("s", "n")))
+    out = sums.groupBy(key).agg(mean(positive).alias("_p"), mean(negative).alias("_q")).filter("_p IS NOT NULL AND _q IS NOT NULL")
+    return out.select(key, ((F.col("_p") + F.col("_q")) / 2).alias("threshold"), F.when(F.col("_p") >= F.col("_q"), 1).otherwise(-1).alias("side"))

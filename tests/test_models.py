@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmill.operators import features, learners, margins, models, search
+from sigmill.operators import features, learners, margins, models, search, signal, tables
 from sigmill.streaming import adapting
 
 
@@ -188,3 +188,30 @@ def test_frames(spark):
     assert {r.bin for r in few.collect()} == {2, 3}
     with pytest.raises(ValueError):
         features.stft(df, "v", ["k"], "t", 7, 3)
+
+
+def test_forecasts_of_short_and_regular_windows(spark):
+    rng = np.random.default_rng(6)
+    series = {"a": rng.normal(size=30).cumsum(), "b": np.ones(20), "c": rng.normal(size=3), "d": np.arange(12.0), "e": rng.normal(size=1)}
+    df = spark.createDataFrame([(k, t, float(v)) for k, s in series.items() for t, v in enumerate(s)], "k string, t long, v double")
+    got = {r.k: r.coefficients for r in features.autoregressive(df, "v", ["k"], "t", 3).collect()}
+    x = series["a"]
+    design = np.column_stack([np.ones(27), *(x[3 - k : 30 - k] for k in (1, 2, 3))])
+    assert got["a"] == pytest.approx(np.linalg.lstsq(design, x[3:], rcond=None)[0][1:].tolist())
+    assert got["b"] is None and got["d"] is None and "c" not in got and "e" not in got
+    assert features.autoregressive(df.filter("false"), "v", ["k"], "t", 2).count() == 0
+
+
+def test_subsampling_of_a_line_is_a_line(spark):
+    """Between the ends of the filter; and what no factor changes stays in length."""
+    df = spark.createDataFrame([("a", t, 2.0 * t) for t in range(200)] + [("b", 0, 1.0)], "k string, t long, v double")
+    up = {(r.k, r.t): r.v for r in signal.interpolate(df, "v", ["k"], "t", 4, length=64).collect()}
+    assert len(up) == 199 * 4 + 1 + 1 and all(up["a", t] == pytest.approx(t / 2) for t in range(797))
+    out = sorted((r.t, r.v) for r in signal.subsample(df.filter("k = 'a'"), "v", ["k"], "t", 100.0, 60.0, 9).collect())
+    assert len(out) == 120 and np.allclose(np.diff([v for t, v in out if t > 5]), 2.0 * 5 / 3)
+    assert signal.subsample(df, "v", ["k"], "t", 100.0, 50.0).filter("k = 'a'").count() == 100
+
+
+def test_projection_drops_what_says_nothing(spark):
+    df = spark.createDataFrame([("x", 1), ("y", 2), (None, 3)], "p string, m int")
+    assert tables.project(df, "p", ["x"]).columns == ["m"] and tables.project(df, "p", ["x", "y"]).count() == 2 and tables.project(df, "p", ["z"]).count() == 3
