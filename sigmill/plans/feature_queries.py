@@ -1,4 +1,4 @@
-"""Queries of forecasts, shifted correlations, another sampling rate, and the least complexity of a machine."""
+"""Queries of forecasts, shifted correlations and another sampling rate."""
 
 from __future__ import annotations
 
@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from sigmill.functions.expr import r6
 from sigmill.operators import features as X
-from sigmill.operators import margins as A
 from sigmill.operators import signal as S
 from sigmill.plans.inputs import CHANNELS, RECORDS, SAMPLES, WINDOW, WINDOWS, records, samples, windows
-from sigmill.plans.machine_queries import vectors
 from sigmill.plans.query import query
 
 
@@ -60,11 +58,3 @@ _TAPS = S.fir_lowpass(33, 0.8 * 60.0 / 100.0)
 def subsample(spark, d):
     """From 100 to 60 Hz: two samples between each two, a low pass, and every fifth."""
     return S.subsample(samples(spark, d), "value", ["user_id"], "t", 100.0, 60.0).select("user_id", "t", r6("value").alias("value"))
-
-
-@query("least_complexity")
-def least_complexity(spark, d):
-    """The smallest complexity at which a machine separates two groups that can be separated."""
-    v = vectors(spark, d).withColumn("y", F.when(F.col("x")[0] > 0, 1.0).otherwise(-1.0)).filter(F.abs(F.col("x")[0]) > 0.02)
-    c = A.least_complexity(v, "y", "x", 1.0, 1e3, 9.0)
-    return spark.createDataFrame([(v.count(), c is not None)], "n long, separated boolean")
