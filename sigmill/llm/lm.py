@@ -87,7 +87,7 @@ class Model:
 
     @staticmethod
     def bucket(context: np.ndarray) -> np.ndarray:
-        return np.minimum(np.frexp(np.maximum(context, 0).astype(float))[1], BUCKETS - 1)
+        return np.minimum(np.frexp(np.maximum(context, 0).astype(float))[1].astype(np.int64), BUCKETS - 1)  # 64 bits, since keys of cells are shifted
 
     def parts(self, word: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int) -> list[np.ndarray]:
         return [np.full(len(word), 1 / (self.types + 1)), word / max(total, 1), pair / np.maximum(context, 1)]
