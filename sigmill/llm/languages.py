@@ -5,7 +5,8 @@ gives all languages that contain it. A text's n-grams are counted by language, e
 language's rate of false positives, and the largest wins.
 
 An n-gram belongs to a language if its rate there reaches ``FLOOR`` and a share of its highest rate in any language; so
-foreign passages in a language's texts don't fill its filter. Every such n-gram is in the filter; since rates add up to 1,
+foreign passages in a language's texts don't fill its filter; one that was seen once tells nothing of a rate and is left out.
+Every such n-gram is in the filter; since rates add up to 1,
 a language has at most 1 / FLOOR of them, and the number of slots follows from how many there are. Filters are fitted on
 about ``TRAIN_DOCS`` labelled documents of each language, chosen by hash, which is the bound of what they learn from; the
 prediction reads whole texts and nothing but them.
