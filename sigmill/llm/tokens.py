@@ -30,6 +30,8 @@ from sigmill.llm.workspace import Workspace, table
 
 END_ID = 2
 BATCH_BYTES = 3 << 20
+#: Of text in a range, each of which is a task and a file.
+RANGE_BYTES = 512 << 20
 REMEMBERED = 1_000_000
 
 _SPACE = np.isin(np.arange(256), list(tx.SPACES))
@@ -157,14 +159,16 @@ def write(documents: DataFrame, ws: Workspace, name: str = "tokens", tokenizer:
     """Writes token files in ascending doc_id order and returns them as a table: part (number of the file's range),
     place (of the document in its part), doc_id, n_tokens, ids.
 
-    Texts move once, to ranges of doc_id; equal ids are ordered by text, rows without an id come first. Reading
+    Texts move once, to ranges of doc_id (of about RANGE_BYTES of text at most, by a sample of ids); equal ids are ordered by text, rows without an id come first. Reading
     only doc_id and n_tokens doesn't touch the ids; a filter on doc_id reads the row groups and pages that may hold it.
     """
     tokenizer = tokenizer or path_of("byte_bpe_50k.json")
     spark = documents.sparkSession
     df = documents.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = df.schema["doc_id"].dataType.simpleString()
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id", F.xxhash64("_text"))
+    size = df.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
+    ranged = df.repartitionByRange(ranges, "doc_id", F.xxhash64("_text")).sortWithinPartitions("doc_id", F.xxhash64("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
