@@ -50,3 +50,11 @@ def backtransformation(spark: SparkSession, chain: Callable[[DataFrame], DataFra
     out = chain(flat.withColumn("value", (F.col("row") == F.col("t")).cast("double"))).select("row", "t", "value")
     zero = out.filter(F.col("row") == points).select("t", F.col("value").alias("_zero"))
     return out.filter(F.col("row") < points).join(zero, "t").select(F.col("row").alias("i"), "t", (F.col("value") - F.col("_zero")).alias("weight"))
+
+
+def mapped(df: DataFrame, weights: DataFrame, window: list[str], index: str, value: str) -> DataFrame:
+    """window, index, value: windows under a linear map (i, t, weight), as sums of weighted samples. Samples meet the
+    weights by equality of the index; weights of 0 are left out, so a short filter copies a sample few times."""
+    w = weights.filter("weight <> 0").withColumnsRenamed({"i": "_i", "t": "_t", "weight": "_w"})
+    out = df.join(w, F.col(index) == F.col("_i")).groupBy(*window, "_t").agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return out.withColumnRenamed("_t", index)

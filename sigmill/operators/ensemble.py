@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sigmill.functions.expr import spread_hash
 from sigmill.operators.learners import kept
-from sigmill.operators.segments import running
+from sigmill.operators.segments import running, value_ranges
 
 
 def vote(df: DataFrame, row: list[str], label: str = "label", score: str = "score") -> DataFrame:
@@ -97,13 +97,14 @@ def linear_fit(df: DataFrame, group: list[str], score: str = "score") -> DataFra
 def threshold_sweep(df: DataFrame, group: list[str], truth: str, positive, score: str = "score") -> DataFrame:
     """Balanced accuracy of each distinct score taken as threshold (predicted positive from it on), and the best, the lowest of equals.
 
-    Scores are counted by value first; running sums go over ranges of ``1 / 64``, then inside a range, so no group is ever
-    in one task whole. The value is null where a class is missing. Rows with a null score or group are left out.
+    Scores are counted by value first; running sums go over ranges that follow how the scores are spread, then inside a
+    range, so no group is ever in one task whole. The value is null where a class is missing. Rows with a null score or group are left out.
     """
     t = (F.col(truth) == positive).cast("long")
     n = df.groupBy(*group, F.col(score).alias("threshold")).agg(F.sum(t).alias("_p"), F.sum(1 - t).alias("_n"))
     totals = n.groupBy(*group).agg(F.sum("_p").alias("_pt"), F.sum("_n").alias("_nt"))
-    run = running(n, group, F.floor(F.col("threshold") * -64), [F.desc("threshold")], {"_tp": (F.sum, F.col("_p")), "_fp": (F.sum, F.col("_n"))}).join(totals, group)
+    ranged = value_ranges(n.filter(F.col("threshold").isNotNull()), group, "threshold", "_r")
+    run = running(ranged, group, -F.col("_r"), [F.desc("threshold")], {"_tp": (F.sum, F.col("_p")), "_fp": (F.sum, F.col("_n"))}).join(totals, group)
     out = run.withColumn("value", (F.try_divide("_tp", "_pt") + 1 - F.try_divide("_fp", "_nt")) / 2)
     best = out.groupBy(*group).agg(F.max(F.struct(F.round("value", 12).alias("v"), (-F.col("threshold")).alias("m")))["m"].alias("_m"))
     return out.join(best, group).select(*group, "threshold", "value", (F.col("threshold") == -F.col("_m")).alias("best"))

@@ -122,9 +122,29 @@ def autoregressive(df: DataFrame, value: str, key: list[str], index: str, order:
     """key, coefficients: of the order samples before in the least-squares forecast (with a constant) of each window's
     samples; null where the window is too short or too regular to tell. Each window is sums of products of its lags."""
     w = Window.partitionBy(*key).orderBy(index)
-    lagged = df.select(*key, *(F.lag(F.col(value).cast("double"), k).over(w).alias(f"_{k}") for k in range(order + 1))).filter(F.col(f"_{order}").isNotNull())
+    return _regressed(df.select(*key, *(F.lag(F.col(value).cast("double"), k).over(w).alias(f"_{k}") for k in range(order + 1))), key, order)
+
+
+def moving_average(df: DataFrame, value: str, key: list[str], index: str, order: int, shocks: int, long: int | None = None) -> DataFrame:
+    """key, coefficients: of the order samples and then of the shocks before, in the forecast of each window's samples by
+    both (an ARMA fit in two regressions). Shocks are what a forecast from ``long`` samples (order + shocks + 2 by default)
+    doesn't foresee. Null where the window is too short or too regular for either regression."""
+    long = order + shocks + 2 if long is None else long
+    w = Window.partitionBy(*key).orderBy(index)
+    x = df.select(*key, index, F.col(value).cast("double").alias("_x")).withColumns({f"_l{k}": F.lag("_x", k).over(w) for k in range(1, max(order, long) + 1)})
+    foreseen = total([F.col(f"_l{k}") * F.col("coefficients")[k - 1] for k in range(1, long + 1)])
+    first = autoregressive(df, value, key, index, long)
+    both = x.join(first, key).withColumn("_e", F.col("_x") - foreseen)  # without the constant: the second regression has one
+    lags = [F.col("_x"), *(F.col(f"_l{k}") for k in range(1, order + 1)), *(F.lag("_e", k).over(w) for k in range(1, shocks + 1))]
+    found = _regressed(both.select(*key, *(c.alias(f"_{k}") for k, c in enumerate(lags))), key, order + shocks)
+    return first.select(*key).join(found, key, "left")
+
+
+def _regressed(df: DataFrame, key: list[str], order: int) -> DataFrame:
+    """key, coefficients: of the columns _1 to _order in the least-squares line for _0, over the rows that have all."""
     n = order + 1
-    sums = lagged.groupBy(*key).agg(F.count("*").alias("_n"), F.array(*(F.sum(f"_{i}") for i in range(n))).alias("_s"), F.array(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i in range(n) for j in range(n))).alias("_q"))
+    whole = df.dropna(subset=[f"_{k}" for k in range(n)])
+    sums = whole.groupBy(*key).agg(F.count("*").alias("_n"), F.array(*(F.sum(f"_{i}") for i in range(n))).alias("_s"), F.array(*(F.sum(F.col(f"_{i}") * F.col(f"_{j}")) for i in range(n) for j in range(n))).alias("_q"))
     schema = T.StructType([*(df.schema[k] for k in key), T.StructField("coefficients", T.ArrayType(T.DoubleType()))])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

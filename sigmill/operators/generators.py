@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 Generator = Callable[[Column, Column], Column]
 
-_M1, _M2, _TWO32 = 2654435761, 2246822519, 1 << 32
+_M1, _M2, _MIX, _TWO32 = 2654435761, 2246822519, 73244475, 1 << 32
 
 
 def constant(value: float) -> Generator:
@@ -67,6 +67,14 @@ def uniform(k: Column, multiplier: int, seed: int) -> Column:
     return (F.pmod(F.pmod(k.cast("long") + seed, F.lit(_TWO32)) * F.lit(multiplier), F.lit(_TWO32)) + 0.5) / float(_TWO32)
 
 
+def mixed(k: Column) -> Column:
+    """A number below 2**32 of which every bit depends on every bit of k mod 2**32: shifts and products that any SQL has."""
+    x = F.pmod(k.cast("long"), F.lit(_TWO32))
+    for _ in range(2):
+        x = F.pmod(x.bitwiseXOR(F.shiftright(x, 16)) * F.lit(_MIX), F.lit(_TWO32))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
 def normal(k: Column, seed: int = 0) -> Column:
     """A standard normal number that (k, seed) fixes, from two uniform ones."""
     return F.sqrt(-2 * F.log(uniform(k, _M1, seed))) * F.cos(2 * math.pi * uniform(k, _M2, seed + 7))
@@ -102,3 +110,15 @@ def generated_windows(spark: SparkSession, kinds: list[tuple[str, int, Generator
     flat = spark.range(before * points * channels)
     at = flat.select(F.floor(F.col("id") / (points * channels)).alias("win"), F.pmod(F.floor(F.col("id") / channels), F.lit(points)).alias("t"), F.pmod("id", F.lit(channels)).alias("channel"))
     return at.withColumn("label", label).withColumn("value", value)
+
+
+def windows_for(df: DataFrame, window: str, label: str, kinds: dict[str, Generator], points: int, channels: int) -> DataFrame:
+    """window, label, t, channel, value: one window for each row of a table, made by the generator of the row's label, so
+    there are as many windows as the table has rows. The generator's time runs on with the window's number; a label without
+    a generator gives no window."""
+    t, c = F.col("t"), F.col("channel")
+    value = F.lit(None).cast("double")
+    for name, g in kinds.items():
+        value = F.when(F.col(label) == name, g(F.col(window) * points + t, c)).otherwise(value)
+    flat = df.filter(F.col(label).isin(list(kinds))).select(F.col(window).cast("long").alias(window), label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points * channels - 1).cast("long"))).alias("_i"))
+    return flat.select(window, label, F.floor(F.col("_i") / channels).alias("t"), F.pmod("_i", F.lit(channels)).alias("channel")).withColumn("value", value)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import correlation, safe_ratio
+from sigmill.operators.segments import running, value_ranges
 
 
 def confusion(df: DataFrame, groups: list[str], truth: str, predicted: str, positive) -> DataFrame:
@@ -58,13 +59,15 @@ def soft_confusion(df: DataFrame, groups: list[str], truth: str, score: str, pos
 def roc_points(df: DataFrame, groups: list[str], truth: str, score: str, positive, decimals: int = 3) -> DataFrame:
     """One point for each distinct rounded score, from high to low: cumulative hits and false alarms.
 
-    Scores are counted before they are ordered, so a window holds a group's distinct scores, not its rows.
+    Scores are counted before they are ordered, and running sums go over ranges of scores, then inside a range, so neither
+    a group's rows nor its distinct scores are in one task whole. A null score comes last; a null group is a group.
     """
     t = (F.col(truth) == positive).cast("long")
     ties = df.groupBy(*groups, F.round(F.col(score), decimals).alias("threshold")).agg(F.sum(t).alias("p"), F.sum(1 - t).alias("n"))
-    w = Window.partitionBy(*groups).orderBy(F.desc("threshold"))
-    every = Window.partitionBy(*groups)
-    return ties.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("n").over(w), "positives": F.sum("p").over(every), "negatives": F.sum("n").over(every)})
+    ties = ties.withColumn("_k", F.struct(F.lit(0).alias("all"), *groups))  # as fields, nulls are equal
+    totals = ties.groupBy("_k").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
+    run = running(value_ranges(ties, ["_k"], "threshold", "_r"), ["_k"], -F.col("_r"), [F.desc("threshold")], {"tp": (F.sum, F.col("p")), "fp": (F.sum, F.col("n"))})
+    return run.join(totals, "_k").drop("_k", "_r")
 
 
 def auc(df: DataFrame, groups: list[str], truth: str, score: str, positive, decimals: int = 3) -> DataFrame:

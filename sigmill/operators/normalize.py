@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sigmill.operators.segments import running, value_ranges
+
 
 def apply(df: DataFrame, feature: str, value: str, parameters: DataFrame) -> DataFrame:
     """(x - shift) * factor by feature; what isn't finite becomes 0. parameters: a row for each feature."""
@@ -15,11 +17,33 @@ def apply(df: DataFrame, feature: str, value: str, parameters: DataFrame) -> Dat
 def outlier(train: DataFrame, feature: str, value: str, percent: float = 10.0, exact: bool = True) -> DataFrame:
     """Maps the percentiles percent / 2 and 100 - percent / 2 to 0 and 1.
 
-    Exact percentiles keep a count of each distinct value; with exact off they are approximate, in bounded memory.
+    Exact ones are found by ``quantiles``, which never has a feature's values in one task; with exact off they are
+    approximate, in one aggregate of bounded memory.
+    """
+    ends = [percent / 200, 1 - percent / 200]
+    if exact:
+        found = quantiles(train, feature, value, ends).select(feature, *(F.col("quantiles")[k].alias(f"_{k}") for k in range(2)))
+    else:
+        found = train.groupBy(feature).agg(*(F.percentile_approx(value, q, 10_000).alias(f"_{k}") for k, q in enumerate(ends)))
+    low, high = F.col("_0"), F.col("_1")
+    return found.select(feature, low.alias("shift"), F.when(high == low, 1.0).otherwise(1 / (high - low)).alias("factor"))
+
+
+def quantiles(df: DataFrame, key: str, value: str, shares: list[float]) -> DataFrame:
+    """key, quantiles: the exact ones of each key, on the line between the two values next to a share's place.
+
+    Values are counted, the counts added up over ranges of values and then inside a range, and those at the wanted places
+    are taken. Null values don't count; a key without others has null quantiles, and rows with a null key are left out.
     """
-    of = (lambda q: F.percentile(value, q)) if exact else (lambda q: F.percentile_approx(value, q, 10_000))
-    low, high = of(percent / 200), of(1 - percent / 200)
-    return train.groupBy(feature).agg(low.alias("shift"), F.when(high == low, 1.0).otherwise(1 / (high - low)).alias("factor"))
+    some = df.select(key, F.col(value).cast("double").alias("_x"))
+    total = some.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("_x").alias("_total"))
+    n = some.filter(F.col("_x").isNotNull()).groupBy(key, "_x").agg(F.count("*").alias("_m"))
+    run = running(value_ranges(n, [key], "_x", "_r"), [key], F.col("_r"), ["_x"], {"_upto": (F.sum, F.col("_m"))}).join(total, key)
+    place = [(F.col("_total") - 1) * q for q in shares]
+    at = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_x")))
+    found = run.groupBy(key).agg(*(at(f(p)).alias(f"_{c}{j}") for j, p in enumerate(place) for c, f in (("a", F.floor), ("b", F.ceil))))
+    between = [F.when(F.col(f"_a{j}") == F.col(f"_b{j}"), F.col(f"_a{j}")).otherwise((F.ceil(p) - p) * F.col(f"_a{j}") + (p - F.floor(p)) * F.col(f"_b{j}")) for j, p in enumerate(place)]
+    return total.join(found, key, "left").select(key, F.array(*between).alias("quantiles"))
 
 
 def gaussian(train: DataFrame, feature: str, value: str) -> DataFrame:

@@ -55,4 +55,9 @@ def log_normal(k: Column, shape: float, scale: float, q: float | None = None, se
 
 def settings(spark: SparkSession, n: int, **parameters: Column) -> DataFrame:
     """n settings: k and a column for each parameter, given as expressions of the column k."""
-    return spark.range(n).select(F.col("id").alias("k")).select("k", *(x.alias(name) for name, x in parameters.items()))
+    return settings_for(spark.range(n).select(F.col("id").alias("k")), "k", **parameters)
+
+
+def settings_for(df: DataFrame, row: str, **parameters: Column) -> DataFrame:
+    """A setting for each row of a table: k (its number) and a column for each parameter, as expressions of k."""
+    return df.select(F.col(row).cast("long").alias("k")).select("k", *(x.alias(name) for name, x in parameters.items()))

@@ -13,9 +13,11 @@ from itertools import product
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sigmill.operators import learners as L
 from sigmill.operators import metrics as M
+from sigmill.operators.generators import mixed
 
 
 def fold_moments(df: DataFrame, fold: str, label: str, vector: str) -> dict[str, L.Moments]:
@@ -184,8 +186,9 @@ def pattern_search(value: Callable[[list[list[float]]], list[float]], start: lis
 
 
 def random_projection(df: DataFrame, row: str, feature: str, value: str, k: int, seed: int = 0) -> DataFrame:
-    """Features compressed to k sums with Gaussian weights, which a hash of (feature, target, seed) fixes."""
-    unit = lambda salt, j: (F.pmod(F.xxhash64(F.col(feature), F.lit(j), F.lit(seed), F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    """Features (numbered, or by name) compressed to k sums with Gaussian weights, which (feature, target, seed) fix."""
+    f = F.col(feature) if isinstance(df.schema[feature].dataType, T.IntegralType) else F.crc32(F.col(feature).cast("string").cast("binary"))
+    unit = lambda salt, j: (mixed(mixed(f) + 2 * (seed * k + j) + salt) + 0.5) / float(1 << 32)
     weight = lambda j: F.sqrt(-2 * F.log(unit(0, j))) * F.cos(2 * np.pi * unit(1, j))
     return df.groupBy(row).agg(*(F.sum(F.col(value) * weight(j)).alias(f"p{j}") for j in range(k)))
 

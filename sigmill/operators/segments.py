@@ -1,13 +1,14 @@
 """Streams of any length in bounded pieces.
 
-A stream may hold a third of all samples, so nothing may sort it in one task. Four tools:
+A stream may hold a third of all samples, so nothing may sort it in one task. Five tools:
 
 * ``numbered``: positions in a stream from counts of time ranges, then a rank inside each range;
 * ``in_segments``: operators that reach a bounded number of samples back and ahead run on segments of the stream, each
   with the neighbouring samples that it needs (its halo); only a segment's own samples are kept;
 * ``last_where``: the last position before a sample at which a condition held, however far back: the last one in each
   segment, carried over segments (one row for each), then inside the segment;
-* ``running``: running sums and extremes over a stream, from those of its ranges and then inside each range.
+* ``running``: running sums and extremes over a stream, from those of its ranges and then inside each range;
+* ``value_ranges``: ranges of any value that follow how its rows are spread, where no time gives them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LENGTH = 1 << 15
+#: Rows that a range of values is meant to hold, and parts that one is cut into at most, at each of two levels.
+RANGE_ROWS, MOST_PARTS = 1 << 16, 1 << 12
 _JOINED = {F.sum: lambda a, b: F.coalesce(a + b, a, b), F.max: F.greatest, F.min: F.least}
 
 
@@ -44,6 +47,27 @@ def running(df: DataFrame, key: list[str], bucket: Column, order: list[str | Col
     return out.withColumns(found).drop("_b", *(f"{c}{x}" for c in parts for x in ("", "c", "i")))
 
 
+def value_ranges(df: DataFrame, key: list[str], value: str, name: str, rows: int | None = None, most: int = MOST_PARTS) -> DataFrame:
+    """Adds the number of a range of the value: it never falls where the value grows, and where a key holds more than so many
+    rows (RANGE_ROWS by default) its ranges are narrow where rows lie close.
+
+    A key's span is cut into equal parts, as many as its rows call for, and then each part is cut in the same way, so a few
+    far values don't leave all others in one part. Only counts and extremes decide, which come out alike in every run. Null
+    lies below all values, NaN above, and infinite values in parts of their own. Rows with a null key have no range and are
+    left out. The value is numeric; many equal values stay together, so count them first.
+    """
+    v = F.col(value).cast("double")
+    finite = F.abs(v) < float("inf")
+    within: list[str] = list(key)
+    for part in ("_p0", "_p1"):
+        ends = df.groupBy(*within).agg(F.min(F.when(finite, v)).alias("_low"), F.max(F.when(finite, v)).alias("_high"), F.least(F.ceil(F.count("*") / (rows or RANGE_ROWS)), F.lit(most)).alias("_parts"))
+        share = F.coalesce(F.try_divide(v / 2 - F.col("_low") / 2, F.col("_high") / 2 - F.col("_low") / 2), F.lit(0.0))
+        cell = F.when(v.isNull(), -2).when(v == float("-inf"), -1).when(~finite, most).otherwise(F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1))
+        df = (df.join(ends, within) if within else df.crossJoin(ends)).withColumn(part, cell.cast("long")).drop("_low", "_high", "_parts")
+        within.append(part)
+    return df.withColumn(name, F.col("_p0") * (most + 3) + F.col("_p1")).drop("_p0", "_p1")
+
+
 def in_segments(df: DataFrame, key: list[str], index: str, f: Callable[[DataFrame, list[str]], DataFrame], before: int = 0, after: int = 0, length: int = LENGTH) -> DataFrame:
     """f(segments, key) where f looks at most before samples back and after ahead. Each sample goes to its own segment and,
     near a border, to the next as halo: (before + after) / length of the rows are copied."""

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import col, total
-from sigmill.operators.segments import LENGTH, in_segments
+from sigmill.operators.segments import LENGTH, in_segments, running
 
 
 def over(key: list[str], order: list[str]) -> WindowSpec:
@@ -257,13 +257,20 @@ def haar(df: DataFrame, value: str, key: list[str], index: str) -> DataFrame:
     return two.select(*key, F.col("_half").alias(index), ((F.col("_a") + b) / math.sqrt(2)).alias("approx"), ((F.col("_a") - b) / math.sqrt(2)).alias("detail"))
 
 
-def monotone_time(df: DataFrame, key: list[str], order: list[str], start: str, end: str) -> DataFrame:
-    """Where a start jumps back, it and all later windows are moved by the largest end so far."""
-    w = over(key, order)
-    before = df.withColumn("_jump", (F.col(start) < F.lag(start, 1).over(w)).cast("int")).withColumn("_set", F.coalesce(F.sum("_jump").over(w), F.lit(0)))
-    last = before.groupBy(*key, "_set").agg(F.max(end).alias("_end"))
-    base = last.withColumn("_base", F.coalesce(F.sum("_end").over(Window.partitionBy(*key).orderBy("_set").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    return before.join(base, [*key, "_set"]).withColumn(start, F.col(start) + F.col("_base")).withColumn(end, F.col(end) + F.col("_base")).drop("_jump", "_set", "_end", "_base")
+def monotone_time(df: DataFrame, key: list[str], order: list[str], start: str, end: str, bucket: Column, sets: int = LENGTH) -> DataFrame:
+    """Where a start jumps back, it and all later windows are moved by the largest end so far.
+
+    bucket is a coarse, monotone function of the order that bounds a sort; what lies between two jumps is a set, and ends
+    are added up over ranges of that many sets, so a stream is never in one task whole. Rows with a null key or bucket are
+    left out.
+    """
+    last = running(df, key, bucket, order, {"_before": (F.max, F.struct(*order, F.col(start).alias("_start")))}, itself=False)
+    jump = F.coalesce((F.col(start) < F.col("_before._start")).cast("long"), F.lit(0).cast("long"))
+    before = running(last.withColumn("_jump", jump), key, bucket, order, {"_set": (F.sum, F.col("_jump"))}).drop("_before", "_jump")
+    ends = before.groupBy(*key, "_set").agg(F.max(end).alias("_end"))
+    base = running(ends, key, F.floor(F.col("_set") / sets), ["_set"], {"_base": (F.sum, F.col("_end"))}, itself=False)
+    moved = before.join(base.select(*key, "_set", F.coalesce("_base", F.lit(0.0)).alias("_base")), [*key, "_set"])
+    return moved.withColumn(start, F.col(start) + F.col("_base")).withColumn(end, F.col(end) + F.col("_base")).drop("_set", "_base")
 
 
 def generate(df: DataFrame, kind: str, t: str | Column, channel: str | Column, **p: float) -> Column:

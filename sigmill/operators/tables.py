@@ -47,6 +47,19 @@ def average_rows(df: DataFrame, averaged: list[str], metrics: list[str]) -> Data
     return out.withColumns({c: F.lit("averaged") for c in averaged})
 
 
+def seen_settings(df: DataFrame, columns: list[str], constraint: str | None = None, most: int = 10_000) -> DataFrame:
+    """The parameter space of what a table holds: every combination of the values seen in its columns (null is none), less
+    those that the constraint excludes. A column with more than ``most`` values isn't a parameter, and is an error."""
+    n = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns)).first()
+    if many := [c for c in columns if n[c] > most]:
+        raise ValueError(f"too many values for parameters: {many}")
+    space = df.sparkSession.range(1)
+    for c in columns:
+        space = space.crossJoin(df.filter(F.col(c).isNotNull()).select(c).distinct())  # values of parameters, whose number was checked
+    space = space.drop("id")
+    return space if constraint is None else space.filter(constraint)
+
+
 def expected_settings(values: dict[str, list], spark: SparkSession, constraint: str | None = None) -> DataFrame:
     """The parameter space: every combination of values, less those that the constraint (an SQL expression) excludes.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigmill.operators.segments import running
+from sigmill.operators.segments import running, value_ranges
 
 #: Metrics as functions of the true and false positive, and true and false negative counts; null where a class is missing.
 METRICS = {
@@ -21,11 +21,11 @@ def best_threshold(df: DataFrame, group: list[str], truth: str, positive, score:
 
     A threshold lies at a score: that score and all below it count as negative. The first maximum counts. Between two
     other scores the threshold is the vertex of the parabola through it and its neighbours, at either end the score.
-    Scores are counted by value first; the running sums then go over distinct values in two levels: totals of ranges of
-    ``1 / 64``, and sums within a range, so no group is ever in one task whole.
+    Scores are counted by value first; the running sums then go over distinct values in two levels: totals of ranges that
+    follow how the scores are spread, and sums within a range, so no group is ever in one task whole.
     """
     y = (F.col(truth) == positive).cast("double")
-    n = df.groupBy(*group, F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")).withColumn("_r", F.floor(F.col("s") * 64))
+    n = value_ranges(df.filter(F.col(score).isNotNull()).groupBy(*group, F.col(score).alias("s")).agg(F.sum(y).alias("p"), F.sum(1 - y).alias("n")), group, "s", "_r")
     before = Window.partitionBy(*group).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*group)
     ranges = n.groupBy(*group, "_r").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"), F.min("s").alias("_low"), F.max("s").alias("_high"))

@@ -26,6 +26,26 @@ def autoregressive(spark, d):
     return out.select("user_id", "win", r6(F.col("coefficients")[0]).alias("first"), r6(F.col("coefficients")[1]).alias("second"))
 
 
+_BB, _CC, _BC, _AB, _AC = (f"covar_pop({x}, {y})" for x, y in ("bb", "cc", "bc", "ab", "ac"))
+_SOLVED = f"({_AB} * {_CC} - {_AC} * {_BC}) / nullif({_BB} * {_CC} - {_BC} * {_BC}, 0)", f"({_AC} * {_BB} - {_AB} * {_BC}) / nullif({_BB} * {_CC} - {_BC} * {_BC}, 0)"
+
+
+@query(
+    "moving_average",
+    f"""WITH {WINDOWS}, l AS (SELECT user_id, win, k, value AS a, lag(value, 1) OVER w AS b, lag(value, 2) OVER w AS c, count(*) OVER (PARTITION BY user_id, win) AS n FROM windows WINDOW w AS (PARTITION BY user_id, win ORDER BY k)),
+    f AS (SELECT user_id, win, {_SOLVED[0]} AS p, {_SOLVED[1]} AS q FROM l WHERE c IS NOT NULL AND n = {WINDOW} GROUP BY user_id, win),
+    e AS (SELECT user_id, win, a, b, lag(a - p * b - q * c) OVER (PARTITION BY user_id, win ORDER BY k) AS c FROM l JOIN f USING (user_id, win))
+    SELECT user_id, win, round({_SOLVED[0]}, 4) + 0.0 AS sample, round({_SOLVED[1]}, 4) + 0.0 AS shock FROM e WHERE c IS NOT NULL GROUP BY user_id, win""",
+)
+def moving_average(spark, d):
+    """How each sample of a whole window follows from the one before and from what the one before had that wasn't foreseen."""
+    n = F.count("*").over(Window.partitionBy("user_id", "win"))
+    whole = windows(spark, d).withColumn("n", n).filter(F.col("n") == WINDOW)
+    out = X.moving_average(whole, "value", ["user_id", "win"], "k", 1, 1, 2)
+    r4 = lambda c: F.round(c, 4) + 0.0
+    return out.select("user_id", "win", r4(F.col("coefficients")[0]).alias("sample"), r4(F.col("coefficients")[1]).alias("shock"))
+
+
 _POINTS, _SEGMENTS, _SHIFT = 7, 3, 1
 _BORDERS = [k * _POINTS // (_SEGMENTS + 1) for k in range(_SEGMENTS + 2)]
 _PARTS = ", ".join(f"({k}, {_BORDERS[k]}, {_BORDERS[k + 2]})" for k in range(_SEGMENTS))

@@ -49,9 +49,18 @@ def sparse_xdawn(spark, d):
     return spark.createDataFrame([(CHANNELS[c], round(float(x), 4)) for c, x in zip(chosen, w)], "channel string, weight double")
 
 
-@query("random_projection")
+def _mixed_sql(k: str) -> str:
+    for _ in range(2):
+        k = f"((xor({k}, ({k}) >> 16) * 73244475) % 4294967296)"
+    return f"xor({k}, {k} >> 16)"
+
+
+_weight_sql = lambda j: "sqrt(-2 * ln((u0 + 0.5) / 4294967296.0)) * cos(2 * pi() * (u1 + 0.5) / 4294967296.0)".replace("u0", _mixed_sql(f"(m + {2 * j})")).replace("u1", _mixed_sql(f"(m + {2 * j + 1})"))
+
+
+@query("random_projection", f"WITH {FEATURES}, w AS (SELECT f, {', '.join(f'{_weight_sql(j)} AS w{j}' for j in range(3))} FROM (SELECT DISTINCT f, {_mixed_sql('f')} AS m FROM features)) SELECT id, {', '.join(f'round(sum(x * w{j}), 5) + 0.0 AS p{j}' for j in range(3))} FROM features JOIN w USING (f) GROUP BY id")
 def random_projection(spark, d):
-    return H.random_projection(features(spark, d), "id", "f", "x", 3).select("id", *(F.round(f"p{k}", 5).alias(f"p{k}") for k in range(3)))
+    return H.random_projection(features(spark, d), "id", "f", "x", 3).select("id", *((F.round(f"p{k}", 5) + 0.0).alias(f"p{k}") for k in range(3)))
 
 
 @query(

@@ -260,4 +260,4 @@ def generator_sine(spark, d):
 )
 def monotone_time(spark, d):
     df = samples(spark, d).select("user_id", "t", ((F.col("t") % 40) * 10).cast("double").alias("start_ms"), ((F.col("t") % 40) * 10 + 10).cast("double").alias("end_ms"))
-    return S.monotone_time(df, ["user_id"], ["t"], "start_ms", "end_ms")
+    return S.monotone_time(df, ["user_id"], ["t"], "start_ms", "end_ms", F.floor(F.col("t") / 4096))

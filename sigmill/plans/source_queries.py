@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import r6
@@ -40,20 +41,20 @@ def generator_algebra(spark, d):
     return samples(spark, d).select("user_id", "t", *(r6(g(t, c)).alias(name) for name, g in made.items()))
 
 
-_TEST_POINTS, _TEST_CHANNELS = 100, 16
+_TEST_POINTS, _TEST_CHANNELS = 20, 4
 
 
 @query(
     "test_windows",
-    f"""SELECT win, t, channel, CASE WHEN win < 100 THEN 'Target' ELSE 'Standard' END AS label,
-      round({normal_sql(f"((win * {_TEST_POINTS} + t) * {_TEST_CHANNELS} + channel)", 11)} + CASE WHEN win < 100 THEN sin(2 * pi() * (win * {_TEST_POINTS} + t) / 1000.0) ELSE 0 END, 5) + 0.0 AS value
-    FROM (SELECT i // {_TEST_POINTS * _TEST_CHANNELS} AS win, i // {_TEST_CHANNELS} % {_TEST_POINTS} AS t, i % {_TEST_CHANNELS} AS channel FROM (SELECT unnest(range({200 * _TEST_POINTS * _TEST_CHANNELS})) AS i))""",
+    f"""SELECT win, label, t, channel, round({normal_sql(f"((win * {_TEST_POINTS} + t) * {_TEST_CHANNELS} + channel)", 11)} + CASE WHEN label = 'Target' THEN sin(2 * pi() * (win * {_TEST_POINTS} + t) / 1000.0) ELSE 0 END, 5) + 0.0 AS value
+    FROM (SELECT c_custkey AS win, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Target' ELSE 'Standard' END AS label FROM customer), (SELECT unnest(range({_TEST_POINTS})) AS t), (SELECT unnest(range({_TEST_CHANNELS})) AS channel)""",
 )
 def test_windows(spark, d):
-    """The two-class source: windows of a sine in noise against windows of noise."""
+    """The two-class source: a window for each customer, a sine in noise for those of one segment and noise for the others."""
     noise = N.gaussian_noise(_TEST_CHANNELS, seed=11)
-    w = N.generated_windows(spark, [("Target", 100, N.adder([N.sine(fs=1000.0), noise])), ("Standard", 100, noise)], _TEST_POINTS, _TEST_CHANNELS)
-    return w.select("win", "t", "channel", "label", (F.round("value", 5) + 0.0).alias("value"))
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("win"), F.when(F.col("c_mktsegment") == "BUILDING", "Target").otherwise("Standard").alias("label"))
+    w = N.windows_for(customers, "win", "label", {"Target": N.adder([N.sine(fs=1000.0), noise]), "Standard": noise}, _TEST_POINTS, _TEST_CHANNELS)
+    return w.select("win", "label", "t", "channel", (F.round("value", 5) + 0.0).alias("value"))
 
 
 # ---- parameter priors ----
@@ -66,12 +67,13 @@ _U = lambda seed: uniform_sql("k", 2654435761, seed)
     f"""SELECT k, {_U(1)} < 0.5 AS boolean, CASE WHEN {_U(2)} < 1.0 / 3 THEN 'a' WHEN {_U(2)} < 2.0 / 3 THEN 'b' ELSE 'c' END AS choice, CASE WHEN {_U(3)} < 0.2 THEN 'a' WHEN {_U(3)} < 0.5 THEN 'b' ELSE 'c' END AS weighted,
       round(2 + 3 * {normal_sql("k", 4)}, 5) + 0.0 AS normal, round(-1 + 5 * {_U(5)}, 6) + 0.0 AS uniform, round((2 + 3 * {normal_sql("k", 6)}) / 0.5) * 0.5 + 0.0 AS q_normal, round((-1 + 5 * {_U(7)}) / 0.25) * 0.25 + 0.0 AS q_uniform,
       round(2 * exp(0.5 * {normal_sql("k", 8)}), 5) AS log_normal, round(exp(ln(0.01) + (ln(100) - ln(0.01)) * {_U(9)}), 5) AS log_uniform, round(2 * exp(0.5 * {normal_sql("k", 10)}) / 0.1) * 0.1 AS q_log_normal, round(exp(ln(1) + (ln(100) - ln(1)) * {_U(11)}) / 2) * 2 AS q_log_uniform
-    FROM (SELECT unnest(range(1000)) AS k)""",
+    FROM (SELECT o_orderkey AS k FROM orders)""",
 )
 def parameter_priors(spark, d):
+    """Settings of all parameters drawn for each order."""
     k, r5 = F.col("k"), lambda x: F.round(x, 5) + 0.0
-    return P.settings(
-        spark, 1000, boolean=P.boolean(k, 1), choice=P.choice(k, ["a", "b", "c"], seed=2), weighted=P.choice(k, ["a", "b", "c"], [0.2, 0.3, 0.5], 3), normal=r5(P.normal_around(k, 2.0, 3.0, seed=4)), uniform=r6(P.uniform_between(k, -1.0, 4.0, seed=5)),
+    return P.settings_for(
+        table(spark, d, "orders"), "o_orderkey", boolean=P.boolean(k, 1), choice=P.choice(k, ["a", "b", "c"], seed=2), weighted=P.choice(k, ["a", "b", "c"], [0.2, 0.3, 0.5], 3), normal=r5(P.normal_around(k, 2.0, 3.0, seed=4)), uniform=r6(P.uniform_between(k, -1.0, 4.0, seed=5)),
         q_normal=P.normal_around(k, 2.0, 3.0, 0.5, 6) + 0.0, q_uniform=P.uniform_between(k, -1.0, 4.0, 0.25, 7) + 0.0, log_normal=r5(P.log_normal(k, 0.5, 2.0, seed=8)), log_uniform=r5(P.log_uniform(k, 0.01, 100.0, seed=9)), q_log_normal=P.log_normal(k, 0.5, 2.0, 0.1, 10), q_log_uniform=P.log_uniform(k, 1.0, 100.0, 2.0, 11),
     )
 
@@ -120,13 +122,19 @@ def channel_long(spark, d):
     return channels(spark, d).groupBy("win").agg(F.count("*").alias("n"), F.countDistinct("channel").alias("channels"))
 
 
-@query("backtransformation", "WITH h(j, h) AS (VALUES (0, 0.5), (1, 0.25), (2, 0.125)) SELECT CAST(i AS BIGINT) AS i, CAST(i + j AS BIGINT) AS t, CAST(h * 2 AS DOUBLE) AS weight FROM h, (SELECT unnest(range(16)) AS i) WHERE i + j < 16")
+@query(
+    "backtransformation",
+    f"""WITH {WINDOWS}, h(j, h) AS (VALUES (0, 0.5), (1, 0.25), (2, 0.125)), w AS (SELECT * FROM windows QUALIFY count(*) OVER (PARTITION BY user_id, win) = 16)
+    SELECT user_id, win, k + j AS k, round(sum(2 * h * value), 6) + 0.0 AS value FROM w, h WHERE k + j < 16 GROUP BY user_id, win, k + j""",
+)
 def backtransformation(spark, d):
-    """The affine map of a chain (a filter, then a scale and an offset), found by what it does to unit vectors."""
+    """The linear map of a chain (a filter, then a scale and an offset), found by what it does to unit vectors, and applied
+    to all whole windows."""
     from sigmill.operators import signal as S
 
     def chain(df):
         filtered = S.fir(df, "value", ["row"], "t", [0.5, 0.25, 0.125])
         return filtered.withColumn("value", F.col("value") * 2 + 1)
 
-    return V.backtransformation(spark, chain, 16).filter("weight <> 0").select("i", "t", r6("weight").alias("weight"))
+    w = windows(spark, d).withColumn("n", F.count("*").over(Window.partitionBy("user_id", "win"))).filter("n = 16")
+    return V.mapped(w, V.backtransformation(spark, chain, 16), ["user_id", "win"], "k", "value").select("user_id", "win", "k", r6("value").alias("value"))
