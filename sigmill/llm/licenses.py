@@ -4,9 +4,14 @@ The automaton holds every run of consecutive words of every template. A text is
 each word its state gives the longest run of the templates that ends there (the matching statistics). Runs of at least
 ``LEAST`` words that can't be lengthened are placed on the templates they come from and chained: in order, in the text
 and in the template, without overlap, with at most ``GAP`` words left out between them. A chain that covers enough of a
-template labels the text. Where chains of several templates lie over the same words, the one with more matched words
+template labels the text (``COVERED`` of it; a template of ``SHORT`` words or fewer, all but one word, so that a licence's
+name alone is no notice). Where chains of several templates lie over the same words, the one with more matched words
 stands, so a licence isn't mistaken for a relative that shares its phrases.
 
+Templates are short licences and notices, and the sections of long licences' full texts: paragraphs, put together until
+they hold ``SECTION`` words. A section of which another licence has more than ``SHARED`` of the five-word runs tells
+nothing of its licence and is no template. So a full text, a part of it and an edited one are all found by their sections.
+
 Only stretches of ``LEAST`` or more consecutive words known to the templates are streamed, since no other stretch can
 hold a long match. Besides, short phrases label a text by themselves wherever they stand (the base labels).
 
@@ -16,8 +21,8 @@ each by itself; an empty table gives no rows; other columns aren't read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Iterable, Iterator
+from functools import cache, lru_cache
 from importlib import resources
 
 import numpy as np
@@ -28,18 +33,59 @@ from pyspark.sql import functions as F
 
 from sigmill.llm import text as tx
 
-LEAST, GAP, COVERED = 4, 6, 0.75
+LEAST, GAP, COVERED, SHORT = 4, 6, 0.75, 8
+SECTION, SHARED = 60, 0.4
 BATCH_BYTES = 4 << 20
 
+#: label: the files of full texts
+FULL_TEXTS = {"apache-2": ["Apache-2.0"], "cc0": ["CC0-1.0"], "gpl-2": ["GPL-2"], "gpl-3": ["GPL-3"], "lgpl": ["LGPL-2.1", "LGPL-3"], "mpl-2": ["MPL-2.0"]}
+
 #: phrase: label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 
 @cache
 def default_templates() -> tuple[tuple[str, str], ...]:
-    """(label, text) from the data file."""
+    """(label, text) of the notices and short licences in the data file, and of the full texts' sections."""
     lines = resources.files("sigmill.llm").joinpath("data/licences.txt").read_text("utf-8").splitlines()
-    return tuple(tuple(x.split("\t", 1)) for x in lines if x and not x.startswith("#"))
+    return (*(tuple(x.split("\t", 1)) for x in lines if x and not x.startswith("#")), *sections(full_texts()))
+
+
+@cache
+def full_texts() -> tuple[tuple[str, str], ...]:
+    """(label, text) of the long licences."""
+    folder = resources.files("sigmill.llm").joinpath("data/full")
+    return tuple((label, folder.joinpath(f"{name}.txt").read_text("utf-8")) for label, names in FULL_TEXTS.items() for name in names)
+
+
+def sections(texts: Iterable[tuple[str, str]], size: int = SECTION, shared: float = SHARED) -> list[tuple[str, str]]:
+    """(label, text) of the sections of each text that no other label's texts share."""
+    texts = list(texts)
+    runs: dict[str, set[str]] = {}
+    for label, text in texts:
+        runs.setdefault(label, set()).update(_runs(text))
+    out = []
+    for label, text in texts:
+        parts = [""]
+        for paragraph in text.split("\n\n"):
+            if len(_words(parts[-1])) >= size:
+                parts.append("")
+            parts[-1] += paragraph + "\n\n"
+        if len(parts) > 1 and len(_words(parts[-1])) < size:
+            parts[-2:] = ["".join(parts[-2:])]
+        others = [r for other, r in runs.items() if other != label]
+        out += [(label, part) for part in parts if (own := _runs(part)) and all(len(own & r) <= shared * len(own) for r in others)]
+    return out
+
+
+def _words(text: str) -> list[str]:
+    w = tx.words(pa.array([text], pa.string()), tx.ALNUM)
+    return w.vocab.take(pa.array(w.codes)).to_pylist()
+
+
+def _runs(text: str) -> set[str]:
+    words = _words(text)
+    return {" ".join(words[k : k + 5]) for k in range(max(len(words) - 4, min(1, len(words))))}
 
 
 class Automaton:
@@ -124,6 +170,7 @@ class Scanner:
         self.automaton = Automaton(rows[: len(templates)])
         self.phrases = list(zip(rows[len(templates) :], phrases.values()))
         self.least = min([LEAST, *self.sizes])
+        self.needed = [max(COVERED * n, n - 1 if n <= SHORT else 0) for n in self.sizes]
 
     def chains(self, found: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
         """(matched words, template, first, end) of the best chain of each template that covers enough of it."""
@@ -144,7 +191,7 @@ class Scanner:
                     if e <= end - length and 0 <= to - length - t <= GAP and best[j][0] + length > score:
                         score, first = best[j][0] + length, best[j][1]
                 best.append((score, first))
-            out += [(s, template, first, own[k][0]) for k, (s, first) in enumerate(best) if s >= COVERED * self.sizes[template]]
+            out += [(s, template, first, own[k][0]) for k, (s, first) in enumerate(best) if s >= self.needed[template]]
         return out
 
     def licences(self, words: list[int]) -> dict[str, tuple[float, list[tuple[int, int]]]]:
@@ -195,16 +242,22 @@ class Scanner:
         return out
 
 
+@lru_cache(4)
+def _scanner(templates: tuple[tuple[str, str], ...], phrases: tuple[tuple[str, str], ...]) -> Scanner:
+    """One for all tasks of a worker."""
+    return Scanner(list(templates), dict(phrases))
+
+
 SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans array<struct<label:string,first:bigint,end:bigint>>"
 
 
 def scan(documents: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] = PHRASES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and SCHEMA for each document row; spans: the covered words [first, end) of each label that chains give."""
     df = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
-    templates = list(templates or default_templates())
+    templates, phrases = tuple(map(tuple, templates or default_templates())), tuple(phrases.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates, phrases)
+        scanner = _scanner(templates, phrases)
         for b in tx.slices(batches, "_text", BATCH_BYTES):
             found = scanner.scan(b.column("_text"))
             yield pa.RecordBatch.from_arrays(

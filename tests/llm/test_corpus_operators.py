@@ -553,6 +553,13 @@ def test_url_model_on_sites_it_has_not_seen(spark):
     assert [r.verdict for r in verdicts] == ["block"] * 5 + ["allow"] * 3
 
 
+def test_a_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://example.com/" + "casino-" * 20_000), (2, "http://" + "a." * 5_000 + "net/de/x")], "page_id long, url string")
+    got = {r.page_id: r for r in urls.judge(pages).collect()}
+    assert len(got[1].path) == 140_001 and got[1].rule is None and 0 <= got[1].score <= 1
+    assert got[2].rule == "net/de/" and got[2].verdict == "allow"
+
+
 # ---- 9 ----
 
 
@@ -590,6 +597,44 @@ def test_licence_phrases_against_a_plain_version(spark):
     assert all(label in found[k] for k, (label, _) in enumerate(known))
 
 
+def test_full_licence_texts_and_parts_of_them(spark):
+    """Whole texts, with one word in twenty changed and in part; the label is the only one, but for GPL notices that differ
+    in the number alone."""
+    rng = random.Random(3)
+    texts = licenses.full_texts()
+    edited = [" ".join("zzq" if rng.random() < 0.05 else w for w in t.split()) for _, t in texts]
+    some = [" ".join(t.split()[300:700]) for _, t in texts]
+    rows = [(100 * kind + k, t) for kind, group in enumerate(([t for _, t in texts], edited, some)) for k, t in enumerate(group)]
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (label, _) in enumerate(texts):
+        assert got[k] == [label] and got[200 + k] == [label]
+        assert label in got[100 + k] and set(got[100 + k]) - {label} <= {"gpl-2", "gpl-3"}
+    assert [x for x in licenses.sections([("a", "one two three four five six"), ("b", "one two three four five six")])] == []
+    assert licenses.sections([("a", ""), ("b", "x y")], 5) == [("b", "x y\n\n")]
+
+
+def test_chains_against_all_chains():
+    """The best chain of each template against a search over all chains of its matches."""
+    rng = random.Random(4)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randrange(6)}" for _ in range(rng.randrange(6, 20))) for _ in range(2)]
+        s = licenses.Scanner([(str(k), t) for k, t in enumerate(texts)], {})
+        words = [w if rng.random() > 0.15 else -1 for t in texts for w in [s.vocab.index(x).as_py() for x in t.split()]]
+        found = s.automaton.matches(words, s.least)
+        places = [(k, end, to, n) for end, n, state in found for k, to in s.automaton.places(state)]
+
+        def longest(k, end, to):
+            """Matched words of the best chain after (end, to) and where it ends."""
+            more = [(n, e, t) for j, e, t, n in places if j == k and 0 <= e - n - end <= licenses.GAP and 0 <= t - n - to <= licenses.GAP]
+            return max([0, *(n + longest(k, e, t) for n, e, t in more)])
+
+        want = {k: n for k in range(2) if (n := max((x[3] + longest(k, x[1], x[2]) for x in places if x[0] == k), default=0)) >= s.needed[k]}
+        got = {}
+        for matched, k, *_ in s.chains(found):
+            got[k] = max(got.get(k, 0), matched)
+        assert got == want
+
+
 def test_suffix_automaton():
     rng = random.Random(1)
     for _ in range(200):
