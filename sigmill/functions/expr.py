@@ -17,9 +17,16 @@ def r6(x: str | Column) -> Column:
     return F.round(col(x).cast("double"), 6) + F.lit(0.0)
 
 
+def times_mod32(x: Column, factor: int) -> Column:
+    """(x * factor) mod 2**32 of any long, for a factor below 2**32: by the halves of x, whose products fit a long."""
+    two32 = F.lit(1 << 32)
+    x = F.pmod(x.cast("long"), two32)
+    return F.pmod(F.pmod(F.shiftright(x, 16) * F.lit(factor), two32) * F.lit(1 << 16) + x.bitwiseAND(F.lit(0xFFFF)) * F.lit(factor), two32)
+
+
 def spread_hash(x: str | Column) -> Column:
     """A portable order for deterministic draws: (x * 2654435761) mod 2**32."""
-    return F.pmod(col(x).cast("long") * F.lit(2654435761), F.lit(1 << 32))
+    return times_mod32(col(x), 2654435761)
 
 
 def total(parts: list[Column]) -> Column:

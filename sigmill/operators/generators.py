@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import times_mod32
+
 Generator = Callable[[Column, Column], Column]
 
 _M1, _M2, _MIX, _TWO32 = 2654435761, 2246822519, 73244475, 1 << 32
@@ -64,7 +66,7 @@ def triangle(width: float, height: float) -> Generator:
 
 def uniform(k: Column, multiplier: int, seed: int) -> Column:
     """A number in (0, 1) that (k, seed) fixes: a multiplicative hash mod 2**32, in plain integer arithmetic."""
-    return (F.pmod(F.pmod(k.cast("long") + seed, F.lit(_TWO32)) * F.lit(multiplier), F.lit(_TWO32)) + 0.5) / float(_TWO32)
+    return (times_mod32(k.cast("long") + seed, multiplier) + 0.5) / float(_TWO32)
 
 
 def mixed(k: Column) -> Column:

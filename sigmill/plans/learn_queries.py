@@ -87,7 +87,7 @@ def chain(spark: SparkSession, sf_dir: str, folds: int = 3) -> DataFrame:
     stats, line = X.statistics(z, key, "value", 3), X.straight_line(z, key, "k", "value", 4)
     slopes = line.groupBy(*key).pivot("segment", [0, 1]).agg(F.first("slope"))
     f = stats.join(slopes, key).select(*key, F.array(*(F.coalesce(c, F.lit(0.0)) for c in ("central_3", "median", "min", "max", "`0`", "`1`"))).alias("x"))
-    f = f.withColumn("fold", F.pmod(spread_hash(F.col("user_id") * 1_000_003 + F.col("m")), F.lit(folds)))
+    f = f.withColumn("fold", F.pmod(spread_hash(F.pmod("user_id", F.lit(1 << 32)) * 1_000_003 + F.col("m")), F.lit(folds)))
     parts = H.fold_moments(f, "fold", "label", "x")  # one pass for all folds; each training set is all but one
     hit = F.lit(None).cast("double")
     for k in parts:
