@@ -12,9 +12,16 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def rounded(x: str | Column, digits: int) -> Column:
+    """Rounded half away from zero as the queries' SQL does it: of the binary number times 10**digits. Spark's own round goes
+    by the shortest decimal form, which differs where a value lies a last bit beside a half."""
+    scale = 10.0**digits
+    return F.round(col(x).cast("double") * F.lit(scale)) / F.lit(scale)
+
+
 def r6(x: str | Column) -> Column:
     """Rounded to 6 decimals, without a negative zero."""
-    return F.round(col(x).cast("double"), 6) + F.lit(0.0)
+    return rounded(x, 6) + F.lit(0.0)
 
 
 def times_mod32(x: Column, factor: int) -> Column:

@@ -1,13 +1,47 @@
 """What larger tables bring: large keys, ties of rounding, plans that don't deal rows by few keys."""
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sigmill.functions.expr import spread_hash
+from sigmill.functions.expr import r6, rounded, spread_hash
 from sigmill.operators import generators
+from sigmill.plans import registry
+from sigmill.streaming import online
 
 
 @pytest.mark.parametrize("x", [0, 1, -1, 3_474_702_000, (1 << 32) - 1, 8_999 * 1_000_003, 1 << 62, -(1 << 63)])
 def test_hashes_of_large_ids(spark, x):
     row = spark.range(1).select(F.lit(x).cast("long").alias("x")).select(spread_hash("x").alias("h"), (generators.uniform(F.col("x"), 2654435761, 0) * float(1 << 32) - 0.5).alias("u")).first()
     assert row.h == x * 2654435761 % (1 << 32) and row.u == pytest.approx(row.h, abs=1e-3)
+
+
+def test_rounding_of_halves_is_that_of_sql(spark):
+    halves = [s * (k + 0.5) / 1e6 for k in range(0, 2_000_000, 997) for s in (1, -1)]
+    halves += [x + e for x in halves[:400] for e in (1e-16, -1e-16)]
+    got = [r.x for r in spark.createDataFrame([(n, x) for n, x in enumerate(halves)], "n long, x double").orderBy("n").select(r6("x").alias("x")).collect()]
+    con = duckdb.connect()
+    assert got == [con.execute("SELECT round(?::DOUBLE, 6) + 0.0", [x]).fetchone()[0] for x in halves]
+    assert spark.range(1).select(rounded(F.lit(None), 1).alias("a"), rounded(F.lit("inf"), 1).alias("b")).first() == (None, float("inf"))
+
+
+def test_online_scores_add_up_in_order():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 40):
+        a, b = rng.normal(size=n), rng.normal(size=n)
+        want = 0.0
+        for v, w in zip(a.tolist(), b.tolist()):
+            want += v * w
+        assert online.dot(a, b) == want
+
+
+def test_online_margins_equal_their_sql_at_ties(spark, tmp_path):
+    """Steps of bounded size make scores that are exact halves of the last digit."""
+    con = duckdb.connect()
+    con.execute("CREATE VIEW base AS SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id % 25 IN (16, 19)")
+    con.execute(f"COPY base TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute("CREATE VIEW events AS SELECT * FROM base")
+    for name in ("online_margins", "online_stream"):
+        got = sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
+        assert got == sorted(con.execute(registry.oracle_sql()[name]).fetchall())
