@@ -35,7 +35,7 @@ def precision_weights(train: DataFrame, predictor: str = "predictor", label: str
 
 def weighted_vote(df: DataFrame, weights: DataFrame, row: list[str], positive, required: float = 0.5, predictor: str = "predictor", label: str = "label") -> DataFrame:
     """Share of the weight that votes for the positive label, and whether it reaches the required one."""
-    w = df.join(weights, [predictor, label], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
+    w = df.join(F.broadcast(weights), [predictor, label], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     s = w.groupBy(*row).agg(F.sum(F.when(F.col(label) == positive, F.col("weight")).otherwise(0.0)).alias("_a"), F.sum("weight").alias("_b"))
     share = F.when(F.col("_b") == 0, 0.0).otherwise(F.col("_a") / F.col("_b"))
     return s.select(*row, share.alias("share"), (share >= required).alias("positive"))
@@ -90,7 +90,7 @@ def linear_fit(df: DataFrame, group: list[str], score: str = "score") -> DataFra
     """Maps the largest magnitude on each side of 0 to 0 and 1, and 0 to 0.5."""
     ends = df.groupBy(*group).agg(F.abs(F.min(score)).alias("_low"), F.abs(F.max(score)).alias("_high"))
     s, low, high = F.col(score), F.col("_low"), F.col("_high")
-    out = df.join(ends, group).withColumn(score, F.when(s < 0, 0.5 + 0.5 * s / F.when(low == 0, 1.0).otherwise(low)).otherwise(0.5 + 0.5 * s / F.when(high == 0, 1.0).otherwise(high)))
+    out = df.join(F.broadcast(ends), group).withColumn(score, F.when(s < 0, 0.5 + 0.5 * s / F.when(low == 0, 1.0).otherwise(low)).otherwise(0.5 + 0.5 * s / F.when(high == 0, 1.0).otherwise(high)))
     return out.drop("_low", "_high")
 
 
@@ -104,10 +104,10 @@ def threshold_sweep(df: DataFrame, group: list[str], truth: str, positive, score
     n = df.groupBy(*group, F.col(score).alias("threshold")).agg(F.sum(t).alias("_p"), F.sum(1 - t).alias("_n"))
     totals = n.groupBy(*group).agg(F.sum("_p").alias("_pt"), F.sum("_n").alias("_nt"))
     ranged = value_ranges(n.filter(F.col("threshold").isNotNull()), group, "threshold", "_r")
-    run = running(ranged, group, -F.col("_r"), [F.desc("threshold")], {"_tp": (F.sum, F.col("_p")), "_fp": (F.sum, F.col("_n"))}).join(totals, group)
+    run = running(ranged, group, -F.col("_r"), [F.desc("threshold")], {"_tp": (F.sum, F.col("_p")), "_fp": (F.sum, F.col("_n"))}).join(F.broadcast(totals), group)
     out = run.withColumn("value", (F.try_divide("_tp", "_pt") + 1 - F.try_divide("_fp", "_nt")) / 2)
     best = out.groupBy(*group).agg(F.max(F.struct(F.round("value", 12).alias("v"), (-F.col("threshold")).alias("m")))["m"].alias("_m"))
-    return out.join(best, group).select(*group, "threshold", "value", (F.col("threshold") == -F.col("_m")).alias("best"))
+    return out.join(F.broadcast(best), group).select(*group, "threshold", "value", (F.col("threshold") == -F.col("_m")).alias("best"))
 
 
 def platt(df: DataFrame, truth: str, positive, score: str = "score", rounds: int = 30) -> tuple[float, float]:

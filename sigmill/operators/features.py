@@ -38,7 +38,7 @@ def pearson(df: DataFrame, record: list[str], index: str, channels: list[str], s
 def class_average_correlation(df: DataFrame, record: list[str], index: str, channel: str, value: str, label: str, train) -> DataFrame:
     """Correlation of each window with the mean training window of each class, by channel."""
     mean = df.filter(train).groupBy(label, channel, index).agg(F.avg(value).alias("_m")).withColumnRenamed(label, "class")
-    return df.join(mean, [channel, index]).groupBy(*record, channel, "class").agg(F.count("*").alias("n"), correlation(value, "_m").alias("r"))
+    return df.join(F.broadcast(mean), [channel, index]).groupBy(*record, channel, "class").agg(F.count("*").alias("n"), correlation(value, "_m").alias("r"))
 
 
 def straight_line(df: DataFrame, key: list[str], index: str, value: str, size: int) -> DataFrame:

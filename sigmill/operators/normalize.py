@@ -11,7 +11,7 @@ from sigmill.operators.segments import running, value_ranges
 def apply(df: DataFrame, feature: str, value: str, parameters: DataFrame) -> DataFrame:
     """(x - shift) * factor by feature; what isn't finite becomes 0. parameters: a row for each feature."""
     y = (F.col(value) - F.col("shift")) * F.col("factor")
-    return df.join(parameters, feature).withColumn(value, F.when(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")), 0.0).otherwise(y)).drop("shift", "factor")
+    return df.join(F.broadcast(parameters), feature).withColumn(value, F.when(y.isNull() | F.isnan(y) | (F.abs(y) == float("inf")), 0.0).otherwise(y)).drop("shift", "factor")
 
 
 def outlier(train: DataFrame, feature: str, value: str, percent: float = 10.0, exact: bool = True) -> DataFrame:
@@ -54,10 +54,10 @@ def gaussian(train: DataFrame, feature: str, value: str) -> DataFrame:
 def histogram(train: DataFrame, feature: str, value: str, bins: int = 3) -> DataFrame:
     """Mean and deviation of the values in the fullest of the bins between min and max, edges included; the first of equals."""
     limits = train.groupBy(feature).agg(F.min(value).alias("_low"), ((F.max(value) - F.min(value)) / bins).alias("_step"))
-    df = train.join(limits, feature).withColumn("_bin", F.when(F.col("_step") == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("_low")) / F.col("_step")), F.lit(bins - 1))).cast("int"))
+    df = train.join(F.broadcast(limits), feature).withColumn("_bin", F.when(F.col("_step") == 0, 0).otherwise(F.least(F.floor((F.col(value) - F.col("_low")) / F.col("_step")), F.lit(bins - 1))).cast("int"))
     n = df.groupBy(feature, "_bin").agg(F.count("*").alias("_n"))
     best = n.groupBy(feature).agg(F.max(F.struct(F.col("_n"), (-F.col("_bin")).alias("b")))["b"].alias("_best")).withColumn("_best", -F.col("_best"))
-    inside = df.join(best, feature).filter(F.col(value).between(F.col("_low") + F.col("_best") * F.col("_step"), F.col("_low") + (F.col("_best") + 1) * F.col("_step")))
+    inside = df.join(F.broadcast(best), feature).filter(F.col(value).between(F.col("_low") + F.col("_best") * F.col("_step"), F.col("_low") + (F.col("_best") + 1) * F.col("_step")))
     return gaussian(inside, feature, value)
 
 

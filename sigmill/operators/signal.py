@@ -141,7 +141,7 @@ def memory_standardize(df: DataFrame, value: str, stream: list[str], window: str
 def devariance(df: DataFrame, value: str, channel: list[str], train: Column) -> DataFrame:
     """Multiplies each channel by 1 / sd over its training samples."""
     sd = df.filter(train).groupBy(*channel).agg(F.stddev_pop(value).alias("_sd"))
-    return df.join(sd, channel, "left").withColumn(value, F.when(F.col("_sd") > 0, F.col(value) / F.col("_sd")).otherwise(F.col(value))).drop("_sd")
+    return df.join(F.broadcast(sd), channel, "left").withColumn(value, F.when(F.col("_sd") > 0, F.col(value) / F.col("_sd")).otherwise(F.col(value))).drop("_sd")
 
 
 def subset_normalize(df: DataFrame, value: str, key: list[str], subset: Column, deviate: bool = False) -> DataFrame:

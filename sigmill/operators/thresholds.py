@@ -51,7 +51,7 @@ def vertex(x1: Column, y1: Column, x2: Column, y2: Column, x3: Column, y3: Colum
 
 def shift_to_threshold(df: DataFrame, thresholds: DataFrame, group: list[str], score: str = "score", at: float = 0.0) -> DataFrame:
     """Scores moved so that each group's threshold lies at ``at``."""
-    return df.join(thresholds.select(*group, "threshold"), group).withColumn(score, F.col(score) - (F.col("threshold") - at)).drop("threshold")
+    return df.join(F.broadcast(thresholds.select(*group, "threshold")), group).withColumn(score, F.col(score) - (F.col("threshold") - at)).drop("threshold")
 
 
 def onset_classifier(df: DataFrame, window: list[str], channel: str, onset: str, labels: tuple, least: int = 1) -> DataFrame:
@@ -85,7 +85,7 @@ def mean_classifier_left_out(df: DataFrame, group: list[str], truth: str, positi
     class without other rows loses, and without either the row is negative)."""
     y = F.col(truth) == positive
     sums = df.groupBy(*group).agg(*(F.sum(F.when(c, v)).alias(name) for c, name_ in ((y, "p"), (~y, "n")) for v, name in ((F.col(score), f"_s{name_}"), (F.lit(1.0), f"_c{name_}"))))
-    both = df.join(sums, group)
+    both = df.join(F.broadcast(sums), group)
 
     def mean(own: Column, s: str, c: str) -> Column:
         n = F.col(c) - own.cast("double")

@@ -45,3 +45,18 @@ def test_online_margins_equal_their_sql_at_ties(spark, tmp_path):
     for name in ("online_margins", "online_stream"):
         got = sorted(tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect())
         assert got == sorted(con.execute(registry.oracle_sql()[name]).fetchall())
+
+
+@pytest.mark.parametrize(("name", "joins"), [("devariance", 0), ("regression_vectors", 0), ("constant_channel_cleanup", 0), ("laplacian_reference", 1), ("gaussian_norm", 0), ("histogram_norm", 0), ("linear_fit", 2)])
+def test_rows_are_not_dealt_by_channel(spark, name, joins):
+    """Where no table counts as small, only records are joined by shuffles."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") + plan.count("ShuffledHashJoin") == joins
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
