@@ -245,7 +245,7 @@ def laplacian(df: DataFrame, value: str, record: list[str], channel: str, neighb
 def constant_channels(df: DataFrame, value: str, channel: str) -> DataFrame:
     """The channels that vary."""
     varying = df.groupBy(channel).agg(F.min(value).alias("_a"), F.max(value).alias("_b")).filter("_a < _b").select(channel)
-    return df.join(varying, channel, "left_semi")
+    return df.join(F.broadcast(varying), channel, "left_semi")
 
 
 def haar(df: DataFrame, value: str, key: list[str], index: str) -> DataFrame:
