@@ -237,8 +237,8 @@ def hemisphere_difference(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFr
 
 def laplacian(df: DataFrame, value: str, record: list[str], channel: str, neighbours: DataFrame) -> DataFrame:
     """k x - sum of the k neighbours; neighbours(channel, neighbour) is the (small) montage, channels without any are removed."""
-    near = df.select(*record, F.col(channel).alias("neighbour"), F.col(value).alias("_near"))
-    sums = df.join(neighbours, channel).join(near, [*record, "neighbour"]).groupBy(*record, channel).agg(F.count("*").alias("_k"), F.sum("_near").alias("_sum"))
+    near = df.select(*record, F.col(channel).alias("neighbour"), F.col(value).alias("_near")).join(F.broadcast(neighbours), "neighbour")
+    sums = near.groupBy(*record, channel).agg(F.count("*").alias("_k"), F.sum("_near").alias("_sum"))
     return df.join(sums, [*record, channel]).withColumn(value, F.col("_k") * F.col(value) - F.col("_sum")).drop("_k", "_sum")
 
 
