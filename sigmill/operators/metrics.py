@@ -67,7 +67,7 @@ def roc_points(df: DataFrame, groups: list[str], truth: str, score: str, positiv
     ties = ties.withColumn("_k", F.struct(F.lit(0).alias("all"), *groups))  # as fields, nulls are equal
     totals = ties.groupBy("_k").agg(F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
     run = running(value_ranges(ties, ["_k"], "threshold", "_r"), ["_k"], -F.col("_r"), [F.desc("threshold")], {"tp": (F.sum, F.col("p")), "fp": (F.sum, F.col("n"))})
-    return run.join(totals, "_k").drop("_k", "_r")
+    return run.join(F.broadcast(totals), "_k").drop("_k", "_r")
 
 
 def auc(df: DataFrame, groups: list[str], truth: str, score: str, positive, decimals: int = 3) -> DataFrame:
@@ -132,10 +132,10 @@ def multiclass(df: DataFrame, groups: list[str], truth: str, predicted: str) ->
 
 
 def regression(df: DataFrame, groups: list[str], truth: str, predicted: str) -> DataFrame:
-    """Errors of each group. Where the truth doesn't vary, what is relative to its spread (RSE, RAE, correlation) is null."""
+    """Errors of each group; the groups' means are broadcast, so that no group's rows are dealt to one task. Where the truth doesn't vary, what is relative to its spread (RSE, RAE, correlation) is null."""
     d = F.col(predicted) - F.col(truth)
     every = df.groupBy(*groups).agg(F.avg(truth).alias("_m"))
-    j = df.join(every, groups) if groups else df.crossJoin(F.broadcast(every))
+    j = df.join(F.broadcast(every), groups) if groups else df.crossJoin(F.broadcast(every))
     return j.groupBy(*groups).agg(
         F.avg(d * d).alias("MSE"), F.sqrt(F.avg(d * d)).alias("RMSE"), F.avg(F.abs(d)).alias("MAE"), F.try_divide(F.avg(d * d), F.var_pop(truth)).alias("RSE"), F.try_divide(F.avg(F.abs(d)), F.avg(F.abs(F.col(truth) - F.col("_m")))).alias("RAE"), correlation(truth, predicted).alias("correlation")
     )
