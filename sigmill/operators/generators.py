@@ -117,10 +117,11 @@ def generated_windows(spark: SparkSession, kinds: list[tuple[str, int, Generator
 def windows_for(df: DataFrame, window: str, label: str, kinds: dict[str, Generator], points: int, channels: int) -> DataFrame:
     """window, label, t, channel, value: one window for each row of a table, made by the generator of the row's label, so
     there are as many windows as the table has rows. The generator's time runs on with the window's number; a label without
-    a generator gives no window."""
+    a generator gives no window. Rows are dealt out first: a short table is one task, and what it is spelled out to isn't short."""
     t, c = F.col("t"), F.col("channel")
     value = F.lit(None).cast("double")
     for name, g in kinds.items():
         value = F.when(F.col(label) == name, g(F.col(window) * points + t, c)).otherwise(value)
-    flat = df.filter(F.col(label).isin(list(kinds))).select(F.col(window).cast("long").alias(window), label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points * channels - 1).cast("long"))).alias("_i"))
+    dealt = df.filter(F.col(label).isin(list(kinds))).select(F.col(window).cast("long").alias(window), label).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), window)
+    flat = dealt.select(window, label, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(points * channels - 1).cast("long"))).alias("_i"))
     return flat.select(window, label, F.floor(F.col("_i") / channels).alias("t"), F.pmod("_i", F.lit(channels)).alias("channel")).withColumn("value", value)

@@ -60,3 +60,10 @@ def test_rows_are_not_dealt_by_channel(spark, name, joins):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_made_up_windows_are_more_than_one_task(spark):
+    df = spark.createDataFrame([(k, "a") for k in range(1000)], "win long, label string").coalesce(1)
+    w = generators.windows_for(df, "win", "label", {"a": generators.time_point}, 5, 2)
+    tasks = w.groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 10_000
