@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 from sigmill.operators.learners import MOST, Linear, kept
 
+#: Numbers that differences from landmarks take at once.
+SLICE = 1 << 20
+
 
 def values(column: pa.ListArray) -> np.ndarray:
     """The vectors of a batch as a matrix, from the flat buffer of the list column."""
@@ -255,6 +258,13 @@ def mapped(df: DataFrame, vector: str, landmarks: np.ndarray, white: np.ndarray,
     return df.mapInArrow(run, schema)
 
 
+def nearest(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Squared distance of each row from the nearest of those held, by slices of rows: the differences of a whole batch with
+    all of them would be hundreds of MB."""
+    step = max(1, SLICE // max(1, held.size))
+    return np.concatenate([np.zeros(0), *(((x[k : k + step, None] - held[None]) ** 2).sum(2).min(1) for k in range(0, len(x), step))])
+
+
 def landmarks(df: DataFrame, vector: str, count: int, rounds: int = 5, seed: int = 0) -> np.ndarray:
     """Rows that lie far apart: each round takes its share of rows, drawn with weights of their squared distance from those
     taken so far, by one pass. A draw is the ``share`` smallest of exponential times over weights, so only these reach the
@@ -270,7 +280,7 @@ def landmarks(df: DataFrame, vector: str, count: int, rounds: int = 5, seed: int
             def far(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
                 for b in batches:
                     x = values(b.column("x"))
-                    d = ((x[:, None] - held[None]) ** 2).sum(2).min(1) if len(held) and len(x) else np.ones(len(x))
+                    d = nearest(x, held) if len(held) else np.ones(len(x))
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d)], names=["x", "u", "d"])
 
             drawn = rows.withColumn("u", unit(r)).distinct().mapInArrow(far, "x array<double>, u double, d double").filter("d > 1e-12")

@@ -1,12 +1,14 @@
 """What larger tables bring: large keys, ties of rounding, plans that don't deal rows by few keys."""
 
+import tracemalloc
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sigmill.functions.expr import r6, rounded, spread_hash
-from sigmill.operators import generators
+from sigmill.operators import generators, margins
 from sigmill.plans import registry
 from sigmill.streaming import online
 
@@ -67,3 +69,15 @@ def test_made_up_windows_are_more_than_one_task(spark):
     w = generators.windows_for(df, "win", "label", {"a": generators.time_point}, 5, 2)
     tasks = w.groupBy(F.spark_partition_id()).count().collect()
     assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 10_000
+
+
+def test_distances_from_landmarks_are_the_same_in_little_memory():
+    rng = np.random.default_rng(6)
+    x, held = rng.normal(size=(10_000, 64)), rng.normal(size=(52, 64))
+    tracemalloc.start()
+    got = margins.nearest(x, held)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # the differences of the whole batch are 266 MB, and as much again for their squares
+    assert np.array_equal(got[:500], ((x[:500, None] - held[None]) ** 2).sum(2).min(1)) and len(got) == len(x)
+    assert len(margins.nearest(x[:0], held)) == 0
