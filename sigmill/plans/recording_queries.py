@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from sigmill.functions.expr import rounded
 from sigmill.plans.inputs import PREDICTIONS, predictions, table
 from sigmill.plans.query import query
 from sigmill.plans.stream_queries import shared_folder
@@ -14,7 +15,7 @@ from sigmill.sources import files, recordings
 
 def _written(spark, d) -> str:
     path = f"{shared_folder(spark)}/recording-{uuid.uuid4().hex}"
-    e = table(spark, d, "events").select(F.col("event_id").alias("t"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("S "), "event_type")).alias("marker"), F.round("value", 1).alias("C3"), (F.col("user_id") % 100).cast("double").alias("C4"))
+    e = table(spark, d, "events").select(F.col("event_id").alias("t"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("S "), "event_type")).alias("marker"), rounded("value", 1).alias("C3"), (F.col("user_id") % 100).cast("double").alias("C4"))
     recordings.write(e, path, 250.0, pieces=4, resolution=0.02)
     return path
 
@@ -23,7 +24,7 @@ def _written(spark, d) -> str:
 def recording_samples(spark, d):
     """A multichannel recording written by several tasks as pieces, and read in ranges of records."""
     samples, _ = recordings.read(spark, _written(spark, d), 1 << 14)
-    return samples.select("t", "channel", F.round("value", 1).alias("value"))
+    return samples.select("t", "channel", rounded("value", 1).alias("value"))
 
 
 @query("recording_markers", "SELECT event_id AS t, round(event_id / 250.0::DOUBLE, 6) AS seconds, 'S ' || event_type AS marker FROM events WHERE event_id % 3 = 0")

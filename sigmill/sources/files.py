@@ -67,8 +67,12 @@ def brain_products(spark: SparkSession, header: str) -> tuple[DataFrame, DataFra
 
     def decode(batches):
         for b in batches:
-            x = np.frombuffer(b"".join(b["record"]), kind).reshape(len(b), -1) * np.array(gain)
-            yield pd.DataFrame({"t": np.repeat(b["t"].to_numpy(), len(names)), "channel": np.tile(names, len(b)), "value": x.ravel().astype(float)})
+            number = np.frombuffer(b"".join(b["record"]), kind).reshape(len(b), -1).astype(float)
+            out = pd.DataFrame({"t": np.repeat(b["t"].to_numpy(), len(names)), "channel": np.tile(names, len(b)), "value": (number * np.array(gain)).ravel()})
+            if "NoSample" in common:
+                out.loc[number.ravel() == float(common["NoValue"]), "value"] = None
+                out = out[number.ravel() != float(common["NoSample"])]
+            yield out
 
     samples = raw.mapInPandas(decode, "t long, channel string, value double")
     marker_lines = ini_sections(_text(spark, f"{folder}/{common['MarkerFile']}")).get("Marker Infos", {}) if "MarkerFile" in common else {}

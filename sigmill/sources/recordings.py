@@ -8,7 +8,7 @@ recording. Filters on channel and stream are taken over: other channels aren't d
 hands filters over only where ``spark.sql.python.filterPushdown.enabled`` is set; ``read`` tells the source, by the option
 pushdown, which Spark asks for.)
 
-``recording_pieces`` writes: each task writes multiplexed 16-bit samples and their markers as pieces of a Brain Products
+``recording_pieces`` writes: each task writes multiplexed samples (of 16 bits, where they fit) and their markers as pieces of a Brain Products
 recording, and the headers that make pieces visible are written when the whole job commits. What a failed task or job wrote
 goes. Paths are those of the store that pyarrow's file systems open: local and shared folders, object stores, HDFS.
 """
@@ -76,6 +76,7 @@ class Recording:
     seconds: float = 1.0  # of a record
     marks: list[tuple[int, str]] = field(default_factory=list)
     first: int = 0  # t of the first sample
+    codes: tuple[float, float] | None = None  # numbers that stand for no sample and for no value
 
 
 def size_of(path: str) -> int:
@@ -122,13 +123,14 @@ def described(path: str, name: str | None = None) -> Recording:
     lines = [v.split(",") for _, v in sorted(info["Channel Infos"].items(), key=lambda x: int(x[0][2:]))]
     kind = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4"}[info["Binary Infos"]["BinaryFormat"]]
     record, data, first = np.dtype(kind).itemsize * len(lines), beside(path, common["DataFile"]), int(common.get("FirstSample", 0))
+    codes = (float(common["NoSample"]), float(common["NoValue"])) if "NoSample" in common else None
     marks = []
     if "MarkerFile" in common:
         for v in ini_sections(content(beside(path, common["MarkerFile"])).decode("utf-8", "replace")).get("Marker Infos", {}).values():
             _, name, at, *_ = v.split(",")
             if name.strip():
                 marks.append((int(at) - 1 + first, re.sub(r"\s+", " ", name.replace("\\1", ",")).strip()))
-    return Recording(stream, data, 0, record, size_of(data) // record, 1, kind, [(x[0].replace("\\1", ","), k, 1, float(x[2] or 1), 0.0) for k, x in enumerate(lines)], [], float(common["SamplingInterval"]) / 1e6, marks, first)
+    return Recording(stream, data, 0, record, size_of(data) // record, 1, kind, [(x[0].replace("\\1", ","), k, 1, float(x[2] or 1), 0.0) for k, x in enumerate(lines)], [], float(common["SamplingInterval"]) / 1e6, marks, first, codes)
 
 
 class Range(InputPartition):
@@ -186,10 +188,16 @@ class SampleReader(_Reader):
         data = partition.raw()
         for name, at, n, gain, offset in r.channels:
             if self.wanted("channel", name) and len(data):
-                value = np.repeat(data[:, at : at + n].ravel().astype(float) * gain + offset, r.rate // n)
-                t = np.arange(len(value)) + partition.first * r.rate + r.first
+                number = np.repeat(data[:, at : at + n].ravel().astype(float), r.rate // n)
+                t = np.arange(len(number)) + partition.first * r.rate + r.first
+                empty = None
+                if r.codes is not None:  # samples that were never there make no row
+                    there = number != r.codes[0]
+                    number, t = number[there], t[there]
+                    empty = number == r.codes[1]
+                value = number * gain + offset
                 same = lambda x: pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(value), np.int8)), pa.array([x])).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([same(r.stream), pa.array(t, pa.int64()), same(name), pa.array(value)], names=["stream", "t", "channel", "value"])
+                yield pa.RecordBatch.from_arrays([same(r.stream), pa.array(t, pa.int64()), same(name), pa.array(value, mask=empty)], names=["stream", "t", "channel", "value"])
 
 
 class MarkerReader(_Reader):
@@ -243,16 +251,22 @@ class RecordingMarkers(Recordings):
         return MARKERS
 
 
+#: By the kind of a piece: its name in the header, numbers for no sample and for no value, and the largest number of a value.
+KINDS = {"<i2": ("INT_16", -(1 << 15), 1 - (1 << 15), (1 << 15) - 2), "<f4": ("IEEE_FLOAT_32", -float(1 << 127), -float(1 << 126), float("inf"))}
+
+
 @dataclass
 class Pieces(WriterCommitMessage):
-    """What a task wrote: names without ending, and the first t of each."""
+    """What a task wrote: names without ending, the first t and the kind of each."""
 
-    names: list[tuple[str, int]]
+    names: list[tuple[str, int, str]]
 
 
 class PieceWriter(DataSourceArrowWriter):
-    """Rows have t, marker (null for none) and a column for each channel, and come in the order of t. Gaps are filled with
-    zeros, one longer than ``gap`` samples begins a new piece; of rows with the same t the first counts."""
+    """Rows have t, marker (null for none) and a column for each channel, and come in the order of t. Gaps are filled with a
+    number that the header names and that reads as no sample, a null value with another one; a gap longer than ``gap``
+    samples begins a new piece; of rows with the same t the first counts. Where values are beyond 16 bits at the resolution,
+    a piece of 32-bit floats begins: they hold multiples of it exactly up to 2^24, and NaN and infinite values."""
 
     def __init__(self, schema: StructType, options: dict):
         self.channels = [f.name for f in schema if f.name not in ("t", "marker")]
@@ -261,29 +275,35 @@ class PieceWriter(DataSourceArrowWriter):
     def write(self, batches: Iterator[pa.RecordBatch]) -> Pieces:
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, str]] = []
         data = marks = None
         last = number = 0
         try:
             for b in batches:
                 at = np.asarray(b.column("t")).astype(np.int64)
-                x = np.stack([np.asarray(b.column(c).cast(pa.float64()).fill_null(0.0)) for c in self.channels], 1) if b.num_rows else np.zeros((0, len(self.channels)))
-                x = np.clip(np.round(x / self.scale), -(1 << 15), (1 << 15) - 1).astype("<i2")
+                if not b.num_rows:
+                    continue
+                x = np.stack([np.asarray(b.column(c).cast(pa.float64()).fill_null(0.0)) for c in self.channels], 1)
+                x = np.round(x / self.scale)
+                kind = "<i2" if (np.abs(x) <= KINDS["<i2"][3]).all() else "<f4"
+                _, nothing, null, _ = KINDS[kind]
+                x[np.stack([np.asarray(b.column(c).is_null()) for c in self.channels], 1)] = null
+                x, filler = x.astype(kind), np.array([nothing], kind).tobytes()
                 for t, row, marker in zip(at.tolist(), x, b.column("marker").to_pylist()):
-                    if data is None or t - last > self.gap:
+                    if data is None or t - last > self.gap or (t > last and done[-1][2] != kind):
                         for f in (data, marks):
                             if f is not None:
                                 f.close()
                         name = f"piece-{t:015d}-{uuid.uuid4().hex}"
-                        done.append((name, t))
+                        done.append((name, t, kind))
                         data, marks, last, number = system.open_output_stream(f"{root}/{name}.eeg"), system.open_output_stream(f"{root}/{name}.vmrk"), t - 1, 1
                         marks.write(f"Brain Vision Data Exchange Marker File, Version 1.0\n\n[Common Infos]\nDataFile={name}.eeg\n\n[Marker Infos]\n".encode())
                     if t > last:
-                        data.write(bytes((t - last - 1) * 2 * len(self.channels)) + row.tobytes())
+                        data.write(filler * ((t - last - 1) * len(self.channels)) + row.tobytes())
                         last = t
                     if marker is not None:
-                        kind = "Response" if "R" in marker else "Stimulus" if "S" in marker else "Label"
-                        marks.write(f"Mk{number}={kind},{marker.replace(',', chr(92) + '1')},{t - done[-1][1] + 1},1,0\n".encode())
+                        sort = "Response" if "R" in marker else "Stimulus" if "S" in marker else "Label"
+                        marks.write(f"Mk{number}={sort},{marker.replace(',', chr(92) + '1')},{t - done[-1][1] + 1},1,0\n".encode())
                         number += 1
             for f in (data, marks):
                 if f is not None:
@@ -293,9 +313,9 @@ class PieceWriter(DataSourceArrowWriter):
             raise
         return Pieces(done)
 
-    def _away(self, names: list[tuple[str, int]]) -> None:
+    def _away(self, names: list[tuple[str, int, str]]) -> None:
         system, root = opened(self.path)
-        for name, _ in names:
+        for name, *_ in names:
             for end in (".eeg", ".vmrk", ".vhdr"):
                 try:
                     system.delete_file(f"{root}/{name}{end}")
@@ -306,9 +326,9 @@ class PieceWriter(DataSourceArrowWriter):
         system, root = opened(self.path)
         system.create_dir(root, recursive=True)
         lines = "".join(f"Ch{k + 1}={c.replace(',', chr(92) + '1')},,{self.scale!r},µV\n" for k, c in enumerate(self.channels))
-        for name, first in (x for m in messages if m is not None for x in m.names):
+        for name, first, kind in (x for m in messages if m is not None for x in m.names):
             with system.open_output_stream(f"{root}/{name}.vhdr") as f:
-                f.write(f"Brain Vision Data Exchange Header File Version 1.0\n\n[Common Infos]\nDataFile={name}.eeg\nMarkerFile={name}.vmrk\nDataFormat=BINARY\nDataOrientation=MULTIPLEXED\nNumberOfChannels={len(self.channels)}\nSamplingInterval={1e6 / self.rate!r}\nFirstSample={first}\n\n[Binary Infos]\nBinaryFormat=INT_16\n\n[Channel Infos]\n{lines}".encode())
+                f.write(f"Brain Vision Data Exchange Header File Version 1.0\n\n[Common Infos]\nDataFile={name}.eeg\nMarkerFile={name}.vmrk\nDataFormat=BINARY\nDataOrientation=MULTIPLEXED\nNumberOfChannels={len(self.channels)}\nSamplingInterval={1e6 / self.rate!r}\nFirstSample={first}\nNoSample={KINDS[kind][1]!r}\nNoValue={KINDS[kind][2]!r}\n\n[Binary Infos]\nBinaryFormat={KINDS[kind][0]}\n\n[Channel Infos]\n{lines}".encode())
 
     def abort(self, messages: list[Pieces | None]) -> None:
         self._away([x for m in messages if m is not None for x in m.names])

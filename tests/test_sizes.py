@@ -97,3 +97,16 @@ def test_spatial_filters_together_are_those_one_by_one():
         free = np.abs if name == "exact" else np.asarray  # an eigenvector's sign is free
         assert np.allclose(free(mine), free(theirs), rtol=1e-7, atol=1e-9)
         assert np.allclose(np.abs(many.states[name]), np.abs(one.states[name]), rtol=1e-7, atol=1e-9)
+
+
+def test_recordings_with_gaps_large_and_missing_values(spark, tmp_path):
+    """What is read is what was written: no rows for gaps, nothing clipped, nulls stay nulls."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT event_id + CASE WHEN event_id >= 700 THEN 5000 WHEN event_id >= 300 THEN 7 ELSE 0 END AS event_id, user_id, event_type,
+        CASE WHEN event_id % 50 = 3 THEN NULL WHEN event_id BETWEEN 400 AND 420 THEN value + 700 WHEN event_id = 500 THEN -123456.7 WHEN event_id = 501 THEN 655.36 ELSE value END AS value
+        FROM '/root/testdata/sf0.001/events.parquet' WHERE event_id < 1000""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for name in ("recording_samples", "recording_markers"):
+        out = registry.queries()[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(out.columns)} FROM ({registry.oracle_sql()[name]})").fetchall()
+        assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
