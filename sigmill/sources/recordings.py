@@ -4,7 +4,7 @@
 seconds, marker); a stream is a
 header file. Headers are read when the scan is planned; the data of each recording is cut into ranges of whole records of
 about ``split`` bytes (an option), and each range is a task that reads its bytes and no others, whatever the length of the
-recording. Filters on channel and stream are taken over: other channels aren't decoded, other files aren't read. (Spark
+recording. Files of markers are cut in the same way, at lines: what planning hands to a task doesn't grow with them. Filters on channel and stream are taken over: other channels aren't decoded, other files aren't read. (Spark
 hands filters over only where ``spark.sql.python.filterPushdown.enabled`` is set; ``read`` tells the source, by the option
 pushdown, which Spark asks for.)
 
@@ -15,10 +15,12 @@ goes. Paths are those of the store that pyarrow's file systems open: local and s
 
 from __future__ import annotations
 
+import io
 import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,8 @@ from sigmill.sources.edf import header as edf_header
 from sigmill.sources.files import ini_sections
 
 SPLIT = 64 << 20
+#: Markers that go on together.
+AT_ONCE = 10_000
 SAMPLES, MARKERS = "stream string, t long, channel string, value double", "stream string, t long, seconds double, marker string"
 
 
@@ -62,7 +66,8 @@ def found(path: str) -> list[str]:
 @dataclass
 class Recording:
     """How to read one recording: where its data is, records of so many bytes, and samples in a record; each channel's name,
-    first value and number of values in a record, and its line from numbers to values; markers that the header holds."""
+    first value and number of values in a record, and its line from numbers to values; the file of its markers. Every task
+    gets a copy, so it holds nothing that grows with the recording."""
 
     stream: str
     data: str
@@ -74,20 +79,32 @@ class Recording:
     channels: list[tuple[str, int, int, float, float]]
     annotations: list[tuple[int, int]] = field(default_factory=list)
     seconds: float = 1.0  # of a record
-    marks: list[tuple[int, str]] = field(default_factory=list)
+    markers: str | None = None  # a text with a line for each, or the header with its events
     first: int = 0  # t of the first sample
     codes: tuple[float, float] | None = None  # numbers that stand for no sample and for no value
 
 
 def size_of(path: str) -> int:
     system, at = opened(path)
-    return system.get_file_info(at).size
+    info = system.get_file_info(at)
+    if not info.is_file:
+        raise FileNotFoundError(path)
+    return info.size
 
 
 def beside(path: str, name: str) -> str:
     return path.rsplit("/", 1)[0] + "/" + name
 
 
+def each(x) -> list[dict]:
+    return [x] if isinstance(x, dict) else list(x) if isinstance(x, list) else []
+
+
+def eeglab(path: str) -> dict:
+    variables = matfile.read(content(path))
+    return variables.get("EEG", variables)
+
+
 def described(path: str, name: str | None = None) -> Recording:
     """From the header alone."""
     stream, kind = name or path, path.rsplit(".", 1)[1].lower()
@@ -105,32 +122,23 @@ def described(path: str, name: str | None = None) -> Recording:
             line.append((h["label"][k], int(first[k]), int(size[k]), gain, low - dlow * gain))
         return Recording(stream, path, h["bytes"], record, records, max((int(size[k]) for k in real), default=0), "<i2", line, [(int(first[k]), int(size[k])) for k, x in enumerate(h["label"]) if x == ANNOTATIONS], h["seconds"])
     if kind == "set":
-        eeg = matfile.read(content(path))
-        eeg = eeg.get("EEG", eeg)
+        eeg = eeglab(path)
         if not isinstance(eeg["data"], str):
             raise ValueError(f"{path}: the samples are in the header file; a data file beside it is needed")
         if int(eeg["trials"][0]) != 1:
             raise ValueError(f"{path}: the recording is cut into trials")
         n = int(eeg["nbchan"][0])
-        each = lambda x: [x] if isinstance(x, dict) else list(x) if isinstance(x, list) else []
         labels = [c["labels"] for c in each(eeg["chanlocs"])] or [str(k + 1) for k in range(n)]
-        text = lambda x: x if isinstance(x, str) else f"{x[0]:g}"
-        marks = [(int(round(float(e["latency"][0]))) - 1, text(e["type"]).strip()) for e in each(eeg.get("event", [])) if len(e["latency"])]
         data = beside(path, eeg["data"].rsplit("/", 1)[-1].rsplit("\\", 1)[-1])
-        return Recording(stream, data, 0, 4 * n, size_of(data) // (4 * n), 1, "<f4", [(c, k, 1, 1.0, 0.0) for k, c in enumerate(labels)], [], 1 / float(eeg["srate"][0]), marks)
+        return Recording(stream, data, 0, 4 * n, size_of(data) // (4 * n), 1, "<f4", [(c, k, 1, 1.0, 0.0) for k, c in enumerate(labels)], [], 1 / float(eeg["srate"][0]), path)
     info = ini_sections(content(path).decode("utf-8", "replace"))
     common = info["Common Infos"]
     lines = [v.split(",") for _, v in sorted(info["Channel Infos"].items(), key=lambda x: int(x[0][2:]))]
     kind = {"INT_16": "<i2", "IEEE_FLOAT_32": "<f4"}[info["Binary Infos"]["BinaryFormat"]]
     record, data, first = np.dtype(kind).itemsize * len(lines), beside(path, common["DataFile"]), int(common.get("FirstSample", 0))
     codes = (float(common["NoSample"]), float(common["NoValue"])) if "NoSample" in common else None
-    marks = []
-    if "MarkerFile" in common:
-        for v in ini_sections(content(beside(path, common["MarkerFile"])).decode("utf-8", "replace")).get("Marker Infos", {}).values():
-            _, name, at, *_ = v.split(",")
-            if name.strip():
-                marks.append((int(at) - 1 + first, re.sub(r"\s+", " ", name.replace("\\1", ",")).strip()))
-    return Recording(stream, data, 0, record, size_of(data) // record, 1, kind, [(x[0].replace("\\1", ","), k, 1, float(x[2] or 1), 0.0) for k, x in enumerate(lines)], [], float(common["SamplingInterval"]) / 1e6, marks, first, codes)
+    markers = beside(path, common["MarkerFile"]) if "MarkerFile" in common else None
+    return Recording(stream, data, 0, record, size_of(data) // record, 1, kind, [(x[0].replace("\\1", ","), k, 1, float(x[2] or 1), 0.0) for k, x in enumerate(lines)], [], float(common["SamplingInterval"]) / 1e6, markers, first, codes)
 
 
 class Range(InputPartition):
@@ -146,6 +154,52 @@ class Range(InputPartition):
         return np.frombuffer(data, r.kind, count=len(data) // r.record * (r.record // np.dtype(r.kind).itemsize)).reshape(-1, r.record // np.dtype(r.kind).itemsize)
 
 
+class Lines(InputPartition):
+    """The lines of a text of markers that begin within a range of its bytes; inside: the range begins among the markers."""
+
+    def __init__(self, recording: Recording, start: int, end: int, inside: bool):
+        self.recording, self.start, self.end, self.inside = recording, start, end, inside
+
+    def read(self) -> Iterator[bytes]:
+        system, at = opened(self.recording.markers)
+        with system.open_input_file(at) as raw:
+            raw.seek(max(0, self.start - 1))
+            f, place = io.BufferedReader(raw, 1 << 20), self.start
+            if self.start:
+                place += len(f.readline()) - 1  # the end of a line that began before
+            while place < self.end and (line := f.readline()):
+                place += len(line)
+                yield line
+
+    def marks(self) -> Iterator[tuple[int, str]]:
+        inside = self.inside
+        for raw in self.read():
+            line = raw.decode("utf-8", "replace").strip()
+            if m := re.fullmatch(r"\[(.+)\]", line):
+                inside = m[1] == "Marker Infos"
+            elif inside and "=" in line and not line.startswith(";"):
+                _, name, at, *_ = line.split("=", 1)[1].split(",")
+                if name.strip():
+                    yield int(at) - 1 + self.recording.first, re.sub(r"\s+", " ", name.replace("\\1", ",")).strip()
+
+
+def marker_parts(r: Recording, split: int) -> list[Lines]:
+    """The text of a recording's markers in ranges. Other sections may follow the markers, so a text of several ranges is
+    looked through for where sections begin, a line at a time."""
+    size = size_of(r.markers)
+    if size <= split:
+        return [Lines(r, 0, size, False)]
+    out, at, spans = [], 0, []
+    for line in Lines(r, 0, size, False).read():
+        if m := re.fullmatch(rb"\[(.+)\]", line.strip()):
+            spans.append((at, m[1] == b"Marker Infos"))
+        at += len(line)
+    for (start, markers), (end, _) in zip(spans, [*spans[1:], (size, False)]):
+        if markers:
+            out += [Lines(r, k, min(k + split, end), k > start) for k in range(start, end, split)]
+    return out
+
+
 class _Reader(DataSourceReader):
     """Partitions, and the filters that the source takes over."""
 
@@ -158,15 +212,17 @@ class _Reader(DataSourceReader):
     def wanted(self, column: str, value: str) -> bool:
         return self.only.get(column) is None or value in self.only[column]
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[InputPartition]:
         out = []
         for path in found(self.path):
             if self.wanted("stream", path):
-                r = described(path)
-                step = max(1, self.split // r.record)
-                out += [Range(r, k, min(step, r.records - k)) for k in range(0, r.records, step)] or [Range(r, 0, 0)]
+                out += self.parts(described(path))
         return out
 
+    def parts(self, r: Recording) -> list[InputPartition]:
+        step = max(1, self.split // r.record)
+        return [Range(r, k, min(step, r.records - k)) for k in range(0, r.records, step)] or [Range(r, 0, 0)]
+
 
 class _Pushed:
     """What a reader has more where filters are handed over."""
@@ -203,19 +259,36 @@ class SampleReader(_Reader):
 class MarkerReader(_Reader):
     own = ("stream",)
 
-    def read(self, partition: Range | None) -> Iterator[pa.RecordBatch]:
+    def parts(self, r: Recording) -> list[InputPartition]:
+        if r.markers is None:
+            return super().parts(r) if r.annotations else [Range(r, 0, 0)]
+        return [Range(r, 0, 0)] if r.markers.lower().endswith(".set") else marker_parts(r, self.split)
+
+    def read(self, partition: Range | Lines | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # as Spark asks where there are no partitions
             return
         r = partition.recording
-        marks = [(t, t * r.seconds, m) for t, m in r.marks] if partition.first == 0 else []
+        if isinstance(partition, Lines):
+            marks = ((t, t * r.seconds, m) for t, m in partition.marks())
+        else:
+            marks = self.events(r) if r.markers is not None else self.annotated(partition)
+        while some := list(islice(marks, AT_ONCE)):
+            yield pa.RecordBatch.from_arrays([pa.array([r.stream] * len(some)), *(pa.array([m[k] for m in some], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.string())))], names=["stream", "t", "seconds", "marker"])
+
+    def events(self, r: Recording) -> Iterator[tuple[int, float, str]]:
+        for e in each(eeglab(r.markers).get("event", [])):
+            if len(e["latency"]):
+                t = int(round(float(e["latency"][0]))) - 1
+                yield t, t * r.seconds, (e["type"] if isinstance(e["type"], str) else f"{e['type'][0]:g}").strip()
+
+    def annotated(self, partition: Range) -> Iterator[tuple[int, float, str]]:
+        r = partition.recording
         for at, n in r.annotations:
             for record in partition.raw()[:, at : at + n]:
                 for entry in record.tobytes().split(b"\x00"):
                     onset, *texts = entry.split(b"\x14")
                     at_s = float(onset.split(b"\x15")[0] or 0) if texts else 0.0
-                    marks += [(int(round(at_s / r.seconds * r.rate)), at_s, x.decode("utf-8").strip()) for x in texts if x.strip()]
-        if marks:
-            yield pa.RecordBatch.from_arrays([pa.array([r.stream] * len(marks)), *(pa.array([m[k] for m in marks], kind) for k, kind in enumerate((pa.int64(), pa.float64(), pa.string())))], names=["stream", "t", "seconds", "marker"])
+                    yield from ((int(round(at_s / r.seconds * r.rate)), at_s, x.decode("utf-8").strip()) for x in texts if x.strip())
 
 
 class PushedSampleReader(_Pushed, SampleReader):

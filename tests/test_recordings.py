@@ -1,5 +1,6 @@
 """Recordings as data sources: files written here, read in several tasks; pieces written by Spark, read again."""
 
+import pickle
 import struct
 import zlib
 
@@ -138,6 +139,43 @@ def test_pieces_come_back(spark, tmp_path):
     assert recordings.read(spark, f"{tmp_path}/none")[0].count() == 0
 
 
+def write_vhdr(folder, marks, samples=3000, more="", end="\n"):
+    """A recording of two channels with a text of markers, in whose sections other keys stand as well."""
+    (folder / "r.eeg").write_bytes(np.zeros((samples, 2), "<i2").tobytes())
+    text = ["Brain Vision Data Exchange Marker File, Version 1.0", "; a comment", "[Common Infos]", "DataFile=r.eeg", "[Marker Infos]", "; Mk0=Stimulus,no,1,1,0", "Mk1=New Segment,,1,1,0,20200101", *(f"Mk{k + 2}=Stimulus,{m},{t + 1},1,0" for k, (t, m) in enumerate(marks)), more]
+    (folder / "r.vmrk").write_bytes(end.join([*text, ""]).encode())
+    (folder / "r.vhdr").write_text("Brain Vision Data Exchange Header File Version 1.0\n[Common Infos]\nDataFile=r.eeg\nMarkerFile=r.vmrk\nSamplingInterval=2000\n[Binary Infos]\nBinaryFormat=INT_16\n[Channel Infos]\nCh1=C3,,0.1,uV\nCh2=C4,,0.1,uV\n")
+
+
+def test_tasks_get_no_markers(tmp_path):
+    """What planning makes is as large as headers and tasks ask for, however many markers there are."""
+    sizes = {}
+    for count in (10, 20_000):
+        own = tmp_path / str(count)
+        own.mkdir()
+        write_vhdr(own, [(k % 3000, f"S {k}") for k in range(count)])
+        for reader in (recordings.SampleReader, recordings.MarkerReader):
+            parts = reader({"path": str(own), "split": "2000"}).partitions()
+            sizes[reader, count] = len(parts), max(len(pickle.dumps(p)) for p in parts)
+    assert max(size for _, size in sizes.values()) < 1000
+    assert sizes[recordings.SampleReader, 20_000][0] == sizes[recordings.SampleReader, 10][0] == 6 and sizes[recordings.MarkerReader, 20_000][0] > 100
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_texts_of_markers_in_ranges(tmp_path, end):
+    """At any size of a range each marker comes once, and what stands in other sections doesn't come."""
+    want = [(k * 3, f"S{k} ü, and  more" if k % 5 == 0 else f"S{k}") for k in range(60)]
+    write_vhdr(tmp_path, [(t, m.replace(",", "\\1")) for t, m in want], more=end.join(["[Marker User Infos]", "Mk1=Stimulus,no,5,1,0", *["Prop=a,b,c"] * 40, "[Marker Infos]", "Mk99=Stimulus,last,400,1,0"]), end=end)
+    want = [(t, t * 0.002, " ".join(m.split())) for t, m in [*want, (399, "last")]]
+    for split in (*range(1, 80, 7), 500, 1 << 20):
+        reader = recordings.MarkerReader({"path": str(tmp_path), "split": str(split)})
+        got = [tuple(r.values())[1:] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+        assert got == want
+    (tmp_path / "r.vmrk").unlink()
+    with pytest.raises(FileNotFoundError):
+        reader.partitions()
+
+
 def test_a_failed_job_leaves_nothing(spark, tmp_path):
     path = f"{tmp_path}/out"
     df = spark.range(400).select(F.col("id").alias("t"), F.lit(None).cast("string").alias("marker"), F.when(F.col("id") < 390, 1.0).otherwise(F.raise_error(F.lit("no")).cast("double")).alias("C3"))
